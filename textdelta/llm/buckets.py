@@ -78,7 +78,7 @@ class Packer:
             own = [x for x in self.held if x[:2] == (kind, origin)]
             part, ids, hashes = (np.concatenate([x[i] for x in own]) for i in (2, 3, 4))
             extra = np.concatenate([x[5] for x in own]) if own[0][5] is not None else None
-            order = np.argsort(part.astype(np.int32) if part.max() < 1 << 31 else part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")  # 16 bits: a radix sort
             part, ids, hashes = part[order], ids[order], hashes[order]
             new_id = np.ones(len(part), dtype=bool)
             new_id[1:] = (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])
@@ -129,3 +129,30 @@ def look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, default: in
         return np.full(len(asked), default, dtype=np.int64)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     return np.where(keys[at] == asked, values[at], default)
+
+
+class Members:
+    """A set of 64-bit keys; most of what isn't in it is told by a table of bits, before the binary search."""
+
+    def __init__(self, keys: np.ndarray):
+        keys = np.sort(keys)
+        self.keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+        self.mask = U64((1 << max(10, (8 * len(self.keys)).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.table[self.keys & self.mask] = True
+
+    def __contains__(self, key) -> bool:
+        return bool(self.has(np.array([key], dtype=self.keys.dtype))[0])
+
+    def has(self, asked: np.ndarray) -> np.ndarray:
+        out = self.table[asked & self.mask]
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.keys, asked[maybe]), len(self.keys) - 1)
+            out[maybe] = self.keys[at] == asked[maybe]
+        return out
+
+
+def rows_with(ids: np.ndarray, answered: np.ndarray) -> np.ndarray:
+    """The places of the rows whose id is among ``answered``."""
+    return np.flatnonzero(Members(answered.view(U64)).has(ids.view(U64)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, substring_dedup
+from . import decontaminate, jaccard_join, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,15 +19,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
 }

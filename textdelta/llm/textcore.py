@@ -22,7 +22,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text worked on at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000
 NO_ID = np.iinfo(np.int64).min
 
 _powers: list[np.ndarray] = []
