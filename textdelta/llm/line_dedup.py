@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree, in DataFrame expressions only.
 
 Lines are parsed at a fixed depth: by their number of tokens and their first
-``LEADING`` tokens (tokens with a digit count as ``<*>``), which gives a leaf.
+``LEADING`` tokens (a run of digits counts as ``#``), which gives a leaf.
 A line's tokens are at most ``FIELDS`` fields of equally many tokens. Within a
 leaf a field is constant if at least ``min_docs`` documents have it at its
 place, and variable otherwise; if enough fields are constant the line's template
@@ -10,10 +10,11 @@ different documents recurs: its lines are dropped from all documents but the
 first (the smallest id). Documents of equal text count once, so copies alone
 make nothing recur.
 
-Plan: one pass parses all lines to hashes (checkpointed, no text); lines are
-counted by partial aggregates; only leaves with several lines and enough
-documents have their fields counted; dropped places meet the texts in one
-exchange, by id, with the places as the hashed side. A line of thousands of
+Plan: a first pass counts lines by leaf; a second keeps, as hashes without text,
+the lines of leaves with lines enough (checkpointed); those are counted by
+partial aggregates, and only leaves with several kinds of lines have their
+fields counted; dropped places meet the texts in one exchange, by id, with the
+places as the hashed side. A line of thousands of
 documents is one group of pre-aggregated counts.
 
 Edge cases: null text stays null, empty text empty; lines of fewer than
@@ -32,29 +33,43 @@ from pyspark.sql import functions as F
 from .components import cut
 
 LEADING, FIELDS = 3, 8
-TOKEN = r"[^\x20\x09-\x0D]+"
 
 
-def _parsed(text: Column) -> Column:
-    """For each line: its place, tokens, leaf and fields, as hashes."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)))
-    masked = F.transform(lines, lambda t: F.transform(t, lambda x: F.when(x.rlike("[0-9]"), F.lit("<*>")).otherwise(x)))
-    sized = F.transform(masked, lambda t, i: F.struct(i.alias("pos"), F.size(t).alias("n"), F.ceil(F.size(t) / FIELDS).cast("int").alias("each"), t.alias("t")))
+def _masked(text: Column) -> Column:
+    """The lines of a text, tokens apart by one space, each run of digits a ``#``."""
+    odd = F.lit(r"[\x09\x0B-\x0D]|  ")
 
-    def fields(x: Column) -> Column:
-        last = F.ceil(x["n"] / x["each"]).cast("int") - 1
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.xxhash64(F.slice(x["t"], k * x["each"] + 1, x["each"])))
+    def one(line: Column) -> Column:
+        line = F.when(F.rlike(line, odd), F.regexp_replace(line, r"[\x09\x0B-\x0D ]+", " ")).otherwise(line)
+        return F.trim(F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, "[0-9]+", "#")).otherwise(line))
 
-    whole = F.filter(sized, lambda x: x["n"] > 0)
-    return F.transform(whole, lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"), F.xxhash64(x["n"], F.slice(x["t"], 1, LEADING)).alias("leaf"), fields(x).alias("fields")))
+    return F.transform(F.split(text, "\n"), one)
 
 
-def _lines(docs: DataFrame, id_column: str, text_column: str, min_tokens: int) -> DataFrame:
-    """doc, text_key, pos, leaf, fields, line of every line that may be dropped."""
+def _leaves(text: Column, min_tokens: int, min_pos: bool) -> Column:
+    """For each line with enough tokens: its leaf, and its place and masked text if ``min_pos``."""
+    sized = F.transform(_masked(text), lambda x, i: F.struct(i.alias("pos"), x.alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    enough = F.filter(sized, lambda x: (x["n"] >= min_tokens) & (x["line"] != ""))
+    leaf = lambda x: F.xxhash64(x["n"], F.substring_index(x["line"], " ", LEADING)).alias("leaf")
+    if not min_pos:
+        return F.transform(enough, leaf)
+    return F.transform(enough, lambda x: F.struct(x["pos"].alias("pos"), leaf(x), _fields(x["line"], x["n"]).alias("fields")))
+
+
+def _fields(line: Column, n: Column) -> Column:
+    """Hashes of at most FIELDS runs of equally many tokens."""
+    each = F.ceil(n / FIELDS).cast("int")
+    split = F.array(F.struct(F.split(line, " ").alias("t"), each.alias("each")))  # so that it is evaluated once
+    return F.flatten(F.transform(split, lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x["t"]) / x["each"]).cast("int") - 1), lambda k: F.hash(F.slice(x["t"], k * x["each"] + 1, x["each"])))))
+
+
+def _lines(docs: DataFrame, id_column: str, text_column: str, min_docs: int, min_tokens: int) -> DataFrame:
+    """doc, text_key, pos, leaf, fields, line of every line in a leaf that has lines enough."""
     text = F.col(text_column)
-    parsed = F.filter(_parsed(text), lambda x: x["n"] >= min_tokens)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), F.explode(parsed).alias("x"))
-    return rows.select("doc", "text_key", "x.pos", "x.leaf", "x.fields", F.xxhash64("x.leaf", "x.fields").alias("line"))
+    leaves = docs.select(F.explode(_leaves(text, min_tokens, False)).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), F.explode(_leaves(text, min_tokens, True)).alias("x"))
+    rows = rows.select("doc", "text_key", "x.pos", "x.leaf", "x.fields").join(leaves, "leaf")
+    return rows.withColumn("line", F.xxhash64("leaf", "fields"))
 
 
 def _templates(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
@@ -79,10 +94,9 @@ def _templates(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
 
 def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 5, min_tokens: int = 3, constant: float = 0.75) -> DataFrame:
     """The documents with the lines of recurring templates dropped but from the first document; adds n_lines and n_dropped."""
-    lines = cut(_lines(docs, id_column, text_column, min_tokens))
+    lines = cut(_lines(docs, id_column, text_column, min_docs, min_tokens))
     templates = _templates(lines, min_docs, constant)
-    of = lines.select("doc", "text_key", "pos", "line").join(templates, "line")
-    of = cut(of.select("doc", "text_key", "pos", "template"))
+    of = lines.select("doc", "text_key", "pos", "line").join(templates, "line").select("doc", "text_key", "pos", "template")
     counts = of.groupBy("template", "text_key").agg(F.min("doc").alias("first")).groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
     gone = of.join(counts.where(F.col("docs") >= min_docs), "template").where("doc > first")
     gone = gone.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("__gone"))
@@ -109,7 +123,7 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (
   SELECT rid, doc_id, text, pos,
-         list_transform(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
+         list_transform(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+'), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS t
   FROM (SELECT rid, doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d)
 ), p AS (
   SELECT rid, doc_id, text, pos, len(t) AS n, list_slice(t, 1, 3) AS lead, t,
