@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import ARROW, PACKED, Packer, extremes, group_of, grouped, key_of, look_up, unpack
-from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, slices, window_hash, window_starts
+from .buckets import ARROW, PACKED, Members, Packer, extremes, group_of, grouped, key_of, look_up, rows_with, unpack
+from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, slices, window_hash, window_starts
 
 ANCHOR, PROBE = 0, 1
 #: Hashes that a map task holds before it packs them.
@@ -96,10 +96,10 @@ def _extend(window: int, buckets: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         hit_ids, hits, origins = unpack(answers, 0)
-        hit_keys = np.unique(key_of(hit_ids, origins, hits))
+        hit_keys = Members(key_of(hit_ids, origins, hits))
         packer = Packer(np.uint64)
         ids = arrow_ids(docs["id"])
-        wanted = np.flatnonzero(np.isin(ids, hit_ids))
+        wanted = rows_with(ids, hit_ids)
         docs, ids = docs.take(wanted), ids[wanted]
         buf, off = arrow_text(docs["text"])
         for lo, hi in slices(off):
@@ -111,7 +111,7 @@ def _extend(window: int, buckets: int):
             h = window_hash(w.hash, block, _BLOCK_SEED)[at]
             keys = key_of(row_ids[rows[at]], h >> _bits(buckets), h.astype(np.uint32))
             hit = np.zeros(len(w.hash) + 1, dtype=np.int32)
-            hit[at + 1] = np.isin(keys, hit_keys)
+            hit[at + 1] = hit_keys.has(keys)
             before = np.cumsum(hit)
             at = window_starts(w.first, window)
             at = at[before[at + window - block + 1] > before[at]]
@@ -137,42 +137,37 @@ def _repeats(groups: int):
 
 def _remove(window: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        from .textcore import mix
-
         answer_ids, repeats, _ = unpack(answers, 0, np.uint64)
-        keys = np.unique(repeats + mix(answer_ids.view(U64)))
-        known = np.unique(answer_ids)
+        keys = Members(repeats + mix(answer_ids.view(U64)))
         ids = arrow_ids(docs["id"])
-        buf, off = arrow_text(docs["text"])
-        out: dict[str, list] = {name: [] for name in _RESULT.names}
+        gone_by_row: dict[int, np.ndarray] = {}
+        answered = rows_with(ids, answer_ids)
+        buf, off = arrow_text(docs["text"].take(answered))
         for lo, hi in slices(off):
-            has = np.isin(ids[lo:hi], known)
-            covered = None
-            if has.any():
-                w = Words(buf, off[lo : hi + 1], SPACE_WORDS)
-                rows = w.rows()
-                at = window_starts(w.first, window)
-                at = at[has[rows[at]]]
-                h = window_hash(w.hash, window, _WINDOW_SEED)[at] + mix(ids[lo:hi][rows[at]].view(U64)) if len(at) else np.zeros(0, U64)
-                at = at[np.isin(h, keys)]
-                step = np.zeros(len(w.hash) + 1, dtype=np.int32)
-                np.add.at(step, at, 1)
-                np.add.at(step, at + window, -1)
-                covered = np.cumsum(step)[: len(w.hash)] > 0
+            w = Words(buf, off[lo : hi + 1], SPACE_WORDS)
+            at = window_starts(w.first, window)
+            if not len(at):
+                continue
+            h = window_hash(w.hash, window, _WINDOW_SEED)[at] + mix(ids[answered[lo:hi]].view(U64))[w.rows()[at]]
+            at = at[keys.has(h)]
+            step = np.bincount(at, minlength=len(w.hash) + 1) - np.bincount(at + window, minlength=len(w.hash) + 1)
+            covered = np.cumsum(step)[: len(w.hash)] > 0
             for r in range(lo, hi):
-                words = buf[off[r] : off[r + 1]].tobytes().split()
-                gone = covered[w.first[r - lo] : w.first[r - lo + 1]] if has[r - lo] else None
-                spans = []
-                n = len(words)
-                if gone is not None and gone.any():
-                    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
-                    spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-                    words = list(compress(words, (~gone).tolist()))
-                out["doc_id"].append(int(ids[r]) if ids[r] != NO_ID else None)
-                out["n_words"].append(n)
-                out["n_removed"].append(n - len(words))
-                out["removed"].append(spans)
-                out["kept_text"].append(b" ".join(words).decode())
+                gone_by_row[int(answered[r])] = covered[w.first[r - lo] : w.first[r - lo + 1]]
+        buf, off = arrow_text(docs["text"])
+        out: dict[str, list] = {name: [] for name in _RESULT.names}
+        for r in range(len(ids)):
+            words = buf[off[r] : off[r + 1]].tobytes().split()
+            gone, spans, n = gone_by_row.get(r), [], len(words)
+            if gone is not None and gone.any():
+                turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+                spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+                words = list(compress(words, (~gone).tolist()))
+            out["doc_id"].append(int(ids[r]) if ids[r] != NO_ID else None)
+            out["n_words"].append(n)
+            out["n_removed"].append(n - len(words))
+            out["removed"].append(spans)
+            out["kept_text"].append(b" ".join(words).decode())
         return pa.Table.from_pydict(out, schema=_RESULT)
 
     return run
