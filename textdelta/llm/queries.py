@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_dedup, permutation_index, pseudonyms, style_tree, substring_dedup, toxicity, url_filter
+from . import decontaminate, jaccard_join, line_dedup, permutation_index, pieces, pseudonyms, style_tree, substring_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op3_permutation_index": op3_permutation_index,
     "op4_style_tree": op4_style_tree,
+    "op5_pieces": op5_pieces,
     "op6_toxicity": op6_toxicity,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
