@@ -15,7 +15,9 @@ Only words that share half of a term (its beginning or its end) can be within
 one edit of it; that is told in bulk from the bytes before any automaton runs.
 
 Labels are learned from at most ``SAMPLE`` documents of each label (those of the
-smallest hash of their id), which is the one sample; every text is scored whole.
+smallest hash of their id), which is the one sample; of near copies in it (those
+that share a min-hash) one counts, so that a copied document's words are no
+evidence by themselves. Every text is scored whole.
 
 Edge cases: null and empty texts score the floor; null labels are ignored; of
 labels that disagree on an id the toxic one counts; without toxic or without
@@ -37,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Words, arrow_text, slices, word_table
+from .components import cut
+from .textcore import U64, Words, arrow_text, mix, slices, window_hash, word_table
 
 SAMPLE = 5000
 #: A term's least log-likelihood ratio and share of toxic documents, and the words that a stem stands for at least.
@@ -67,23 +70,37 @@ class Trie:
         node.term, node.stem, node.sure = term, stem, sure
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The term of the fewest edits (at most one), ties by the term; (term, edits)."""
+        """The term of the fewest edits (at most one), ties by the term; (term, edits).
+
+        The word's Levenshtein automaton as its states (place in the word, edits):
+        each state of a node goes on by the next character, and from no edits also
+        by a substitution, an insertion or a deletion.
+        """
         found: list[tuple[int, str]] = []
-        todo = [(self, 0, list(range(len(word) + 1)))]
+        n = len(word)
+        todo = [(self, 0, 0)]
         while todo:
-            node, depth, row = todo.pop()
+            node, i, edits = todo.pop()
             if node.term is not None:
                 if node.stem:
-                    if word.startswith(node.term) and len(word) > depth:
+                    if not edits and i < n:
                         found.append((0, node.term))
-                elif row[-1] <= (1 if depth >= FUZZY and node.sure else 0):
-                    found.append((row[-1], node.term))
-            for c, child in node.children.items():
-                below = [depth + 1]
-                for j, x in enumerate(word, 1):
-                    below.append(min(below[-1] + 1, row[j] + 1, row[j - 1] + (x != c)))
-                if min(below) <= 1:
-                    todo.append((child, depth + 1, below))
+                elif i == n and (not edits or node.sure):
+                    found.append((edits, node.term))
+            if i < n and (child := node.children.get(word[i])) is not None:
+                todo.append((child, i + 1, edits))
+            if not edits:
+                if i < n:
+                    todo.append((node, i + 1, 1))
+                    after = word[i + 1] if i + 1 < n else ""
+                    for c, child in node.children.items():
+                        if c != word[i]:
+                            if not after or after in child.children:
+                                todo.append((child, i + 1, 1))
+                            if word[i] in child.children:
+                                todo.append((child, i, 1))
+                else:
+                    todo.extend((child, i, 1) for child in node.children.values() if child.term is not None)
         return min(found)[::-1] if found else None
 
 
@@ -98,16 +115,17 @@ class Lexicon:
     def __post_init__(self):
         self.trie = Trie()
         for term in sorted(self.weights):
-            self.trie.add(term, term in self.stems, self.weights[term] >= SURE)
+            self.trie.add(term, term in self.stems, len(term) >= FUZZY and self.weights[term] >= SURE)
         self.known: dict[bytes, tuple[str, float] | None] = {}
-        pair = lambda x: x[0] | x[1] << 8
-        self.lengths, self.begin, self.end = np.zeros(256, bool), np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        # the first and the last two bytes of terms, each with the lengths that a match can have
+        self.begin, self.end = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
         self.heads = np.array(sorted({int.from_bytes(t.encode()[:4], "little") for t in self.stems}), dtype=np.uint32)
         for term in set(self.weights) - self.stems:
             raw = term.encode()
-            self.lengths[max(len(raw) - 4, 0) : len(raw) + 5] = True  # an edit changes four bytes at most
-            self.begin[pair(raw)] = True
-            self.end[pair(raw[-2:])] = True
+            more = 0 if not (len(term) >= FUZZY and self.weights[term] >= SURE) else 1 if term.isascii() else 4
+            for n in range(max(len(raw) - more, 2), len(raw) + (2 if more else 0) + 1):  # an edit adds a letter of two bytes at most
+                self.begin[raw[0] | raw[1] << 8 | min(n, 63) << 16] = True
+                self.end[raw[-2] | raw[-1] << 8 | min(n, 63) << 16] = True
 
     def of(self, raw: bytes) -> tuple[str, float] | None:
         """The term that a word matches and the weight of the match."""
@@ -130,7 +148,8 @@ class Lexicon:
         s, e = w.start[at], w.end[at]
         buf = np.append(w.buf, np.zeros(4, np.uint8)).astype(np.uint32)
         first, last = buf[s] | buf[s + 1] << 8, buf[e - 2] | buf[e - 1] << 8
-        ok = self.lengths[np.minimum(size[at], 255)] & (self.begin[first] | self.end[last])
+        long = np.minimum(size[at], 63).astype(np.uint32) << 16
+        ok = self.begin[first | long] | self.end[last | long]
         if len(self.heads):
             four = first | buf[s + 2] << 16 | buf[s + 3] << 24
             ok |= (size[at] >= 4) & (self.heads[np.minimum(np.searchsorted(self.heads, four), len(self.heads) - 1)] == four)
@@ -194,6 +213,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"term": list(counts), "n0": [x[0] for x in counts.values()], "n1": [x[1] for x in counts.values()], "words": [sorted(x[2])[: 2 * STEM_WORDS] for x in counts.values()]}, schema=pa.schema([("term", pa.string()), ("n0", pa.int64()), ("n1", pa.int64()), ("words", pa.list_(pa.string()))]))
 
 
+def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Four min-hashes of the five-word shingles of each text."""
+    for batch in batches:
+        buf, off = arrow_text(batch["text"])
+        signs: list[list[int]] = []
+        for lo, hi in slices(off):
+            w = Words(buf, off[lo : hi + 1], _TABLE, lower=True)
+            h = window_hash(w.hash, 5, 61)
+            for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+                own = h[a : max(b - 4, a)]
+                signs.append([int(mix(own + U64(k)).min().view(np.int64)) for k in range(4)] if len(own) else [])
+        yield pa.RecordBatch.from_arrays([batch["__id"], batch["toxic"], pa.array(signs, pa.list_(pa.int64()))], names=["id", "toxic", "signs"])
+
+
 def evidence(n1: float, n0: float, all1: float, all0: float) -> tuple[float, float]:
     """Log-likelihood ratio of a term against the base rate, and its share of toxic documents with both labels made equally many."""
     base, own = all1 / (all1 + all0), n1 / (n1 + n0)
@@ -212,7 +245,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE) for y in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 SAMPLE rows of two numbers
-    rows = docs.select(F.col(id_column).cast("long").alias("__id"), F.col(text_column).cast("string").alias("text")).join(sample, "__id").select("text", "toxic")
+    rows = cut(docs.select(F.col(id_column).cast("long").alias("__id"), F.col(text_column).cast("string").alias("text")).join(sample, "__id"))
+    signs = rows.mapInArrow(_signs, "id long, toxic int, signs array<long>").collect()  # a row for each of the sample
+    seen: set[int] = set()
+    alike = []
+    for r in sorted(signs, key=lambda r: (-r.toxic, r.id)):
+        if r.signs and not seen.isdisjoint(r.signs):
+            alike.append((r.id,))
+        seen.update(r.signs)
+    if alike:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(alike, "__id long")), "__id", "left_anti")
+    rows = rows.select("text", "toxic")
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return Lexicon({}, set())
