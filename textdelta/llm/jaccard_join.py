@@ -1,20 +1,26 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles. All sets are ordered alike,
-rare shingles first. Two sets of Jaccard similarity t or more share at least m
-tokens of their m-prefixes, which have ``n - ceil(t n) + m`` tokens of n. Each
-document chooses its own m: longer prefixes are posted where the estimated cost
-of candidates (from the shingles' frequencies) is high, and then a pair must
-share min(m, m') prefix tokens before it is verified.
+rare shingles first. If sets x and y (x not the larger) have similarity t or
+more, they share at least m tokens of x's first ``|x| - ceil(2t/(1+t) |x|) + m``
+(its index prefix) and y's first ``|y| - ceil(t |y|) + m`` (its probe prefix).
+Each document chooses its own m: longer prefixes are posted where the estimated
+cost of candidates (from the shingles' frequencies) is high, and then a pair
+must share min(m, m') of them before it is verified.
 
 Plan: (1) shingle hashes, packed, to hash buckets, which count documents;
 (2) buckets answer each document with the frequencies above 1, so that order,
-prefix and m are known; documents whose prefix is all of single shingles cannot
-have a partner and post nothing; equal sets are one class from here on;
-(3) each posting list's members are verified against its smallest member, and
-components are taken; (4) what is left are pairs across components: members of
-a list outside its largest component against the list, counted and verified.
-So a large group of near copies costs its members, not its pairs.
+prefixes and m are known; documents whose prefix is all of single shingles
+cannot have a partner and post nothing; equal sets are one class from here on;
+(3) documents are dealt into blocks by their smallest shared token (a min-hash),
+so near copies mostly meet in one block; a crowded token's documents are salted
+over several; (4) posting lists of index prefixes tell which documents of other
+blocks must probe a block too, and they come in parts of bounded size; prefix
+matches are counted and candidates verified there by sparse counting, pair by
+pair but not as rows; a block returns links that span what it found linked, or
+all of them on demand; (5) connected components. So a large group of near copies
+makes rows in proportion to its members, and no task holds more than a block and
+a part. Shared tokens are verified by 48 bits of their hashes.
 
 Edge cases: null or wordless text is an empty set, linked with nothing; with
 fewer words than ``k`` the whole sequence is the one shingle; rows that share an
@@ -29,19 +35,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import ARROW, PACKED, Packer, group_of, grouped, key_of, unpack
+from .buckets import ARROW, PACKED, Members, Packer, group_of, grouped, key_of, unpack
 from .components import components, cut
-from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, slices, window_hash
+from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, ranges, slices, window_hash
 
 FLUSH = 6_000_000
 _SEED = 21
 #: The longest m, and what verifying a candidate costs against reading a posting.
 MOST_MATCHES, VERIFY_COST = 4, 10.0
-SETS = "doc_id long, n_shingles long, f1 long, f2 long, m int, prefix array<long>, tokens array<long>"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("m", pa.int32()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+#: Shingles of the documents in a block, of those of other blocks that probe it at once, and pairs of equal tokens counted at once.
+BLOCK_TOKENS, PART_TOKENS, MEETINGS = 600_000, 2_000_000, 2_000_000
+SETS = "doc_id long, n_shingles long, f1 long, f2 long, m int, n_index int, home long, prefix array<long>, tokens binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("m", pa.int32()), ("n_index", pa.int32()), ("home", pa.int64()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
 
 def _sets(w: Words, k: int) -> Iterator[np.ndarray]:
@@ -88,6 +96,20 @@ def _count(groups: int):
     return run
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """48 bits of each hash, six bytes apiece."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a column, and the n + 1 offsets."""
+    each = [x or b"" for x in column.to_pylist()]
+    raw = np.frombuffer(b"".join(each), dtype=np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :6] = raw
+    return wide.view("<u8").ravel(), np.append(0, np.cumsum([len(x) // 6 for x in each])).astype(np.int64)
+
+
 def choose_m(frequency: np.ndarray, base: int, most: int) -> int:
     """How many prefix tokens to ask for: the m with the least estimated cost.
 
@@ -116,61 +138,125 @@ def _prefixes(k: int, num: int, den: int, buckets: int):
             for r, s in zip(range(lo, hi), _sets(Words(buf, off[lo : hi + 1], SPACE_WORDS, lower=True), k), strict=True):
                 n, me = len(s), int(ids[r])
                 print_ = (n, int(mix(s ^ U64(0x51ED270B)).sum().view(np.int64)), int(mix(s + U64(0x2545F4914F6CDD1D)).sum().view(np.int64)))
-                m, prefix, tokens = None, None, None
+                m, n_index, home, prefix, tokens = None, None, None, None, None
                 if n and me != NO_ID and print_ not in seen and len(keys):
                     seen.add(print_)
                     asked = key_of(np.full(n, me), s >> _shift(buckets), s.astype(np.uint32))
                     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                     frequency = np.where(keys[at] == asked, counts[at], 1)
                     least = -(-num * n // den)
-                    base = n - least + 1
+                    base, short = n - least + 1, n - (-(-2 * num * n // (num + den))) + 1
                     if (frequency > 1).sum() > n - base:
                         order = np.lexsort((s, frequency))
                         m = choose_m(frequency[order], base, min(MOST_MATCHES, least))
                         first = order[: base + m - 1]
-                        prefix = s[first[frequency[first] > 1]].view(np.int64)
-                        tokens = s[frequency > 1].view(np.int64)
-                for name, x in zip(_SETS.names, (me if me != NO_ID else None, *print_, m, prefix, tokens), strict=True):
+                        shared = frequency[first] > 1
+                        n_index = int(shared[: short + m - 1].sum())
+                        prefix = s[first[shared]].view(np.int64)
+                        shared = s[frequency > 1]
+                        home, tokens = int(shared[0].view(np.int64)), _pack(shared)
+                for name, x in zip(_SETS.names, (me if me != NO_ID else None, *print_, m, n_index, home, prefix, tokens), strict=True):
                     out[name].append(x)
         return pa.Table.from_pydict(out, schema=_SETS)
 
     return run
 
 
-def similar(inter: Column, n: Column, other: Column, num: int, den: int) -> Column:
-    return inter * den >= (n + other - inter) * num
-
-
-def _verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b of the pairs (a, b) that are links."""
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    sizes = nodes.select("node", "n")
-    near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(near).select("a", "b")
-    inter = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    return pairs.join(of("b"), "b").join(of("a"), "a").where(similar(inter, F.col("n_a"), F.col("n_b"), num, den)).select("a", "b")
+class _Forest:
+    """Union-find over whatever is asked."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.setdefault(x, x)) != x:
+            self.up[x] = x = self.up[y]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column as unsigned, and the n + 1 offsets."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = np.array([0, *pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)], dtype=np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U64), np.cumsum(lengths)
+
+
+class _Lists:
+    """Which of up to BLOCK classes have a token."""
+
+    def __init__(self, values: np.ndarray, offsets: np.ndarray, upto: np.ndarray | None = None):
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        if upto is not None:
+            keep = np.arange(len(values)) - offsets[owner] < upto[owner]
+            values, owner = values[keep], owner[keep]
+        order = np.argsort(values, kind="stable")
+        values, self.owner = values[order], owner[order]
+        heads = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+        self.keys, self.first = values[heads], np.append(heads, len(values))
+        self.members = Members(self.keys)
+
+    def counts(self, values: np.ndarray, row: np.ndarray, n_rows: int, n_classes: int) -> np.ndarray:
+        """How many of each row's tokens each class has."""
+        at = np.flatnonzero(self.members.has(values))
+        key = np.searchsorted(self.keys, values[at])
+        size = self.first[key + 1] - self.first[key]
+        before = np.cumsum(size) - size
+        out = np.zeros(n_rows * n_classes, dtype=np.int64)
+        lo = 0
+        while lo < len(at):  # MEETINGS at once
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + MEETINGS)))
+            met = np.repeat(row[at[lo:hi]], size[lo:hi]) * n_classes + self.owner[ranges(self.first[key[lo:hi]], size[lo:hi])]
+            out += np.bincount(met, minlength=n_rows * n_classes)
+            lo = hi
+        return out.reshape(n_rows, n_classes)
+
+
+def _verify(num: int, den: int, every: bool):
+    """Links within a block (in its part 0), and with the documents of other blocks that probe it."""
+
+    def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        forest = _Forest()
+        if len(block):
+            block = block.sort_by("doc_id")
+            kept: dict[tuple, int] = {}
+            for i, x in enumerate(zip(*(block[k].to_pylist() for k in ("f1", "f2", "n_shingles")), strict=True)):
+                kept.setdefault(x, i)  # one of equal sets
+            block = block.take(list(kept.values()))
+            nodes, sizes, ms = (block[k].to_numpy() for k in ("doc_id", "n_shingles", "m"))
+            index = _Lists(*_flat(block["prefix"]), block["n_index"].to_numpy())
+            whole = _Lists(*_unpacked(block["tokens"]))
+            sides = [part] if block["part"][0].as_py() else [block, part]
+        for side in sides if len(block) else []:
+            y_nodes, y_sizes, y_ms = (side[k].to_numpy() for k in ("doc_id", "n_shingles", "m"))
+            (prefix, at), (tokens, to) = _flat(side["prefix"]), _unpacked(side["tokens"])
+            step = max(1, (1 << 18) // len(nodes))
+            for lo in range(0, len(y_nodes), step):
+                hi = min(lo + step, len(y_nodes))
+                row = lambda o: np.repeat(np.arange(hi - lo), np.diff(o[lo : hi + 1]))  # noqa: B023, E731
+                matches = index.counts(prefix[at[lo] : at[hi]], row(at), hi - lo, len(nodes))
+                yn, yk, ym = (x[lo:hi, None] for x in (y_sizes, y_nodes, y_ms))
+                maybe = (matches >= np.minimum(ms, ym)) & ((sizes < yn) | ((sizes == yn) & (nodes < yk))) & (sizes * den >= yn * num)
+                if not maybe.any():
+                    continue
+                both = whole.counts(tokens[to[lo] : to[hi]], row(to), hi - lo, len(nodes))
+                linked = maybe & (both * den >= (sizes + yn - both) * num)
+                for y, x in zip(*np.nonzero(linked), strict=True):
+                    a, b = int(nodes[x]), int(y_nodes[lo + y])
+                    if every or forest.join(a, b):
+                        out.append((min(a, b), max(a, b)))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-
-def _across(posts: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of different components. posts: token, node, n, m, component.
-
-    The largest component of a list is not paired with itself; any pair across
-    components has a member outside it.
-    """
-    by = posts.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = by.groupBy("token").agg(F.max_by("component", F.struct(F.col("c"), -F.col("component"))).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    posts = posts.join(main, "token")
-    x = posts.where("component <> main").drop("main").toDF("token", "a", "n_a", "m_a", "c_a")
-    y = posts.toDF("token", "b", "n_b", "m_b", "c_b", "main")
-    near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = x.join(y, "token").where((F.col("c_a") != F.col("c_b")) & once & near)
-    pairs = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("shared"), F.min(F.least("m_a", "m_b")).alias("m"))
-    return pairs.where("shared >= m").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return run
 
 
 class JaccardJoin:
-    """``sets`` (a row a document), ``nodes`` (classes of equal sets that may have partners) and what follows from them."""
+    """``sets`` (a row a document), ``classes`` of equal sets, ``posting`` (documents that may have partners) and what follows."""
 
     def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 4, num: int = 85, den: int = 100):
         self.num, self.den = num, den
@@ -181,28 +267,39 @@ class JaccardJoin:
         self.sets = cut(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_prefixes(k, num, den, buckets), SETS))
         full = self.sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
         self.classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
-        own = self.sets.where("prefix IS NOT NULL").join(self.classes, ["f1", "f2", "n_shingles"]).where("doc_id = node")
-        self.nodes = own.select("node", F.col("n_shingles").alias("n"), "m", "prefix", "tokens")
-
-    def posts(self) -> DataFrame:
-        return self.nodes.select(F.explode("prefix").alias("token"), "node", "n", "m")
-
-    def links(self) -> DataFrame:
-        """a, b: every pair of classes (their smallest ids) that are similar and not equal."""
-        return _verified(_across(self.posts().withColumn("component", F.col("node")), self.num, self.den), self.nodes, self.num, self.den)
+        self.posting = self.sets.where("prefix IS NOT NULL")
+
+    def links(self, every: bool = True) -> DataFrame:
+        """a, b: pairs of documents that are similar; of equal sets the smallest id stands for all.
+
+        All pairs (of a block's and a probing document's sets), or enough to connect what is connected.
+        """
+        weights = self.posting.groupBy("home").agg(F.sum("n_shingles").alias("w"))
+        total = weights.agg(F.sum("w")).first()[0] or 0
+        crowded = weights.where(F.col("w") > BLOCK_TOKENS).select(F.col("home").alias("crowd"), F.ceil(F.col("w") / BLOCK_TOKENS).alias("salts"))
+        salt = F.pmod(F.xxhash64("f1", "f2"), F.col("salts"))  # equal sets stay together
+        light = F.pmod(F.xxhash64("home"), F.lit(-(-total // BLOCK_TOKENS) or 1))
+        block = F.when(F.col("crowd").isNull(), light).otherwise(F.xxhash64("crowd", salt))
+        dealt = self.posting.join(crowded, F.col("home") == F.col("crowd"), "left").withColumn("block", block).drop("crowd", "salts", "home")
+        narrow = dealt.select("doc_id", "block", "n_shingles", "n_index", "prefix")
+        index = narrow.select("block", F.explode(F.slice("prefix", 1, F.col("n_index"))).alias("token")).distinct()
+        probes = narrow.select("doc_id", F.col("block").alias("own"), F.col("n_shingles").alias("weight"), F.explode("prefix").alias("token"))
+        met = cut(index.join(probes, "token").where("block <> own").select("block", "doc_id", "weight").distinct())
+        parts = met.groupBy("block").agg(F.ceil(F.sum("weight") / PART_TOKENS).cast("int").alias("parts"))
+        left = dealt.join(parts, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+        met = met.join(parts, "block").select("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id")
+        right = met.join(self.posting.select("doc_id", "n_shingles", "m", "prefix", "tokens"), "doc_id")
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # names of their own on either side
+        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_verify(self.num, self.den, every), "a long, b long")
+        # to the smallest ids of equal sets
+        own = self.posting.select("doc_id", "f1", "f2", "n_shingles").join(self.classes, ["f1", "f2", "n_shingles"]).where("doc_id <> node").select("doc_id", "node")
+        for side in ("a", "b"):
+            found = found.join(own.toDF(side, "node"), side, "left").withColumn(side, F.coalesce("node", side)).drop("node")
+        return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def components(self) -> DataFrame:
-        """node, component of every class that has links."""
-        posts = self.posts()
-        heads = posts.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-        stars = posts.join(heads, "token").where("node > a").select("a", F.col("node").alias("b")).distinct()
-        links = cut(_verified(stars, self.nodes, self.num, self.den))
-        first = components(links)
-        posts = posts.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")).select("token", "node", "n", "m", "component")
-        more = cut(_verified(_across(posts, self.num, self.den), self.nodes, self.num, self.den))
-        if more.isEmpty():
-            return first
-        return components(links.union(more))
+        """node, component of every class of equal sets (by its smallest id) that has links."""
+        return components(self.links(every=False))
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id: a row a document."""
