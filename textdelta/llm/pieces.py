@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ranges
+from .textcore import ranges, span_hash
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of different parts indexed at once, and encoded parts that a worker keeps.
-INDEX_CHARS, KEPT = 500_000, 300_000
+INDEX_CHARS, KEPT = 500_000, 800_000
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -93,15 +92,13 @@ class Codec:
         long_pieces = [p for p in known if len(p) > 1]
         reach = any(MARK in p.lstrip(MARK) for p in long_pieces)  # a piece that goes on over a word mark
         within = {c for p in long_pieces for c in p}
-        lone = "".join(re.escape(c) for c in "\n\t\r\0" if c not in within)
-        lone = f"[{lone}]" if lone else None
-        if reach:
-            self.parts = re.compile(r"[\s\S]+")
-        elif lone:
-            self.parts = re.compile(rf"{lone}|{MARK}+[^{MARK}{lone[1:-1]}]*|[^{MARK}{lone[1:-1]}]+")
-        else:
-            self.parts = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.whole = reach
+        self.lone = np.zeros(256, dtype=bool)
+        self.lone[[ord(c) for c in "\n\t\r\0" if c not in within]] = True
+        self.ids_of: dict[int, bytes] = {}
+        self.out_size = np.array([len(x) for x in vocabulary.out], dtype=np.int64)
+        self.out_at = np.cumsum(self.out_size) - self.out_size
+        self.out_bytes = np.frombuffer(b"".join(vocabulary.out), dtype=np.uint8)
 
     # the index ----------------------------------------------------------------
 
@@ -236,8 +233,8 @@ class Codec:
             out[i] = True
         return out
 
-    def _index(self, parts: list[str]) -> None:
-        """Encodes parts, all at once."""
+    def _index(self, parts: list[str]) -> list[bytes]:
+        """Encodes parts, all at once: the ids of each as 32-bit integers."""
         joined = "\0".join(parts)
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) + 1
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
@@ -273,46 +270,69 @@ class Codec:
         cut = np.searchsorted(begin_at, first)
         unknown = np.flatnonzero(ids < 0)
         missing = np.add.reduceat(np.append(ids < 0, False).astype(np.int64), np.minimum(cut[:-1], len(ids))) if len(unknown) else None
-        packed, listed, cut, out = ids.astype("<i4").tobytes(), ids.tolist(), cut.tolist(), self.v.out
+        packed, cut = ids.astype("<i4").tobytes(), cut.tolist()
+        found = []
         for k, part in enumerate(parts):
             a, b = cut[k], cut[k + 1]
             if missing is None or not missing[k]:
-                self.kept[part] = (packed[4 * a : 4 * b], b"".join([out[i] for i in listed[a:b]]))
+                found.append(packed[4 * a : 4 * b])
                 continue
-            own = [j for i, p in zip(listed[a:b], begin_at[a:b].tolist(), strict=True) for j in ([i] if i >= 0 else self._fallback(part[p - int(first[k])]))]
+            own = [j for i, p in zip(ids[a:b].tolist(), begin_at[a:b].tolist(), strict=True) for j in ([i] if i >= 0 else self._fallback(part[p - int(first[k])]))]
             if not self.v.byte_fallback:  # neighbouring unknowns are one
                 own = [i for at, i in enumerate(own) if i != self.v.unknown or not at or own[at - 1] != i]
-            self.kept[part] = (np.array(own, dtype="<i4").tobytes(), b"".join([out[i] for i in own]))
+            found.append(np.array(own, dtype="<i4").tobytes())
+        return found
 
     def _fallback(self, c: str) -> list[int]:
         return [self.v.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if self.v.byte_fallback else [self.v.unknown]
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes] | None]:
-        """(token ids as 32-bit integers, the decoded text) of each text."""
-        prefix = MARK if self.v.prefix else ""
-        cut = [self.parts.findall(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        new: dict[str, None] = {}
-        for parts in cut:
-            for p in parts:
-                if p not in self.kept:
-                    new[p] = None
+    def _parts(self, buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where parts begin and end: at rows' ends, before runs of marks, and around characters that are always alone."""
+        n = len(buf)
+        begins = np.zeros(n + 1, dtype=bool)
+        begins[rows] = True
+        if not self.whole:
+            mark, lone = buf == 32, self.lone[buf]
+            begins[1:n] |= mark[1:] & ~mark[:-1] | lone[1:] | lone[:-1]
+        at = np.flatnonzero(begins[:n])
+        return at, np.append(at[1:], n)
+
+    def _new(self, hashes: list[int], parts: list[bytes]) -> None:
         held: list[str] = []
-        size = 0
-        for p in new:
-            held.append(p)
-            size += len(p)
-            if size > INDEX_CHARS:
-                self._index(held)
-                held, size = [], 0
-        if held:
-            self._index(held)
-        skip = len(prefix)
-        kept = self.kept
-        for text, parts in zip(texts, cut, strict=True):
-            found = [kept[p] for p in parts]
-            yield None if text is None else (b"".join([x[0] for x in found]), b"".join([x[1] for x in found])[skip:])
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        size = done = 0
+        for k, part in enumerate(parts):
+            held.append(part.decode("utf-8", "surrogatepass").replace(" ", MARK))
+            size += len(held[-1])
+            if size > INDEX_CHARS or k == len(parts) - 1:
+                self.ids_of.update(zip(hashes[done : k + 1], self._index(held), strict=True))
+                held, size, done = [], 0, k + 1
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes] | None]:
+        """(token ids as 32-bit integers, the text that they decode to) of each text."""
+        prefix = b" " if self.v.prefix else b""
+        raw = [prefix + t.replace(MARK, " ").encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        rows = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+        data = b"".join(raw)
+        buf = np.frombuffer(data, dtype=np.uint8)
+        start, end = self._parts(buf, rows)
+        hashes, first, of = np.unique(span_hash(buf, start, end), return_index=True, return_inverse=True)
+        listed = hashes.tolist()
+        unknown = [k for k, h in enumerate(listed) if h not in self.ids_of]
+        if unknown:
+            spans = zip(start[first[unknown]].tolist(), end[first[unknown]].tolist(), strict=True)
+            self._new([listed[k] for k in unknown], [data[a:b] for a, b in spans])
+        found = [self.ids_of[h] for h in listed]
+        size = np.array([len(x) // 4 for x in found], dtype=np.int64)
+        flat = np.frombuffer(b"".join(found), dtype="<i4")
+        ids = flat[ranges((np.cumsum(size) - size)[of], size[of])]
+        cut = np.append(0, np.cumsum(size[of]))[np.searchsorted(start, rows)].tolist()
+        plain = self.out_bytes[ranges(self.out_at[ids], self.out_size[ids])].tobytes()
+        places = np.append(0, np.cumsum(self.out_size[ids]))[cut].tolist()
+        skip, packed = len(prefix), ids.tobytes()
+        for k, text in enumerate(texts):
+            yield None if text is None else (packed[4 * cut[k] : 4 * cut[k + 1]], plain[places[k] : places[k + 1]][skip:])
+        if len(self.ids_of) > KEPT:
+            self.ids_of.clear()
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:

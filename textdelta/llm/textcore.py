@@ -98,6 +98,16 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each span."""
+    n = len(buf)
+    power, inverse = _power_tables(n)
+    sums = np.zeros(n + 1, dtype=U64)
+    np.cumsum((buf.astype(U64) + U64(1)) * power[:n], out=sums[1:])
+    value = (sums[end] - sums[start]) * inverse[start]
+    return mix(value + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """The words of rows [lo, hi): ``hash``, ``start``, ``end`` (byte places in ``buf``), ``first`` (n + 1 places, by row)."""
 
@@ -115,11 +125,7 @@ class Words:
         before[1:] = inside[:n]
         self.start = np.flatnonzero(inside[:n] & (~before[:n] | edge[:n]))
         self.end = np.flatnonzero(before[1:] & (~inside[1:] | edge[1:])) + 1
-        power, inverse = _power_tables(n)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.buf.astype(U64) + U64(1)) * power[:n], out=sums[1:])
-        value = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        self.hash = mix(value + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        self.hash = span_hash(self.buf, self.start, self.end)
         self.first = np.searchsorted(self.start, rows)
 
     def rows(self) -> np.ndarray:
