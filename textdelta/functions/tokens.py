@@ -27,23 +27,20 @@ def words(punctuation: bool = False, space: bool = False) -> Tokenizer:
     return lambda c: _extract(c, pattern)
 
 
-def _windows(items: Column, n: int, joined: str) -> Column:
-    size = F.size(items)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), joined))
-    return F.when(size >= n, grams).when(size.isNotNull() & items.isNotNull(), F.array().cast("array<string>"))
+def char_ngrams(n: int) -> Tokenizer:
+    """The n characters from each place on; fewer characters give none."""
+    return lambda c: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
-def char_ngrams(n: int) -> Tokenizer:
+def word_ngrams(n: int) -> Tokenizer:
     def run(c: Column) -> Column:
-        size = F.char_length(c)
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
-        return F.when(size >= n, grams).when(c.isNotNull(), F.array().cast("array<string>"))
+        def windows(items: Column) -> Column:
+            grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), " "))
+            return F.when(F.size(items) >= n, grams).otherwise(F.array().cast("array<string>"))
 
-    return run
+        return F.element_at(F.transform(F.array(words()(c)), windows), 1)  # so that the words are found once
 
-
-def word_ngrams(n: int) -> Tokenizer:
-    return lambda c: _windows(words()(c), n, " ")
+    return run
 
 
 def sentences(c: Column) -> Column:

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+    return df.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c, kind in df.dtypes if kind == "double"})  # which side a tie goes to must not depend on the engine
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def _jaccard(a: str, b: str) -> str:
 
 
 def _round(x: str, name: str) -> str:
-    return f"round(CAST({x} AS DOUBLE), 6) AS {name}"
+    return f"round(CAST({x} AS DOUBLE) + 1e-10, 6) AS {name}"
 
 
 #: Token counts and places of pairs whose modified text is the end of the original: deletions, then equals.
@@ -158,7 +158,7 @@ _TOKENIZED = {
     "word_punctuation": ("tok_word_punct", f"regexp_extract_all(text, '{_TOKENS}|{SQL_PUNCT}+')"),
     "word_all": ("tok_word_all", f"regexp_extract_all(text, '{_TOKENS}|{SQL_PUNCT}+|{SQL_SPACE}+')"),
     "char_bigram": ("tok_char_ngram", _BIGRAMS.format("string_split(text, '')", "''")),
-    "word_bigram": ("tok_word_ngram", _BIGRAMS.format(f"regexp_extract_all(text, '{_TOKENS}')", "' '")),
+    "word_bigram": ("tok_word_ngram", _BIGRAMS.format("w", "' '")),
     "sentence": ("tok_sentence", _SENTENCES),
 }
 
@@ -172,7 +172,7 @@ def _tokenizer(name: str) -> Query:
 
 
 for _tok, (_name, _sql) in _TOKENIZED.items():
-    query(_name, f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5 FROM (SELECT doc_id, {_sql} AS t FROM documents)")(_tokenizer(_tok))
+    query(_name, f"WITH d AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '{_TOKENS}') AS w FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5 FROM (SELECT doc_id, {_sql} AS t FROM d)")(_tokenizer(_tok))
 
 
 @query(
@@ -234,7 +234,7 @@ def pair_style_change(spark, sf_dir):
     return df.select("pair_id", M.stylistic_change().alias("stylistic_change"), (F.col("m_avg_word_length") - F.col("o_avg_word_length")).alias("readability_change"))
 
 
-@query("emb_cosine", "SELECT a.vec_id, round(CAST(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DOUBLE), 6) AS cosine, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("emb_cosine", "SELECT a.vec_id, round(CAST(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS DOUBLE) + 1e-10, 6) AS cosine, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE), 2)))) + 1e-10, 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def emb_cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
@@ -356,12 +356,12 @@ def sel_section(spark, sf_dir):
 # classifiers -----------------------------------------------------------------
 
 
-@query("class_engine", f"{LINE_TOKENS} SELECT pair_id, op_idx, CASE WHEN edit_type = 'Equal' THEN 'Unknown' ELSE 'Semantic' END AS category, CAST(0.8 AS DOUBLE) AS confidence FROM ops")
+@query("class_engine", f"{LINE_TOKENS} SELECT pair_id, op_idx, CASE WHEN edit_type = 'Equal' THEN 'Unknown' ELSE 'Semantic' END AS category, round(CAST(0.8 AS DOUBLE) + 1e-10, 6) AS confidence FROM ops")
 def class_engine(spark, sf_dir):
     return ops_table(line_diff(spark, sf_dir)).select("pair_id", "op_idx", "category", "confidence")
 
 
-@query("class_rule", f"{LINE_TOKENS} SELECT pair_id, op_idx, CASE WHEN edit_type = 'Equal' THEN 'Unknown' ELSE 'Semantic' END AS category, CAST(CASE WHEN edit_type = 'Equal' THEN 1.0 ELSE 0.85 END AS DOUBLE) AS confidence FROM ops")
+@query("class_rule", f"{LINE_TOKENS} SELECT pair_id, op_idx, CASE WHEN edit_type = 'Equal' THEN 'Unknown' ELSE 'Semantic' END AS category, round(CAST(CASE WHEN edit_type = 'Equal' THEN 1.0 ELSE 0.85 END AS DOUBLE) + 1e-10, 6) AS confidence FROM ops")
 def class_rule(spark, sf_dir):
     ops = line_diff(spark, sf_dir, classify_edits=False).select("pair_id", F.posexplode("ops").alias("op_idx", "op"))
     return ops.select("pair_id", "op_idx", classify.rule_based(F.col("op")).alias("r")).select("pair_id", "op_idx", "r.category", "r.confidence")
