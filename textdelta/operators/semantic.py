@@ -64,7 +64,7 @@ def learn(history: DataFrame, percentile: float = 0.5, most: int = 10_000) -> Da
     elbow = F.when(n >= 30, F.coalesce("elbow", "median"))
     base = F.col("by_percentile")
     threshold = (
-        F.when(mixture.isNotNull() & elbow.isNotNull(), 0.4 * mixture + 0.4 * base + 0.2 * elbow)
+        F.when(mixture.isNotNull() & elbow.isNotNull(), 0.4 * mixture + 0.4 * elbow + 0.2 * base)
         .when(mixture.isNotNull(), 0.6 * mixture + 0.4 * base)
         .when(elbow.isNotNull(), 0.6 * elbow + 0.4 * base)
         .otherwise(base)
