@@ -69,7 +69,8 @@ class Packer:
 
     def add(self, kind: int, origin: int, part: np.ndarray, ids: np.ndarray, hashes: np.ndarray, extra: np.ndarray | None = None) -> None:
         if len(part):
-            self.held.append((kind, origin, part, ids, hashes.astype(self.dtype, copy=False), extra))
+            small = np.uint16 if int(part.max()) < 1 << 16 else np.int64
+            self.held.append((kind, origin, part.astype(small), ids, hashes.astype(self.dtype, copy=False), extra))
             self.size += len(part)
 
     def rows(self) -> pa.RecordBatch | None:
@@ -78,7 +79,7 @@ class Packer:
             own = [x for x in self.held if x[:2] == (kind, origin)]
             part, ids, hashes = (np.concatenate([x[i] for x in own]) for i in (2, 3, 4))
             extra = np.concatenate([x[5] for x in own]) if own[0][5] is not None else None
-            order = np.argsort(part.astype(np.uint16) if part.max() < 1 << 16 else part, kind="stable")  # 16 bits: a radix sort
+            order = np.argsort(part, kind="stable")  # a radix sort if of 16 bits
             part, ids, hashes = part[order], ids[order], hashes[order]
             new_id = np.ones(len(part), dtype=bool)
             new_id[1:] = (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])

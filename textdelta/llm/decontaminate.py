@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each shard (a few MB of documents) sorts the suffixes of its text, as sequences
+Each shard (a MB of documents, or one that is longer) sorts the suffixes of its text, as sequences
 of word numbers, and every distinct test suffix (a window of ``n`` words of an
 item; a shorter item is one window) is binary-searched in it. The range of a
 window is where it occurs; runs of occurrences are extended to the longest
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Members
-from .textcore import ALNUM_WORDS, Words, arrow_text, ranges, slices
+from .textcore import ALNUM_WORDS, Words, arrow_text, ranges, release, slices
 
 #: Test text that is held at once, and documents' text that makes a shard.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4_000_000
+BLOCK_BYTES, SHARD_BYTES = 16 << 20, 1_000_000
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, longest long, spans array<struct<start:int,end:int>>"
 
 
@@ -146,6 +146,7 @@ def _blocks(items: DataFrame, id_column: str, text_column: str, n: int) -> list[
 def _match(test: TestSet, last: bool, out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             rows: dict[str, list] = {name: [] for name in out.names}
             ids, was, old_items, old_most = (batch.column(k).to_pylist() for k in ("doc_id", "hits", "items", "longest"))
             for i, (count, covered, items, most) in enumerate(_found(test, batch["text"])):
@@ -186,6 +187,7 @@ def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", item_tex
 
         def run(batches: Iterator[pa.RecordBatch], test=test) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                release()
                 hit = [bool(covered.any()) for _, covered, _, _ in _found(test, batch.column(text_column).cast(pa.string()))]
                 yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
 

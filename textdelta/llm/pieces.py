@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import ranges, span_hash
+from .textcore import arrow_text, ranges, release, slices, span_hash
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of different parts indexed at once, and encoded parts that a worker keeps.
-INDEX_CHARS, KEPT = 500_000, 800_000
+INDEX_CHARS, KEPT = 200_000, 500_000
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -341,24 +341,20 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     return (out[1:] if vocabulary.prefix and out.startswith(b" ") else out).decode("utf-8", "replace")
 
 
-def _groups(texts: list, limit: int = 2_000_000) -> Iterator[list]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t or "")
-        if size > limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _groups(column) -> Iterator[list]:
+    """The texts of a column, about a million bytes at a time."""
+    off = arrow_text(column)[1]
+    for lo, hi in slices(off, 1_000_000):
+        yield column.slice(lo, hi - lo).to_pylist()
 
 
 def _run(vocabulary: Vocabulary, row, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
         for batch in batches:
+            release()
             at = 0
-            for texts in _groups(batch["text"].to_pylist()):
+            for texts in _groups(batch["text"]):
                 ids = batch["doc_id"].slice(at, len(texts))
                 at += len(texts)
                 rows = [row(x, t) for x, t in zip(codec.encode(texts), texts, strict=True)]
@@ -386,6 +382,7 @@ def decoded(tokens: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             text = [None if ids is None else decode(vocabulary, ids) for ids in batch["tokens"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(text, pa.string())], schema=schema)
 

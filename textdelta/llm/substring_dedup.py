@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import ARROW, PACKED, Members, Packer, extremes, group_of, grouped, key_of, look_up, rows_with, unpack
-from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, slices, window_hash, window_starts
+from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, release, slices, window_hash, window_starts
 
 ANCHOR, PROBE = 0, 1
 #: Hashes that a map task holds before it packs them.
-FLUSH = 6_000_000
+FLUSH = 3_000_000
 _BLOCK_SEED, _WINDOW_SEED, _PLACE_SEED = 11, 12, 13
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
@@ -52,6 +52,7 @@ def _probe(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(np.uint32)
         for batch in batches:
+            release()
             ids = arrow_ids(batch["id"])
             buf, off = arrow_text(batch["text"])
             for lo, hi in slices(off):
@@ -77,6 +78,7 @@ def _probe(window: int, buckets: int):
 
 def _match(groups: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         bucket = table["part"][0].as_py()
         anchor_ids, anchors, _ = unpack(table, ANCHOR)
         probe_ids, probes, _ = unpack(table, PROBE)
@@ -95,6 +97,7 @@ def _extend(window: int, buckets: int):
     block = (window + 1) // 2
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         hit_ids, hits, origins = unpack(answers, 0)
         hit_keys = Members(key_of(hit_ids, origins, hits))
         packer = Packer(np.uint64)
@@ -125,6 +128,7 @@ def _extend(window: int, buckets: int):
 
 def _repeats(groups: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         ids, hashes, _ = unpack(table, 0, np.uint64)
         later = look_up(*extremes(hashes, ids), hashes, NO_ID) < ids
         ids, hashes = ids[later], hashes[later]
@@ -137,6 +141,7 @@ def _repeats(groups: int):
 
 def _remove(window: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         answer_ids, repeats, _ = unpack(answers, 0, np.uint64)
         keys = Members(repeats + mix(answer_ids.view(U64)))
         ids = arrow_ids(docs["id"])

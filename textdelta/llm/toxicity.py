@@ -30,7 +30,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import cut
-from .textcore import U64, Words, arrow_text, mix, slices, window_hash, word_table
+from .textcore import U64, Words, arrow_text, mix, release, slices, window_hash, word_table
 
 SAMPLE = 5000
 #: A term's least log-likelihood ratio and share of toxic documents, and the words that a stem stands for at least.
@@ -198,24 +197,33 @@ def _terms(text: str) -> set[tuple[str, str]]:
     return {(w, "") for w in words if len(w) > 2} | {(w[:k] + "*", w) for w in words for k in STEMS if len(w) > k}
 
 
+_COUNTS = pa.schema([("term", pa.string()), ("n0", pa.int64()), ("n1", pa.int64()), ("words", pa.list_(pa.string()))])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: dict[str, list] = {}
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            seen: dict[str, set] = {}
-            for term, word in _terms(text or ""):
-                seen.setdefault(term, set()).add(word)
-            for term, words in seen.items():
-                own = counts.setdefault(term, [0, 0, set()])
-                own[toxic] += 1
-                if toxic and len(own[2]) < STEM_WORDS:
-                    own[2] |= words
-        yield pa.RecordBatch.from_pydict({"term": list(counts), "n0": [x[0] for x in counts.values()], "n1": [x[1] for x in counts.values()], "words": [sorted(x[2])[: 2 * STEM_WORDS] for x in counts.values()]}, schema=pa.schema([("term", pa.string()), ("n0", pa.int64()), ("n1", pa.int64()), ("words", pa.list_(pa.string()))]))
+    for whole in batches:
+        release()
+        for at in range(0, len(whole), 300):  # a few hundred texts' terms at once
+            batch = whole.slice(at, 300)
+            counts: dict[str, list] = {}
+            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+                seen: dict[str, set] = {}
+                for term, word in _terms(text or ""):
+                    seen.setdefault(term, set()).add(word)
+                for term, words in seen.items():
+                    own = counts.setdefault(term, [0, 0, set()])
+                    own[toxic] += 1
+                    if toxic and len(own[2]) < STEM_WORDS:
+                        own[2] |= words
+            found = counts.values()
+            columns = {"term": list(counts), "n0": [x[0] for x in found], "n1": [x[1] for x in found], "words": [sorted(x[2])[: 2 * STEM_WORDS] for x in found]}
+            yield pa.RecordBatch.from_pydict(columns, schema=_COUNTS)
 
 
 def _signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Four min-hashes of the five-word shingles of each text."""
     for batch in batches:
+        release()
         buf, off = arrow_text(batch["text"])
         signs: list[list[int]] = []
         for lo, hi in slices(off):
@@ -285,6 +293,7 @@ def _near(lexicon: Lexicon):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             buf, off = arrow_text(batch["text"])
             found: set[str] = set()
             for lo, hi in slices(off):
@@ -305,6 +314,7 @@ def scores(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             found = list(_matches(lexicon, batch["text"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([score(x) for x in found], pa.float64()), pa.array(found, pa.list_(match))], names=["doc_id", "score", "matches"])
 
@@ -317,6 +327,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             yield batch.filter(pa.array([score(x) < LIMIT for x in _matches(lexicon, batch.column(text_column).cast(pa.string()))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
