@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textdelta.llm import decontaminate, jaccard_join, line_dedup, pieces, toxicity
-from textdelta.llm.components import shared_folder
+from textdelta.llm.components import cut, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE, NUM, DEN = 5, 80, 100
+#: Ids that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each group of linked documents the one of the smallest id stays; rows without an id all stay."""
     docs = docs.select(COLUMNS)
     parts = jaccard_join.jaccard_components(docs, k=SHINGLE, num=NUM, den=DEN)
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct().hint("shuffle_hash")
+    gone = cut(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = F.broadcast(gone) if few else gone.hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti").select(COLUMNS)
 
 
