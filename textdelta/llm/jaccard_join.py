@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 
 from .buckets import ARROW, PACKED, Members, Packer, group_of, grouped, key_of, unpack
 from .components import components, cut
-from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, ranges, slices, window_hash
+from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, ranges, release, slices, window_hash
 
-FLUSH = 6_000_000
+FLUSH = 3_000_000
 _SEED = 21
 #: The longest m, and what verifying a candidate costs against reading a posting.
 MOST_MATCHES, VERIFY_COST = 4, 10.0
@@ -67,6 +67,7 @@ def _post(k: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(np.uint32)
         for batch in batches:
+            release()
             ids = arrow_ids(batch["id"])
             buf, off = arrow_text(batch["text"])
             for lo, hi in slices(off):
@@ -85,6 +86,7 @@ def _post(k: int, buckets: int):
 
 def _count(groups: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         ids, h, _ = unpack(table, 0)
         _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
         count = np.minimum(count, 65535)[inverse]
@@ -124,6 +126,7 @@ def choose_m(frequency: np.ndarray, base: int, most: int) -> int:
 
 def _prefixes(k: int, num: int, den: int, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         ids_, h_, origins, counts = unpack(answers, 0, extra_dtype=np.uint16)
         keys = key_of(ids_, origins, h_)
         order = np.argsort(keys)
@@ -220,6 +223,7 @@ def _verify(num: int, den: int, every: bool):
     """Links within a block (in its part 0), and with the documents of other blocks that probe it."""
 
     def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        release()
         out: list[tuple[int, int]] = []
         forest = _Forest()
         if len(block):
@@ -313,3 +317,30 @@ class JaccardJoin:
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id: documents of shingle-set similarity num / den or more are linked."""
     return JaccardJoin(docs, id_column, text_column, k, num, den).documents()
+
+
+#: The rows of ``jaccard_components`` with its default parameters in DuckDB SQL.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, hash(list_slice(w, i, i + 3)) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0))
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b
+  WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), reach AS (
+  SELECT doc_id AS root, doc_id AS met FROM n UNION SELECT reach.root, links.b FROM reach JOIN links ON reach.met = links.a
+), parts AS (
+  SELECT root, min(met) AS component_id FROM reach GROUP BY root
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN parts ON parts.root = w.doc_id
+"""

@@ -72,4 +72,5 @@ SQL: dict[str, str] = {
     "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_jaccard_join": jaccard_join.ORACLE_SQL,
 }
