@@ -116,6 +116,19 @@ def test_style_tree_drops_what_is_alike(spark):
     assert style_tree.extract(df).count() == len(rows) and style_tree.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_counts_equal_pages_once(spark, monkeypatch):
+    page = lambda i: f"<body><div class=y>text {i}</div></body>"
+    rows = [(i, "http://HOST.a/x" if i % 2 else "http://host.a/y", page(0)) for i in range(40)] + [(100 + i, "http://host.a/x", page(1 + i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a batch a page
+    try:
+        for bound in (style_tree.BROADCAST_NODES, 0):
+            monkeypatch.setattr(style_tree, "BROADCAST_NODES", bound)
+            assert {r.page_id: r.text for r in style_tree.extract(df).collect()} == {i: f"text {max(i - 99, 0)}" for i, _, _ in rows}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_style_tree_joins_when_too_many_nodes(spark, monkeypatch):
     monkeypatch.setattr(style_tree, "BROADCAST_NODES", 0)
     page = lambda i: f"<body><div class=x>same</div><div class=y>text {i}</div></body>"

@@ -16,8 +16,8 @@ Plan: (1) pages are parsed by batch, to counts of (host, node, content), which
 are summed, then folded to entropies by (host, node) by partial aggregates;
 (2) the nodes of low importance come back to the pages: as a broadcast if they
 are at most ``BROADCAST_NODES``, else by a join on (host, salt), with every host's
-pages dealt over ``SALTS`` parts. Equal pages of a host count once where one batch
-sees them, so mirrors weigh little.
+pages dealt over ``SALTS`` parts. Equal pages of a host count once in the whole
+table, however they lie in files and batches, so mirrors weigh nothing.
 
 Edge cases: null html gives the empty text; a page that is not closed, or closes
 what it did not open, is read as far as it makes sense; what follows an opening
@@ -36,7 +36,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import cut
@@ -188,16 +188,27 @@ def host_of(urls: pa.Array) -> list[str]:
     return out
 
 
+def _host(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
+
+
+def _different(pages: DataFrame) -> DataFrame:
+    """url, html of the pages that are not empty, equal pages of a host once; only html that repeats is exchanged, unless very much does."""
+    own = ["host", "key"]
+    keyed = pages.where("html <> ''").select("url", "html", _host("url").alias("host"), F.xxhash64("html").alias("key"))
+    copied = cut(keyed.groupBy(*own).agg(F.count("*").alias("c")).where("c > 1").select(*own))
+    if copied.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        copied = F.broadcast(copied)
+        once = keyed.join(copied, own, "left_anti").select("url", "html")
+        return once.union(keyed.join(copied, own, "left_semi").dropDuplicates(own).select("url", "html"))
+    return keyed.dropDuplicates(own).select("url", "html")
+
+
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (host, node, kind, content hash), a page giving each once, and equal pages of a host counting once."""
+    """Counts of (host, node, kind, content hash), a page giving each once."""
     for batch in batches:
         counts: Counter = Counter()
-        seen: set[tuple[str, int]] = set()
         for host, html in zip(host_of(batch["url"]), batch["html"].to_pylist(), strict=True):
-            key = (host, _hash(html or ""))
-            if not html or key in seen:
-                continue
-            seen.add(key)
             page = parse(html)
             counts.update({(host, path, 1, _hash(text)) for path, content, text in page.blocks if not (content or page.has_content)})
             counts.update({(host, path, 0, shown) for path, shown in page.presentations})
@@ -207,7 +218,7 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def low_nodes(pages: DataFrame, min_pages: int, threshold: float) -> DataFrame:
     """host, node of the nodes whose contents and presentations are both of low importance."""
-    counts = pages.select("url", "html").mapInArrow(_tree, "host string, node long, kind int, content long, n long")
+    counts = _different(pages).mapInArrow(_tree, "host string, node long, kind int, content long, n long")
     counts = counts.groupBy("host", "node", "kind", "content").agg(F.sum("n").alias("c"))
     nodes = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("s"))
     importance = F.when(F.col("n") < min_pages, 1.0).otherwise((F.ln("n") - F.col("s") / F.col("n")) / F.ln("n"))
@@ -246,7 +257,6 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         found = pages.mapInArrow(_extract(known), "page_id long, url string, text string")
     else:
         hosts = low.groupBy("host").agg(F.collect_set("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
-        salted = pages.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        salted = pages.withColumn("host", _host("url")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         found = salted.join(hosts, ["host", "salt"], "left").select("page_id", "url", "html", "low").mapInArrow(_extract(None), "page_id long, url string, text string")
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
