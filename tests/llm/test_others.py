@@ -116,6 +116,13 @@ def test_style_tree_drops_what_is_alike(spark):
     assert style_tree.extract(df).count() == len(rows) and style_tree.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_drops_what_is_alike_inside_articles(spark):
+    page = lambda i: f"<body><{'article' if i % 2 else 'main'}><div class=x>Share it with all</div><p>text {i}</p></body>"
+    rows = [(i, "http://host.a/x", page(2 * i + 1)) for i in range(8)] + [(50 + i, "http://host.b/x", page(2 * i)) for i in range(8)] + [(100 + i, "http://few.b/x", page(1 + 2 * i)) for i in range(3)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "text 7" and got[53] == "text 6" and got[101] == "Share it with all text 3"
+
+
 def test_style_tree_counts_equal_pages_once(spark, monkeypatch):
     page = lambda i: f"<body><div class=y>text {i}</div></body>"
     rows = [(i, "http://HOST.a/x" if i % 2 else "http://host.a/y", page(0)) for i in range(40)] + [(100 + i, "http://host.a/x", page(1 + i)) for i in range(5)]

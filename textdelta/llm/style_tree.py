@@ -8,9 +8,9 @@ many pages could have: what is alike on all pages says nothing. A page's branch
 goes if both are below ``threshold`` at its node on a host with ``min_pages``
 different pages. Presentation also has a fixed prior: elements whose tag, role,
 class or id marks them as navigation, header, footer, sidebar, notice, advert,
-form or comments go whatever their entropy; contents under ``article`` or
-``main`` are important whatever theirs, and if a page has such an element what
-lies outside it goes.
+form or comments go whatever their entropy, and if a page has an ``article`` or
+``main`` what lies outside it goes. Contents under these count and are judged
+like all others.
 
 Plan: (1) pages are parsed by batch, to counts of (host, node, content), which
 are summed, then folded to entropies by (host, node) by partial aggregates;
@@ -210,7 +210,7 @@ def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for host, html in zip(host_of(batch["url"]), batch["html"].to_pylist(), strict=True):
             page = parse(html)
-            counts.update({(host, path, 1, _hash(text)) for path, content, text in page.blocks if not (content or page.has_content)})
+            counts.update({(host, path, 1, _hash(text)) for path, _, text in page.blocks})
             counts.update({(host, path, 0, shown) for path, shown in page.presentations})
         rows = list(zip(*counts, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_pydict({"host": pa.array(rows[0], pa.string()), "node": pa.array(rows[1], pa.int64()), "kind": pa.array(rows[2], pa.int32()), "content": pa.array(rows[3], pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -230,7 +230,7 @@ def main_text(html: str | None, low: frozenset | set = frozenset()) -> str:
     if not html:
         return ""
     page = parse(html)
-    return " ".join(text for path, content, text in page.blocks if (content if page.has_content else path not in low))
+    return " ".join(text for path, content, text in page.blocks if path not in low and (content or not page.has_content))
 
 
 RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
