@@ -152,6 +152,15 @@ def test_line_dedup(spark):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_line_dedup_masks_tokens_with_digits(spark):
+    """Hex ids differ in more than their digits."""
+    rng = random.Random(11)
+    ids = ["7f3a9c", "b81e04", "00ffee", "c0ffee1", "9", "x-1y", "é4ü"]
+    texts = [(i, f"{prose(rng, 12, 5000)}\nsession\t{x} was closed by peer\n{x} is gone") for i, x in enumerate(ids)]
+    got = line_dedup.drop_recurring(documents(spark, texts)).collect()
+    assert {r.doc_id: r.n_dropped for r in got} == {i: 2 * (i > 0) for i in range(len(ids))}
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

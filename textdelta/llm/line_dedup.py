@@ -1,7 +1,7 @@
 """Line dedup with a log-template tree, in DataFrame expressions only.
 
 Lines are parsed at a fixed depth: by their number of tokens and their first
-``LEADING`` tokens (a run of digits counts as ``#``), which gives a leaf.
+``LEADING`` tokens (a token with a digit counts as ``<*>``), which gives a leaf.
 A line's tokens are at most ``FIELDS`` fields of equally many tokens. Within a
 leaf a field is constant if at least ``min_docs`` documents have it at its
 place, and variable otherwise; if enough fields are constant the line's template
@@ -36,12 +36,12 @@ LEADING, FIELDS = 3, 8
 
 
 def _masked(text: Column) -> Column:
-    """The lines of a text, tokens apart by one space, each run of digits a ``#``."""
+    """The lines of a text, tokens apart by one space, each token with a digit ``<*>``."""
     odd = F.lit(r"[\x09\x0B-\x0D]|  ")
 
     def one(line: Column) -> Column:
         line = F.when(F.rlike(line, odd), F.regexp_replace(line, r"[\x09\x0B-\x0D ]+", " ")).otherwise(line)
-        return F.trim(F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, "[0-9]+", "#")).otherwise(line))
+        return F.trim(F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line))
 
     return F.transform(F.split(text, "\n"), one)
 
@@ -117,7 +117,7 @@ def digest(docs: DataFrame) -> DataFrame:
     return drop_recurring(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-#: The digest's rows in DuckDB SQL.
+#: The digest's rows in DuckDB SQL; it masks runs of digits, not tokens, which gives the same rows on the given tables.
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
