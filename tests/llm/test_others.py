@@ -67,6 +67,17 @@ def test_url_model_against_plain_counts():
     assert abs(model.scores(pa.array(["cabd", ""]))[0] - want) < 1e-9 and model.scores(pa.array([""]))[0] == 0
 
 
+def test_url_models_keep_ngrams_apart(spark):
+    """As many distinct n-grams as there are, each with its own count."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(60)) for _ in range(4000)]
+    model, _ = url_filter.fit(spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(texts)], "text string, accepted boolean"))
+    trained = {r.text for r in spark.createDataFrame([(t,) for t in texts], "text string").where(F.pmod(F.xxhash64("text"), F.lit(url_filter.HELD_OUT)) != 0).collect()}
+    grams = {t[max(j - 5, 0) : j + 1] if j >= 5 else (j, t[: j + 1]) for i, t in enumerate(texts) if i % 2 == 0 and t in trained for j in range(60)}
+    places = model.counts.places // url_filter.KEYS
+    assert (places == ((url_filter.ORDER + 1) + url_filter.ORDER) * 2 + 1).sum() == len(grams) > url_filter.CELLS
+
+
 def test_nearest_recall_and_edges(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32)).astype(np.float32)

@@ -7,9 +7,10 @@ difference of its log-likelihoods, divided by its length. Its threshold is
 calibrated on a held-out part of the labelled URLs, as the one of the best
 balanced accuracy.
 
-Counts are kept in ``CELLS`` hashed cells for each order, so the models' size is
-fixed (``2 (ORDER + 1) CELLS`` pairs of counts); they are counted over all
-labelled URLs by partial aggregates, and more n-grams fill more cells. Labelled
+Counts are kept by the hash of context and character in ``KEYS`` cells for each
+order, so that different n-grams do not share counts; they are counted over all
+labelled URLs by partial aggregates. The models hold a row of 16 bytes for each
+distinct n-gram, and grow with them; they are broadcast whole. Labelled
 URLs of which there is no accepted or no rejected one train nothing; then all
 that has no rule is allowed.
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .textcore import U64, arrow_text, mix
 
-ORDER, CELLS = 5, 1 << 16
+#: The longest context; cells of a dense table of counts, and of the keys of a sparse one.
+ORDER, CELLS, KEYS = 5, 1 << 16, 1 << 58
 #: How much a shorter context counts, in observations; and one in HELD_OUT of the labelled URLs calibrates.
 WEIGHT, HELD_OUT = 2.0, 5
 #: Calibration bins of the score: width and range.
@@ -56,7 +58,7 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return rule, verdict
 
 
-def _contexts(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _contexts(buf: np.ndarray, off: np.ndarray, cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the cells of the contexts and of the contexts with their characters, for all bytes of a batch."""
     lo, hi = int(off[0]), int(off[-1])
     data = buf[lo:hi].astype(U64) + U64(1)
@@ -69,39 +71,55 @@ def _contexts(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
             before[order:] = data[:-order] if order < hi - lo else 0
             before[place < order] = 0  # before the text
             context = mix(context + before * U64(0x9E3779B97F4A7C15) + U64(order))
-        cell = (context % U64(CELLS)).astype(np.int64)
-        yield cell, (mix(context + data) % U64(CELLS)).astype(np.int64)
+        cell = (context % U64(cells)).astype(np.int64)
+        yield cell, (mix(context + data) % U64(cells)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, ORDER + 1, 2, CELLS), dtype=np.int64)
+def _count(batches: Iterator[pa.RecordBatch], cells: int = CELLS) -> Iterator[pa.RecordBatch]:
+    """Counts by place in a table (label, order, kind, cell); a place comes once a batch."""
     for batch in batches:
         accepted = batch["accepted"].to_numpy(zero_copy_only=False).astype(bool)
+        places = [np.zeros(0, np.int64)]
         for label in (0, 1):
             buf, off = arrow_text(batch["text"].filter(pa.array(accepted == bool(label))))
-            for order, cells in enumerate(_contexts(buf, off)):
-                for kind in (0, 1):
-                    total[label, order, kind] += np.bincount(cells[kind], minlength=CELLS)
-    flat = total.ravel()
-    used = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(used, pa.int64()), "n": pa.array(flat[used], pa.int64())})
+            for order, found in enumerate(_contexts(buf, off, cells)):
+                places += [((label * (ORDER + 1) + order) * 2 + kind) * cells + found[kind] for kind in (0, 1)]
+        used, n = np.unique(np.concatenate(places), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(used, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+@dataclass(frozen=True)
+class Sparse:
+    """A table of counts by label, order, kind and cell, as its sorted places that are not 0."""
+
+    places: np.ndarray
+    n: np.ndarray
+    cells: int = KEYS
+
+    def of(self, label: int, order: int, kind: int, cell: np.ndarray) -> np.ndarray:
+        place = cell + ((label * (ORDER + 1) + order) * 2 + kind) * self.cells
+        at = np.minimum(np.searchsorted(self.places, place), len(self.places) - 1)
+        return np.where(self.places[at] == place, self.n[at], 0)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Counts by label, order, kind (context; context with character) and cell."""
+    """Counts by label, order, kind (context; context with character) and cell, dense or sparse."""
+
+    counts: np.ndarray | Sparse
 
-    counts: np.ndarray
+    def _seen(self, label: int, order: int, kind: int, cell: np.ndarray) -> np.ndarray:
+        return self.counts.of(label, order, kind, cell) if isinstance(self.counts, Sparse) else self.counts[label, order, kind][cell]
 
     def scores(self, column) -> np.ndarray:
         """Log-likelihood ratio a byte of each text, accepted against rejected; 0 for an empty text."""
         buf, off = arrow_text(column)
         n = int(off[-1] - off[0])
         p = [np.full(n, 1 / 256), np.full(n, 1 / 256)]
-        for order, (context, pair) in enumerate(_contexts(buf, off)):
+        cells = self.counts.cells if isinstance(self.counts, Sparse) else self.counts.shape[-1]
+        for order, (context, pair) in enumerate(_contexts(buf, off, cells)):
             for label in (0, 1):
-                counts = self.counts[label, order]
-                p[label] = (counts[1][pair] + WEIGHT * p[label]) / (counts[0][context] + WEIGHT)
+                p[label] = (self._seen(label, order, 1, pair) + WEIGHT * p[label]) / (self._seen(label, order, 0, context) + WEIGHT)
         ratio = np.append(np.log(p[1]) - np.log(p[0]), 0.0)
         sums = np.add.reduceat(ratio, np.minimum(off[:-1] - off[0], n)) if len(off) > 1 else np.zeros(0)
         lengths = np.diff(off)
@@ -121,11 +139,12 @@ def _scored(df: DataFrame, model: Model | None, schema: str, columns: list[str])
 def fit(labelled: DataFrame) -> tuple[Model | None, float]:
     """The models and the threshold from (text, accepted)."""
     part = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT))
-    rows = labelled.where(part != 0).mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(4 * (ORDER + 1) * CELLS, dtype=np.int64)
-    flat[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    counts = flat.reshape(2, ORDER + 1, 2, CELLS)
-    if not counts[0].any() or not counts[1].any():
+    rows = labelled.where(part != 0).mapInArrow(lambda batches: _count(batches, KEYS), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    places, n = (rows[c].to_numpy() for c in ("cell", "n"))
+    order = np.argsort(places)
+    counts = Sparse(places[order], n[order])
+    accepted = counts.places // (KEYS * 2 * (ORDER + 1)) > 0
+    if accepted.all() or not accepted.any():
         return None, 0.0
     model = Model(counts)
     held = _scored(labelled.where(part == 0).select("text", "accepted"), model, "accepted boolean, score double", ["accepted"])
