@@ -258,6 +258,16 @@ def test_trie_against_edit_distance():
         assert lexicon.trie.match(w) == (want and want[::-1])
 
 
+def test_wide_characters_are_one_edit():
+    """An inserted or substituted character of three or four bytes reaches the trie."""
+    import pyarrow as pa
+
+    lexicon = toxicity.Lexicon({"blockhead": 0.99}, set())
+    words = ["block\u200bhead", "bloc\u200dkhead", "block\U0001f600head", "bl\U0001f600ckhead", "blo\u20acckhead"]
+    for found in toxicity._matches(lexicon, pa.array([f"you {w} there" for w in words])):
+        assert [m["term"] for m in found] == ["blockhead"]
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     texts, labels = [], []

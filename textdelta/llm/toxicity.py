@@ -122,7 +122,7 @@ class Lexicon:
         for term in set(self.weights) - self.stems:
             raw = term.encode()
             more = 0 if not (len(term) >= FUZZY and self.weights[term] >= SURE) else 1 if term.isascii() else 4
-            for n in range(max(len(raw) - more, 2), len(raw) + (2 if more else 0) + 1):  # an edit adds a letter of two bytes at most
+            for n in range(max(len(raw) - more, 2), len(raw) + (4 if more else 0) + 1):  # an edit adds four bytes at most
                 self.begin[raw[0] | raw[1] << 8 | min(n, 63) << 16] = True
                 self.end[raw[-2] | raw[-1] << 8 | min(n, 63) << 16] = True
 
