@@ -1,6 +1,8 @@
+import datetime
 import hashlib
 import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,7 +206,7 @@ def test_pseudonyms(spark):
     text = "mail hsr.29@mail5.example.com, +1 (988) 555-2485, 3.84.50.105, 4111 1111 1111 1111, DE89 3704 0044 0532 0130 00, 2021-03-04, 04.03.2021, 123-45-6789; not 2021-02-31 1234567890123456 é"
     texts = [(1, text), (2, None), (3, ""), (4, "4111111111111111 again"), (5, text), (6, "9" * 50000), (7, "1.2.3.4."), (None, "none")]
     docs = documents(spark, texts)
-    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs).collect()}
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs, "key").collect()}
     new = got[1].text
     shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
     mask = lambda s: re.sub(r"9[0-9.]*9(?=, 4)", "ip", s)
@@ -216,8 +218,8 @@ def test_pseudonyms(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     iso, dotted = re.search(r"\d{4}-\d\d-\d\d", new)[0], re.search(r"\d\d\.\d\d\.\d{4}", new)[0]
     assert iso == "-".join(dotted.split(".")[::-1]) and got[7].text.endswith(".")
-    assert pseudonyms.pseudonymise(docs.limit(0)).count() == 0
-    assert "Python" not in pseudonyms.pseudonymise(docs)._jdf.queryExecution().executedPlan().toString()
+    assert pseudonyms.pseudonymise(docs.limit(0), "key").count() == 0
+    assert "Python" not in pseudonyms.pseudonymise(docs, "key")._jdf.queryExecution().executedPlan().toString()
 
 
 def luhn(digits):
@@ -234,6 +236,82 @@ def test_pseudonyms_are_permutations(spark):
         assert r.n == r.p and r.same < r.n / 100
 
 
+def plain_feistel(value, mask, key, kind):
+    """The network over characters, by the definition."""
+    alphabets = {"d": "0123456789", "e": "23456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    half = len(value) // 2
+    a, b, ka, kb = value[:half], value[half:], mask[:half], mask[half:]
+    for i in range(pseudonyms.ROUNDS):
+        digest = "".join(hashlib.sha512("|".join([key, kind, str(i), mask, str(n), b]).encode()).hexdigest()[:125] for n in range(2))
+        new = ""
+        for j, (c, k) in enumerate(zip(a, ka)):
+            own = alphabets.get(k)
+            new += own[(own.index(c) + int(digest[5 * j : 5 * j + 5], 16)) % len(own)] if own else c
+        a, b, ka, kb = b, new, kb, ka
+    return a + b
+
+
+def plain_grid(left, right, a, b, key, kind):
+    for i in range(pseudonyms.ROUNDS):
+        by = lambda x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:14], 16)  # noqa: B023, E731
+        left, right = ((left + by(right)) % a, right) if i % 2 == 0 else (left, (right + by(left)) % b)
+    return left, right
+
+
+def plain_pseudonym(value, key):
+    if "@" in value:
+        local, domain = value.split("@")
+        mask = "".join("a" if c in string.ascii_lowercase else "A" if c in string.ascii_uppercase else "d" if c.isdigit() else c for c in local)
+        return plain_feistel(local, mask, key, f"email:{domain.lower()}") + "@" + domain
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", value):
+        day = (datetime.date.fromisoformat(value) - datetime.date(1900, 1, 1)).days
+        x, y = plain_grid(day // 305, day % 305, 240, 305, key, "date")
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(x * 305 + y))
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
+        areas = [x for x in range(1, 900) if x != 666]
+        x, y = plain_grid(areas.index(int(value[:3])), (int(value[4:6]) - 1) * 9999 + int(value[7:]) - 1, 898, 99 * 9999, key, "ssn")
+        return f"{areas[x]:03}-{y // 9999 + 1:02}-{y % 9999 + 1:04}"
+    if value[0].isalpha():
+        country, body = value[:2], value[4:]
+        body = plain_feistel(body, "".join("d" if c.isdigit() else "A" for c in body), key, "iban")
+        return country + f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}" + body
+    body = plain_feistel(value[:-1], "k" + "d" * (len(value) - 2), key, "card")
+    return body + next(c for c in "0123456789" if luhn(body + c) == 0)
+
+
+def test_pseudonyms_against_plain_networks(spark):
+    rng = random.Random(13)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    values = [pick("abcxyzABZ019._+-", rng.randint(1, 64)) + rng.choice(["@mail.example.com", "@X.org"]) for _ in range(120)]
+    values += [str(datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73200))) for _ in range(60)]
+    values += [f"{rng.choice([1, 665, 667, 899, rng.randint(1, 665)]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}" for _ in range(60)]
+    for _ in range(60):
+        body = rng.choice("3456") + pick("0123456789", rng.randint(11, 17))
+        values.append(body + next(c for c in "0123456789" if luhn(body + c) == 0))
+        body = pick("0123456789ABZ", 4 * rng.randint(3, 7))
+        values.append("DE" + f"{98 - int(''.join(str(int(c, 36)) for c in body + 'DE00')) % 97:02}" + body)
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    key = hashlib.sha256(b"secret").hexdigest()
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs, "secret").collect()}
+    for i, v in enumerate(values):
+        assert (got[i].n_found, got[i].text) == (1, plain_pseudonym(v, key)), v
+
+
+def test_pseudonyms_of_one_domain_share_no_shift(spark):
+    names = ["alice", "bobby", "carol", "aaaaa", "aaaab", "zzzzz"]
+    got = spark.createDataFrame([(n + "@mail.example.com",) for n in names], "m string").select("m", pseudonyms.pseudonym(F.col("m"), "key").alias("p")).collect()
+    shifts = {tuple((ord(b) - ord(a)) % 26 for a, b in zip(r.m.split("@")[0], r.p)) for r in got}
+    assert len(shifts) == len(names)
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(spark.createDataFrame([("x",)], "text string"), "")
+
+
+def test_pseudonyms_of_long_texts_that_nearly_match(spark):
+    texts = ["x@" + "a." * 5000 + "1", "x@" + "aa." * 40000, "a@" * 50000, "1." * 50000, "x" * 100000 + "@a.bc", "a.b@" + "c" * 100000 + ".de", "12-" * 30000, "AB12 " * 20000, "+1 (" * 20000, "x@" + "a." * 5000 + "com"]
+    got = pseudonyms.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()
+    assert len(got) == len(texts) and all(len(r.text) == len(texts[r.doc_id]) for r in got)
+
+
 def test_trie_against_edit_distance():
     terms = ["idiot", "moron", "worthless", "scum"]
     lexicon = toxicity.Lexicon(dict.fromkeys(terms, 0.99), set())

@@ -7,36 +7,44 @@ value was:
 
 - card numbers (Luhn): the first digit stays, the check digit is made anew;
 - IBANs (mod 97): the country stays, the check digits are made anew;
-- social security numbers (ddd-dd-dddd): the area stays, 01-99 and 0001-9999 are permuted together;
+- social security numbers (ddd-dd-dddd): area (001-899 but 666), 01-99 and 0001-9999 are permuted together;
 - North American phone numbers: digits that may not be 0 or 1 stay so;
-- IPv4 addresses: the first octet stays, the other 24 bits are permuted;
+- IPv4 addresses: the first octet stays (it tells private from public), the other 24 bits are permuted;
 - dates (ISO, dd.mm.yyyy, mm/dd/yyyy) of the 73,200 days from 1900-01-01: permuted as days, so one date in two formats stays one;
-- e-mail addresses: letters and digits before the @ keep their kind.
+- e-mail addresses: the domain stays; letters and digits before the @ keep their kind and are permuted under the domain.
 
 Strings go through a Feistel network over characters: one half is shifted, each
 character within its kind, by a keyed SHA-512 of the other half. Numbers and days
 go through one over a grid of two moduli whose product is the number of values,
 so no cycle walking is needed. All of it is one projection over whole texts: no
-shuffle, no Python.
+shuffle, no Python. The key is the caller's, without a default. Only its SHA-256
+is in the plan, but that is as good as the key to who reads plan texts: set
+``spark.sql.redaction.string.regex`` where these are kept.
+
+All patterns are bounded (a domain has 126 labels at most), so the matcher's
+stack is too.
 
 Edge cases: null text stays null with no findings; empty text is kept; what looks
-alike but is not valid stays as it is; repeated values and rows get the same
+alike but is not valid stays as it is, and an empty key is refused; repeated values and rows get the same
 pseudonyms; other columns are kept, but names that begin with two underscores
 are the operator's own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 6
+#: Rounds of a network (even), and characters that one SHA-512 shifts.
+ROUNDS, SHIFTS = 8, 25
 #: Days of the permuted range, as a grid.
 DAY_GRID = (240, 305)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _MONTH, _DAY, _YEAR = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])", r"(?:19|20|21)[0-9]{2}"
 _ISO, _DOTTED, _SLASHED = rf"{_YEAR}-{_MONTH}-{_DAY}", rf"{_DAY}\.{_MONTH}\.{_YEAR}", rf"{_MONTH}/{_DAY}/{_YEAR}"
-_EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*\.[A-Za-z]{2,24}"
+_EMAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,125}\.[A-Za-z]{2,24}"
 _IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _PHONE = r"\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}"
@@ -76,20 +84,24 @@ def grid_feistel(left: Column, right: Column, a: int, b: int, key: str, kind: st
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def text_feistel(value: Column, mask: Column, key: str, kind: str) -> Column:
-    """A keyed permutation of the strings of a mask: d digits, e digits from 2, a and A letters; else a character stays."""
+def text_feistel(value: Column, mask: Column, key: str, kind: Column) -> Column:
+    """A keyed permutation of the strings of a mask, one for each kind: d digits, e digits from 2, a and A letters; else a character stays.
+
+    A half has 50 characters at most to be shifted each by its own part of the hashes.
+    """
 
     def shifted(s: Column, kinds: Column, by: Column) -> Column:
         def one(i: Column) -> Column:
             c, k = F.substr(s, i + 1, F.lit(1)), F.substr(kinds, i + 1, F.lit(1))
-            n = _number(F.substr(by, (i % 25) * 5 + 1, F.lit(5))).cast("int")
+            n = _number(F.substr(by, F.floor(i / SHIFTS).cast("int") * 128 + (i % SHIFTS) * 5 + 1, F.lit(5))).cast("int")
             turned = lambda first, size: F.char((F.ascii(c) - first + n) % size + first)
             return F.when(k == "d", turned(48, 10)).when(k == "e", turned(50, 8)).when(k == "a", turned(97, 26)).when(k == "A", turned(65, 26)).otherwise(c)
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.length(s) - 1), one), "")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0))), one), "")
 
     def step(state: Column, i: Column) -> Column:
-        by = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i, mask, state["b"]), 512)
+        part = lambda n: F.sha2(F.concat_ws("|", F.lit(key), kind, i, mask, F.lit(n), state["b"]), 512)
+        by = F.when(F.length(state["a"]) > SHIFTS, F.concat(part(0), part(1))).otherwise(part(0))
         return F.struct(state["b"].alias("a"), shifted(state["a"], state["ka"], by).alias("b"), state["kb"].alias("ka"), state["ka"].alias("kb"))
 
     half = F.floor(F.length(value) / 2).cast("int")
@@ -131,7 +143,7 @@ def _spread(shape: Column, symbols: Column, kinds: str) -> Column:
 def _card(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[ -]", "")
     n = F.length(digits)
-    body = text_feistel(F.left(digits, n - 1), F.concat(F.lit("k"), F.repeat(F.lit("d"), n - 2)), key, "card")
+    body = text_feistel(F.left(digits, n - 1), F.concat(F.lit("k"), F.repeat(F.lit("d"), n - 2)), key, F.lit("card"))
 
     def whole(body: Column) -> Column:
         return F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
@@ -149,19 +161,26 @@ def _iban(m: Column, key: str) -> Column:
         check = 98 - mod97(F.concat(new, F.left(plain, F.lit(2)), F.lit("00")))
         return F.concat(F.left(plain, F.lit(2)), F.lpad(check.cast("string"), 2, "0"), new)
 
-    new = F.element_at(F.transform(F.array(text_feistel(body, mask, key, "iban")), whole), 1)
+    new = F.element_at(F.transform(F.array(text_feistel(body, mask, key, F.lit("iban"))), whole), 1)
     valid = (F.length(plain) >= 15) & (F.length(plain) <= 34) & (mod97(F.concat(body, F.left(plain, F.lit(4)))) == 1)
     return F.when(valid, F.element_at(F.transform(F.array(new), lambda s: _spread(m, s, "[A-Z0-9]")), 1)).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
-    new = grid_feistel(F.substring(m, 5, 2).cast("long") - 1, F.substring(m, 8, 4).cast("long") - 1, 99, 9999, key, "ssn")
-    return F.element_at(F.transform(F.array(new), lambda s: F.concat(F.left(m, F.lit(4)), F.lpad((s["l"] + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((s["r"] + 1).cast("string"), 4, "0"))), 1)
+    area = F.left(m, F.lit(3)).cast("int")
+    area = area - F.when(area > 666, 2).otherwise(1)
+    new = grid_feistel(area, (F.substring(m, 5, 2).cast("long") - 1) * 9999 + F.substring(m, 8, 4).cast("long") - 1, 898, 99 * 9999, key, "ssn")
+
+    def written(s: Column) -> Column:
+        part = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        return F.concat_ws("-", part(s["l"] + F.when(s["l"] >= 665, 2).otherwise(1), 3), part(F.floor(s["r"] / 9999) + 1, 2), part(s["r"] % 9999 + 1, 4))
+
+    return F.element_at(F.transform(F.array(new), written), 1)
 
 
 def _phone(m: Column, key: str) -> Column:
     mask = F.regexp_replace(F.translate(m, "0123456789", "d" * 10), r"^(\+)d([^d]*)d(dd[^d]*)d", "$1k$2e$3e")
-    return text_feistel(m, mask, key, "phone")
+    return text_feistel(m, mask, key, F.lit("phone"))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -181,9 +200,9 @@ def _date(m: Column, form: str, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.split_part(m, F.lit("@"), F.lit(1))
+    local, domain = F.split_part(m, F.lit("@"), F.lit(1)), F.split_part(m, F.lit("@"), F.lit(2))
     mask = F.translate(local, _LETTERS + _LETTERS.upper() + "0123456789", "a" * 26 + "A" * 26 + "d" * 10)
-    return text_feistel(m, F.concat(mask, F.repeat(F.lit("k"), F.length(m) - F.length(local))), key, "email")
+    return F.concat(text_feistel(local, mask, key, F.concat(F.lit("email:"), F.lower(domain))), F.lit("@"), domain)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -202,8 +221,11 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text_column: str = "text", key: str = "textdelta") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_column: str = "text") -> DataFrame:
     """The documents with pseudonyms in their texts; adds n_found (matches) and n_replaced (those that were valid)."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    key = hashlib.sha256(key.encode()).hexdigest()
     text = F.col(text_column)
     may = F.coalesce(F.rlike(text, F.lit("[0-9]{2}|@|[0-9]\\.[0-9]")), F.lit(False))
     found = F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -217,6 +239,6 @@ def pseudonymise(docs: DataFrame, text_column: str = "text", key: str = "textdel
     return docs.withColumn(text_column, F.when(some, woven).otherwise(text)).drop("__found", "__new")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, n_found, n_replaced, text."""
-    return pseudonymise(docs.select("doc_id", "text")).select("doc_id", "n_found", "n_replaced", "text")
+    return pseudonymise(docs.select("doc_id", "text"), key).select("doc_id", "n_found", "n_replaced", "text")
