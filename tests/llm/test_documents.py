@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import string
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -346,6 +347,60 @@ def test_wide_characters_are_one_edit():
         assert [m["term"] for m in found] == ["blockhead"]
 
 
+def test_matches_against_brute_force():
+    """All that stands before the automata lets pass what they match: random edits, scripts, cases, quotation marks, invisible characters."""
+    import pyarrow as pa
+
+    terms = ["idiot", "moron", "crétin", "scum", "ärgerlich", "дурачок", "worthless"]
+    lexicon = toxicity.Lexicon({**dict.fromkeys(terms, 0.99), "block": 0.99}, {"block"})
+    rng = random.Random(14)
+    extra = ["", "o", "É", "\u200b", "\u00ad", "\U0001f600", "\u212a", "日", "1", "ı", "\u0301"]
+    around = [" ", "“", "”", "«", "»", "…", "—", "'", "-", "\u3000", "\n", "¿", ", ", "(", "\u2028"]
+
+    def edited():
+        w = list(rng.choice([*terms, "blocks", "blocked", "block", "plain", "Idiom"]))
+        for _ in range(rng.choice([0, 0, 1, 1, 1, 2])):
+            i = rng.randrange(len(w) + 1)
+            w[i : i + rng.randint(0, 1)] = rng.choice(extra)
+        return rng.choice([str.lower, str.upper, str.title, str])("".join(w))
+
+    def plain_words(text):
+        ends = lambda c: not c.isalnum() if c.isascii() else unicodedata.category(c)[0] in "PZ" or unicodedata.category(c) == "Cc"
+        for w in "".join(" " if ends(c) else c for c in text).split(" "):
+            w = "".join(c for c in w if unicodedata.category(c) != "Cf").lower()
+            if w:
+                yield w
+
+    def near(a, b):
+        if a == b:
+            return True
+        if len(a) > len(b):
+            a, b = b, a
+        i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+    texts = ["".join(edited() + rng.choice(around) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    for text, found in zip(texts, toxicity._matches(lexicon, pa.array(texts)), strict=True):
+        want = []
+        for w in plain_words(text):
+            edits = [(int(w != t), t) for t in terms if w == t or (len(t) >= toxicity.FUZZY and near(w, t))]
+            edits += [(0, "block")] if w.startswith("block") and len(w) > 5 else []
+            if edits:
+                want.append(min(edits)[1])
+        assert [m["term"] for m in found] == want, text
+        assert all(toxicity.visible(text.encode()[m["start"] : m["end"]].decode()) for m in found)
+
+
+def test_quotations():
+    import pyarrow as pa
+
+    lexicon = toxicity.Lexicon({"idiot": 0.99}, set())
+    far = "plain things " * 30
+    texts = {"you idiot": False, f'“{far} idiot {far}”': True, f'"{far} idiot" it was': True, f'"{far}" idiot': False, "«idiot»": True, "„idiot“": True, '"one\nidiot"': False, "they wrote idiot": True}
+    for (text, quoted), found in zip(texts.items(), toxicity._matches(lexicon, pa.array(list(texts))), strict=True):
+        assert [m["quoted"] for m in found] == [quoted], text
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     texts, labels = [], []

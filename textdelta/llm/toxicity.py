@@ -8,11 +8,18 @@ distances), so terms of ``FUZZY`` letters or more and a weight of ``SURE`` also
 edit, unless the misspelt form is itself at home in clean training documents. Stems
 match as they are. Each match weighs what its term's labels say, less for an
 edit, and less where the words around it make it a quotation: quotation marks
-open before it and closed after it, or a word of reporting shortly before. The
+that are open before it in its line and closed after it, or a word of reporting
+shortly before. The
 score is the probability that at least one match is abuse.
 
-Only words that share half of a term (its beginning or its end) can be within
-one edit of it; that is told in bulk from the bytes before any automaton runs.
+A word is a run of letters, digits, marks and symbols that are not ASCII: white
+space, controls and punctuation of any script end it, and invisible format characters (as U+200B) are
+taken out of it, in training as in scoring.
+
+Only words that share the first or the last two characters of a term, and nearly
+its length, can be within one edit of it; that is told in bulk from the bytes
+before any automaton runs. Words that are not ASCII there, whose case and
+invisible characters change their bytes, all pass.
 
 Labels are learned from at most ``SAMPLE`` documents of each label (those of the
 smallest hash of their id), which is the one sample; of near copies in it (those
@@ -30,8 +37,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +56,54 @@ SAMPLE = 5000
 EVIDENCE, PRECISION, STEM_WORDS = 14.0, 0.6, 4
 STEMS = (4, 5, 6)
 FUZZY, SURE, EDIT_WEIGHT, QUOTED_WEIGHT, FLOOR, LIMIT = 5, 0.98, 0.7, 0.25, 0.02, 0.3
-#: Words looked at before a match, bytes looked at on both sides, and what marks reporting.
+#: Words looked at before a match, bytes looked at for them, and what marks reporting.
 BEFORE, AROUND = 4, 120
 REPORTING = frozenset("said says saying wrote writes called calls quoted quote quoting quotes word words term terms slur insult insults sagte schrieb nannte zitat wort dijo escribió llamó cita palabra dit écrit appelé citation mot".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
-_TABLE = word_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
+_ASCII_ENDS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+_TABLE = word_table(_ASCII_ENDS)
+_SPACED = bytes.maketrans(_ASCII_ENDS, b" " * len(_ASCII_ENDS))
 _OPEN, _CLOSE = "“«„‹", "”»“›"
+_MARKS = re.compile("|".join(f"{c}" for c in sorted({*_OPEN, *_CLOSE, '"', "\n"})).encode())
+
+
+@cache
+def _ends() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points above ASCII end a word, and which are invisible; those of higher planes do neither."""
+    kinds = [unicodedata.category(chr(c)) for c in range(0x20000)]
+    return np.array([k[0] in "PZ" or k == "Cc" for k in kinds]), np.array([k == "Cf" for k in kinds])
+
+
+def spaced(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 with the characters above ASCII that end a word as spaces, byte by byte."""
+    lead = np.flatnonzero(buf >= 0xC2)
+    if not len(lead):
+        return buf
+    size = 2 + (buf[lead] >= 0xE0) + (buf[lead] >= 0xF0)
+    padded = np.append(buf, np.zeros(3, np.uint8)).astype(np.int32)
+    code = padded[lead] & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for k in (1, 2, 3):
+        code = np.where(size > k, code << 6 | padded[lead + k] & 0x3F, code)
+    ends = np.zeros(len(lead), dtype=bool)
+    low = code < 0x20000
+    ends[low] = _ends()[0][code[low]]
+    out = buf.copy()
+    for k in range(4):
+        out[lead[ends & (size > k)] + k] = 0x20
+    return out
+
+
+def visible(word: str) -> str:
+    """A word in lower case without invisible characters."""
+    if word.isascii():
+        return word.lower()
+    return "".join(c for c in word if unicodedata.category(c) != "Cf").lower()
+
+
+def words_of(text: str) -> set[str]:
+    """The distinct words of a text."""
+    raw = spaced(np.frombuffer(text.encode("utf-8", "replace"), np.uint8)).tobytes().translate(_SPACED)
+    return {visible(w) for w in raw.decode("utf-8", "replace").split(" ")} - {""}
 
 
 class Trie:
@@ -116,13 +168,13 @@ class Lexicon:
         for term in sorted(self.weights):
             self.trie.add(term, term in self.stems, len(term) >= FUZZY and self.weights[term] >= SURE)
         self.known: dict[bytes, tuple[str, float] | None] = {}
-        # the first and the last two bytes of terms, each with the lengths that a match can have
+        # the first and the last two bytes of terms, each with the lengths that a match can have, or (as 0) of any length
         self.begin, self.end = np.zeros(1 << 22, bool), np.zeros(1 << 22, bool)
         self.heads = np.array(sorted({int.from_bytes(t.encode()[:4], "little") for t in self.stems}), dtype=np.uint32)
         for term in set(self.weights) - self.stems:
             raw = term.encode()
             more = 0 if not (len(term) >= FUZZY and self.weights[term] >= SURE) else 1 if term.isascii() else 4
-            for n in range(max(len(raw) - more, 2), len(raw) + (4 if more else 0) + 1):  # an edit adds four bytes at most
+            for n in {0, *range(max(len(raw) - more, 2), len(raw) + (4 if more else 0) + 1)}:  # an edit adds four bytes at most
                 self.begin[raw[0] | raw[1] << 8 | min(n, 63) << 16] = True
                 self.end[raw[-2] | raw[-1] << 8 | min(n, 63) << 16] = True
 
@@ -130,7 +182,7 @@ class Lexicon:
         """The term that a word matches and the weight of the match."""
         if raw in self.known:
             return self.known[raw]
-        word = raw.decode("utf-8", "replace").lower()
+        word = visible(raw.decode("utf-8", "replace"))
         found = self.trie.match(word)
         out = None
         if found and (not found[1] or word not in self.clean):
@@ -143,44 +195,75 @@ class Lexicon:
     def candidates(self, w: Words) -> np.ndarray:
         """The places of the words that may match."""
         size = w.end - w.start
-        at = np.flatnonzero(size >= 3)
+        at = np.flatnonzero(size >= 2)
         s, e = w.start[at], w.end[at]
         buf = np.append(w.buf, np.zeros(4, np.uint8)).astype(np.uint32)
         first, last = buf[s] | buf[s + 1] << 8, buf[e - 2] | buf[e - 1] << 8
-        long = np.minimum(size[at], 63).astype(np.uint32) << 16
+        above = np.append(0, np.cumsum(w.buf >= 0x80))
+        plain = above[e] == above[s]
+        long = np.where(plain, np.minimum(size[at], 63), 0).astype(np.uint32) << 16
         ok = self.begin[first | long] | self.end[last | long]
         if len(self.heads):
             four = first | buf[s + 2] << 16 | buf[s + 3] << 24
             ok |= (size[at] >= 4) & (self.heads[np.minimum(np.searchsorted(self.heads, four), len(self.heads) - 1)] == four)
+        odd = np.flatnonzero(~plain)
+        ok[odd] |= (above[np.minimum(s[odd] + 4, e[odd])] > above[s[odd]]) | (above[e[odd]] > above[e[odd] - 2])
         return at[ok]
 
 
-def quoted(before: str, after: str) -> bool:
-    """Whether what stands between is a quotation."""
-    words = _LETTERS.findall(before.lower())[-BEFORE:]
-    if any(x in REPORTING for x in words):
-        return True
-    if before.count('"') % 2 and '"' in after:
-        return True
-    return any(before.rfind(a) > before.rfind(b) and b in after for a, b in zip(_OPEN, _CLOSE, strict=True))
+class Quotes:
+    """Where quotation marks and line ends are in UTF-8 text."""
+
+    def __init__(self, data: bytes):
+        self.places: dict[str, list[int]] = {c: [] for c in {*_OPEN, *_CLOSE, '"', "\n"}}
+        for m in _MARKS.finditer(data):
+            self.places[m[0].decode()].append(m.start())
+
+    def around(self, lo: int, s: int, e: int, hi: int) -> bool:
+        """Whether marks that are open at s close after e, in the line of [s, e) within the text [lo, hi)."""
+        lines = self.places["\n"]
+        k = bisect_left(lines, s)
+        lo = max(lo, lines[k - 1] + 1) if k else lo
+        hi = min(hi, lines[k]) if k < len(lines) else hi
+
+        def last(c: str) -> int:
+            k = bisect_left(self.places[c], s)
+            return self.places[c][k - 1] if k and self.places[c][k - 1] >= lo else -1
+
+        def follows(c: str) -> bool:
+            k = bisect_left(self.places[c], e)
+            return k < len(self.places[c]) and self.places[c][k] < hi
+
+        plain = self.places['"']
+        if (bisect_left(plain, s) - bisect_left(plain, lo)) % 2 and follows('"'):
+            return True
+        return any(last(a) > last(b) and follows(b) for a, b in zip(_OPEN, _CLOSE, strict=True))
+
+
+def reported(before: str) -> bool:
+    """Whether one of the last words is of reporting."""
+    return any(x in REPORTING for x in _LETTERS.findall(before.lower())[-BEFORE:])
 
 
 def _matches(lexicon: Lexicon, column) -> Iterator[list[dict]]:
     """The matches of each text."""
     buf, off = arrow_text(column)
     for lo, hi in slices(off):
-        w = Words(buf, off[lo : hi + 1], _TABLE, lower=True)
+        base = off[lo : hi + 1] - off[lo]
+        w = Words(spaced(buf[off[lo] : off[hi]]), base, _TABLE, lower=True)
         at = lexicon.candidates(w) if lexicon.weights else np.zeros(0, np.int64)
         row = np.searchsorted(w.first, at, side="right") - 1
         out: list[list[dict]] = [[] for _ in range(hi - lo)]
-        data = w.buf.tobytes()
-        base = off[lo : hi + 1] - off[lo]
+        words, data, quotes = w.buf.tobytes(), b"", None
         for i, r in zip(at.tolist(), row.tolist(), strict=True):
             s, e = int(w.start[i]), int(w.end[i])
-            if found := lexicon.of(data[s:e]):
-                before = data[max(s - AROUND, int(base[r])) : s].decode("utf-8", "ignore")
-                after = data[e : min(e + AROUND, int(base[r + 1]))].decode("utf-8", "ignore")
-                out[r].append({"term": found[0], "weight": found[1], "quoted": quoted(before, after), "start": s - int(base[r]), "end": e - int(base[r])})
+            if found := lexicon.of(words[s:e]):
+                if quotes is None:
+                    data = buf[off[lo] : off[hi]].tobytes()
+                    quotes = Quotes(data)
+                a, b = int(base[r]), int(base[r + 1])
+                quoted = quotes.around(a, s, e, b) or reported(data[max(s - AROUND, a) : s].decode("utf-8", "ignore"))
+                out[r].append({"term": found[0], "weight": found[1], "quoted": quoted, "start": s - a, "end": e - a})
         yield from out
 
 
@@ -193,7 +276,7 @@ def score(matches: list[dict]) -> float:
 
 def _terms(text: str) -> set[tuple[str, str]]:
     """The words, and the stems with the word they are of, of a text."""
-    words = set(_LETTERS.findall(text.lower()))
+    words = {w for w in words_of(text) if not w.isnumeric()}
     return {(w, "") for w in words if len(w) > 2} | {(w[:k] + "*", w) for w in words for k in STEMS if len(w) > k}
 
 
@@ -253,7 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("toxic").alias("toxic"))
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE) for y in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 SAMPLE rows of two numbers
-    rows = cut(docs.select(F.col(id_column).cast("long").alias("__id"), F.col(text_column).cast("string").alias("text")).join(sample, "__id"))
+    rows = docs.select(F.col(id_column).cast("long").alias("__id"), F.col(text_column).cast("string").alias("text")).join(sample, "__id")
+    rows = cut(rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
     signs = rows.mapInArrow(_signs, "id long, toxic int, signs array<long>").collect()  # a row for each of the sample
     seen: set[int] = set()
     alike = []
@@ -297,10 +381,10 @@ def _near(lexicon: Lexicon):
             buf, off = arrow_text(batch["text"])
             found: set[str] = set()
             for lo, hi in slices(off):
-                w = Words(buf, off[lo : hi + 1], _TABLE, lower=True)
+                w = Words(spaced(buf[off[lo] : off[hi]]), off[lo : hi + 1] - off[lo], _TABLE, lower=True)
                 data = w.buf.tobytes()
                 for i in lexicon.candidates(w).tolist():
-                    word = data[w.start[i] : w.end[i]].decode("utf-8", "replace").lower()
+                    word = visible(data[w.start[i] : w.end[i]].decode("utf-8", "replace"))
                     if (m := lexicon.trie.match(word)) and m[1]:
                         found.add(word)
             yield pa.RecordBatch.from_pydict({"word": pa.array(sorted(found), pa.string())})
