@@ -5,6 +5,7 @@ import re
 import string
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,44 @@ def test_jaccard_blocks_and_parts(spark, monkeypatch):
     assert links and all(a < b for a, b in links)
 
 
+def test_near_copies_make_rows_in_proportion(spark, monkeypatch):
+    """A large group of near copies over many blocks, with one passage in all other documents too."""
+    rng = random.Random(15)
+    base, everywhere = prose(rng, 120).split(), prose(rng, 8)
+    texts = []
+    for i in range(1500):
+        words = list(base)
+        words[rng.randrange(120)] = f"n{i}"
+        texts.append((i, " ".join(words)))
+    texts += [(2000 + i, f"{everywhere} {prose(rng, 30)}") for i in range(300)]
+    sizes = []
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    cut = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 6000)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, texts)).collect()}
+    assert all(got[i] == 0 for i in range(1500)) and all(got[2000 + i] == 2000 + i for i in range(300))
+    assert max(sizes) <= 2 * len(texts)
+
+
+def test_groups_send_each_hash_once():
+    """A passage that all documents hold is one hash a group and bucket, however many hold it."""
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    shared = prose(rng, 40)
+    docs = pa.table({"id": list(range(500)), "text": [f"{prose(rng, 5, 5000)} {shared}" for _ in range(500)], "part": [3] * 500})
+    hashes = substring_dedup.unpack(substring_dedup._probe(13, 64)(docs))[0]
+    assert len(hashes) < 34 + 500 * 7
+    hashes = jaccard_join.unpack(jaccard_join._post(4, 64)(docs), extra_dtype=np.uint16)
+    assert len(hashes[0]) < 37 + 500 * 6 and (hashes[-1] == 500).sum() == 37
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

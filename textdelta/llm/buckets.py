@@ -1,135 +1,92 @@
-"""Exchange of hashes between documents and hash buckets, as packed arrays.
+"""Exchange of hashes between groups of documents and hash buckets, as packed arrays.
 
 Rolling windows give about as many hashes as a corpus has words. As rows they
-would shuffle some 30 bytes each; here a map task packs what it has for a
-bucket into one row of three arrays (hashes, document ids, how many hashes each
-document has), so that a hash costs 4 or 8 bytes. Buckets are a share of the
-hash space whose number follows the input's size, so one bucket's arrays stay
-bounded; a hash that is frequent comes once for each document only.
-Answers go back packed by group of documents in the same way.
+would shuffle some 30 bytes each; here a group of documents (some MB of text,
+dealt by a hash of id and text) packs its distinct hashes into one row for each
+bucket, so that a hash costs a few bytes. A hash that all documents have comes
+once for each group, whoever has it, and so does its answer: what the documents
+of a group say together is worked out in the group, before and after. Buckets
+are a share of the hash space whose number follows the input's size, so one
+bucket's arrays stay bounded; so does the number of partitions (``spread``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textcore import U64
 
-#: part: bucket or group. kind: what the hashes are. origin: the bucket that answers.
+#: part: bucket or group. kind: what the hashes are. origin: the group that asks, or the bucket that answers.
 PACKED = "part long, kind int, origin int, hashes binary, ids binary, counts binary, extra binary"
 ARROW = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("origin", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary())])
 
 
-_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-
-
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << U64(r)) | (x >> U64(64 - r))
-
-
-def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    """What ``group_column`` gives: XXH64 of a long under Spark's seed, modulo the number of groups."""
-    x = ids.astype(np.int64).view(U64)
-    h = U64(42 + _P5 + 8) ^ (_rotl(x * U64(_P2), 31) * U64(_P1))
-    h = _rotl(h, 27) * U64(_P1) + U64(_P4)
-    h ^= h >> U64(33)
-    h = h * U64(_P2)
-    h ^= h >> U64(29)
-    h = h * U64(_P3)
-    h ^= h >> U64(32)
-    return np.mod(h.view(np.int64), groups)
-
-
-def group_column(id_column: str, groups: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(id_column).cast("long")), F.lit(groups).cast("long"))
+def grouped(docs: DataFrame, id_column: str, text_column: str, groups: int, size: int) -> DataFrame:
+    """Ids, texts and their group; the same plan each time, so its exchange is reused."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    return spread(rows.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(groups).cast("long"))), "part", size)
 
 
-def grouped(docs: DataFrame, id_column: str, text_column: str, groups: int) -> DataFrame:
-    """Ids, texts and the group that answers come to; the same plan each time, so its exchange is reused."""
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"), group_column(id_column, groups).alias("part"))
+def spread(df: DataFrame, key: str, size: int, each: int = 128 << 20) -> DataFrame:
+    """``df`` dealt by ``key`` over partitions of about ``each`` of ``size`` bytes, where the session's number of partitions is too small for that."""
+    n = -(-size // each)
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def key_of(ids: np.ndarray, origins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """One key for (document, bucket, 32-bit hash)."""
-    from .textcore import mix
+def packed(kind: int, origin: int, part: np.ndarray, hashes: np.ndarray, ids: np.ndarray | None = None, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One row a part of the hashes, with an id each (stored once for hashes in a row) and something more, if given."""
+    if not len(part):
+        return
+    order = np.argsort(part.astype(np.uint16) if int(part.max()) < 1 << 16 else part, kind="stable")  # a radix sort if of 16 bits
+    part, hashes = part[order], hashes[order]
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    out: dict[str, list] = {name: [] for name in ARROW.names}
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
+        out["part"].append(int(part[a]))
+        out["hashes"].append(hashes[a:b].tobytes())
+        own = ids[order[a:b]] if ids is not None else np.zeros(0, np.int64)
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        out["ids"].append(own[heads].tobytes())
+        out["counts"].append(np.diff(np.append(heads, len(own))).astype(np.uint32).tobytes())
+        out["extra"].append(extra[order[a:b]].tobytes() if extra is not None else None)
+    n = len(out["part"])
+    yield pa.RecordBatch.from_pydict(out | {"kind": [kind] * n, "origin": [origin] * n}, schema=ARROW)
 
-    return mix((origins.astype(U64) << U64(32)) + hashes.astype(U64) + mix(ids.astype(np.int64).view(U64)))
 
+def together(batches: Iterator[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(list(batches), schema=ARROW)
 
-class Packer:
-    """Gathers (part, document, hash) triples, and gives them as one row a part."""
 
-    def __init__(self, dtype=np.uint32):
-        self.dtype = dtype
-        self.held: list[tuple] = []
-        self.size = 0
-
-    def add(self, kind: int, origin: int, part: np.ndarray, ids: np.ndarray, hashes: np.ndarray, extra: np.ndarray | None = None) -> None:
-        if len(part):
-            small = np.uint16 if int(part.max()) < 1 << 16 else np.int64
-            self.held.append((kind, origin, part.astype(small), ids, hashes.astype(self.dtype, copy=False), extra))
-            self.size += len(part)
-
-    def rows(self) -> pa.RecordBatch | None:
-        out: dict[str, list] = {name: [] for name in ARROW.names}
-        for kind, origin in sorted({x[:2] for x in self.held}):
-            own = [x for x in self.held if x[:2] == (kind, origin)]
-            part, ids, hashes = (np.concatenate([x[i] for x in own]) for i in (2, 3, 4))
-            extra = np.concatenate([x[5] for x in own]) if own[0][5] is not None else None
-            order = np.argsort(part, kind="stable")  # a radix sort if of 16 bits
-            part, ids, hashes = part[order], ids[order], hashes[order]
-            new_id = np.ones(len(part), dtype=bool)
-            new_id[1:] = (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])
-            heads = np.flatnonzero(new_id)
-            counts = np.diff(np.append(heads, len(part))).astype(np.uint32)
-            head_ids, head_parts = ids[heads], part[heads]
-            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            cut_heads = np.searchsorted(heads, cut)
-            ends, head_ends = np.append(cut[1:], len(part)), np.append(cut_heads[1:], len(heads))
-            extra = extra[order] if extra is not None else None
-            for a, b, ha, hb in zip(cut.tolist(), ends.tolist(), cut_heads.tolist(), head_ends.tolist(), strict=True):
-                out["part"].append(int(head_parts[ha]))
-                out["kind"].append(kind)
-                out["origin"].append(origin)
-                out["hashes"].append(hashes[a:b].tobytes())
-                out["ids"].append(head_ids[ha:hb].tobytes())
-                out["counts"].append(counts[ha:hb].tobytes())
-                out["extra"].append(extra[a:b].tobytes() if extra is not None else None)
-        self.held, self.size = [], 0
-        return pa.RecordBatch.from_pydict(out, schema=ARROW) if out["part"] else None
-
-
-def unpack(table: pa.Table, kind: int, dtype=np.uint32, extra_dtype=None) -> tuple[np.ndarray, ...]:
-    """(ids, hashes, origins[, extra]) of all rows of a kind, an id for each hash."""
-    table = table.filter(pa.compute.equal(table["kind"], kind))
+def unpack(table: pa.Table, dtype=np.uint32, extra_dtype=None) -> tuple[np.ndarray, ...]:
+    """Hashes, and for each: its kind, its origin, its id (or none), what more there is (or none)."""
 
     def joined(name: str, of) -> np.ndarray:
         return np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), dtype=of)
 
-    counts, hashes = joined("counts", np.uint32), joined("hashes", dtype)
-    ids = np.repeat(joined("ids", np.int64), counts)
-    each = [len(x) // np.dtype(dtype).itemsize for x in table["hashes"].to_pylist()]
-    origins = np.repeat(np.array(table["origin"].to_pylist(), dtype=np.int64), np.array(each, dtype=np.int64))
-    return (ids, hashes, origins) if extra_dtype is None else (ids, hashes, origins, joined("extra", extra_dtype))
+    each = np.array([len(x) // np.dtype(dtype).itemsize for x in table["hashes"].to_pylist()], dtype=np.int64)
+    of_row = lambda name: np.repeat(np.array(table[name].to_pylist(), dtype=np.int64), each)
+    ids = np.repeat(joined("ids", np.int64), joined("counts", np.uint32))
+    return joined("hashes", dtype), of_row("kind"), of_row("origin"), ids, joined("extra", extra_dtype) if extra_dtype else None
 
 
-def extremes(hashes: np.ndarray, ids: np.ndarray, most: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes, sorted, and the smallest (or largest) id of each."""
-    order = np.argsort(hashes, kind="stable")
-    h, i = hashes[order], ids[order]
-    heads = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    return h[heads], ((np.maximum if most else np.minimum).reduceat(i, heads) if len(h) else i)
+def place_key(origins: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One key for a bucket and a hash of 32 bits in it."""
+    return origins.astype(U64) << U64(32) | hashes.astype(U64)
 
 
-def look_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, default: int) -> np.ndarray:
-    """values at asked in the sorted keys, else default."""
-    if not len(keys):
-        return np.full(len(asked), default, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], default)
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts, where each distinct value starts in it, and the number of its value for each place of the input."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(values) else np.zeros(0, bool)
+    number = np.empty(len(values), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
 
 
 class Members:
@@ -152,8 +109,3 @@ class Members:
             at = np.minimum(np.searchsorted(self.keys, asked[maybe]), len(self.keys) - 1)
             out[maybe] = self.keys[at] == asked[maybe]
         return out
-
-
-def rows_with(ids: np.ndarray, answered: np.ndarray) -> np.ndarray:
-    """The places of the rows whose id is among ``answered``."""
-    return np.flatnonzero(Members(answered.view(U64)).has(ids.view(U64)))

@@ -8,9 +8,10 @@ Each document chooses its own m: longer prefixes are posted where the estimated
 cost of candidates (from the shingles' frequencies) is high, and then a pair
 must share min(m, m') of them before it is verified.
 
-Plan: (1) shingle hashes, packed, to hash buckets, which count documents;
-(2) buckets answer each document with the frequencies above 1, so that order,
-prefixes and m are known; documents whose prefix is all of single shingles
+Plan: (1) the texts are exchanged once, by groups of some MB; each group's distinct
+shingle hashes go to hash buckets, packed, with the number of its documents that
+have them; (2) buckets answer each group with the frequencies above 1, so that
+order, prefixes and m are known; documents whose prefix is all of single shingles
 cannot have a partner and post nothing; equal sets are one class from here on;
 (3) documents are dealt into blocks by their smallest shared token (a min-hash),
 so near copies mostly meet in one block; a crowded token's documents are salted
@@ -18,9 +19,17 @@ over several; (4) posting lists of index prefixes tell which documents of other
 blocks must probe a block too, and they come in parts of bounded size; prefix
 matches are counted and candidates verified there by sparse counting, pair by
 pair but not as rows; a block returns links that span what it found linked, or
-all of them on demand; (5) connected components. So a large group of near copies
-makes rows in proportion to its members, and no task holds more than a block and
-a part. Shared tokens are verified by 48 bits of their hashes.
+all of them on demand; (5) connected components.
+
+Where tokens are crowded and only components are asked for, (4) comes in two
+rounds: crowded blocks are verified by themselves, then one document of each
+component found there meets those of the other blocks in blocks of their own;
+and a document then probes a block at a token only if not all that the block has
+there is of its own component. So a large group of near copies makes rows in
+proportion to its members, exactly: what is skipped is connected already.
+
+No task holds more than a block and a part. Sets are verified by 64-bit hashes
+of their shingles.
 
 Edge cases: null or wordless text is an empty set, linked with nothing; with
 fewer words than ``k`` the whole sequence is the one shingle; rows that share an
@@ -38,16 +47,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import ARROW, PACKED, Members, Packer, group_of, grouped, key_of, unpack
-from .components import components, cut
+from .buckets import PACKED, Members, grouped, packed, place_key, runs, spread, together, unpack
+from .components import answered, components, cut, few
 from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, ranges, release, slices, window_hash
 
-FLUSH = 3_000_000
 _SEED = 21
 #: The longest m, and what verifying a candidate costs against reading a posting.
 MOST_MATCHES, VERIFY_COST = 4, 10.0
 #: Shingles of the documents in a block, of those of other blocks that probe it at once, and pairs of equal tokens counted at once.
 BLOCK_TOKENS, PART_TOKENS, MEETINGS = 600_000, 2_000_000, 2_000_000
+#: A token that more than so many documents of one component are posted under is told by broadcast where these are few.
+HOT_TOKEN = 1000
 SETS = "doc_id long, n_shingles long, f1 long, f2 long, m int, n_index int, home long, prefix array<long>, tokens binary"
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("m", pa.int32()), ("n_index", pa.int32()), ("home", pa.int64()), ("prefix", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
@@ -64,52 +74,32 @@ def _shift(buckets: int) -> U64:
 
 
 def _post(k: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(np.uint32)
-        for batch in batches:
-            release()
-            ids = arrow_ids(batch["id"])
-            buf, off = arrow_text(batch["text"])
-            for lo, hi in slices(off):
-                sets = list(_sets(Words(buf, off[lo : hi + 1], SPACE_WORDS, lower=True), k))
-                h = np.concatenate(sets)
-                doc = np.repeat(ids[lo:hi], [len(s) for s in sets])
-                h, doc = h[doc != NO_ID], doc[doc != NO_ID]
-                packer.add(0, 0, (h >> _shift(buckets)).astype(np.int64), doc, h.astype(np.uint32))
-                if packer.size >= FLUSH and (out := packer.rows()):
-                    yield out
-        if out := packer.rows():
-            yield out
-
-    return run
-
-
-def _count(groups: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(docs: pa.Table) -> pa.Table:
         release()
-        ids, h, _ = unpack(table, 0)
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        count = np.minimum(count, 65535)[inverse]
-        shared = count > 1
-        packer = Packer(np.uint32)
-        packer.add(0, table["part"][0].as_py(), group_of(ids[shared], groups), ids[shared], h[shared], count[shared].astype(np.uint16))
-        return pa.Table.from_batches([out] if (out := packer.rows()) else [], schema=ARROW)
+        ids = arrow_ids(docs["id"])
+        buf, off = arrow_text(docs["text"])
+        h = [np.zeros(0, U64)]
+        for lo, hi in slices(off):
+            h += [s for s, me in zip(_sets(Words(buf, off[lo : hi + 1], SPACE_WORDS, lower=True), k), ids[lo:hi], strict=True) if me != NO_ID]
+        h, count = np.unique(np.concatenate(h), return_counts=True)
+        return together(packed(0, docs["part"][0].as_py(), (h >> _shift(buckets)).astype(np.int64), h.astype(np.uint32), extra=np.minimum(count, 65535).astype(np.uint16)))
 
     return run
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """48 bits of each hash, six bytes apiece."""
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _count(table: pa.Table) -> pa.Table:
+    release()
+    h, _, group, _, count = unpack(table, extra_dtype=np.uint16)
+    order, heads, number = runs(h)
+    total = np.add.reduceat(count[order].astype(np.int64), heads)[number] if len(h) else np.zeros(0, np.int64)
+    shared = total > 1
+    return together(packed(0, table["part"][0].as_py(), group[shared], h[shared], extra=np.minimum(total, 65535)[shared].astype(np.uint16)))
 
 
 def _unpacked(column) -> tuple[np.ndarray, np.ndarray]:
     """The tokens of a column, and the n + 1 offsets."""
     each = [x or b"" for x in column.to_pylist()]
-    raw = np.frombuffer(b"".join(each), dtype=np.uint8).reshape(-1, 6)
-    wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, :6] = raw
-    return wide.view("<u8").ravel(), np.append(0, np.cumsum([len(x) // 6 for x in each])).astype(np.int64)
+    return np.frombuffer(b"".join(each), dtype=U64), np.append(0, np.cumsum([len(x) // 8 for x in each])).astype(np.int64)
 
 
 def choose_m(frequency: np.ndarray, base: int, most: int) -> int:
@@ -127,8 +117,8 @@ def choose_m(frequency: np.ndarray, base: int, most: int) -> int:
 def _prefixes(k: int, num: int, den: int, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         release()
-        ids_, h_, origins, counts = unpack(answers, 0, extra_dtype=np.uint16)
-        keys = key_of(ids_, origins, h_)
+        h_, _, origins, _, counts = unpack(answers, extra_dtype=np.uint16)
+        keys = place_key(origins, h_)
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order].astype(np.int64)
         ids = arrow_ids(docs["id"])
@@ -144,7 +134,7 @@ def _prefixes(k: int, num: int, den: int, buckets: int):
                 m, n_index, home, prefix, tokens = None, None, None, None, None
                 if n and me != NO_ID and print_ not in seen and len(keys):
                     seen.add(print_)
-                    asked = key_of(np.full(n, me), s >> _shift(buckets), s.astype(np.uint32))
+                    asked = place_key(s >> _shift(buckets), s.astype(np.uint32))
                     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
                     frequency = np.where(keys[at] == asked, counts[at], 1)
                     least = -(-num * n // den)
@@ -157,7 +147,7 @@ def _prefixes(k: int, num: int, den: int, buckets: int):
                         n_index = int(shared[: short + m - 1].sum())
                         prefix = s[first[shared]].view(np.int64)
                         shared = s[frequency > 1]
-                        home, tokens = int(shared[0].view(np.int64)), _pack(shared)
+                        home, tokens = int(shared[0].view(np.int64)), shared.tobytes()
                 for name, x in zip(_SETS.names, (me if me != NO_ID else None, *print_, m, n_index, home, prefix, tokens), strict=True):
                     out[name].append(x)
         return pa.Table.from_pydict(out, schema=_SETS)
@@ -220,12 +210,18 @@ class _Lists:
 
 
 def _verify(num: int, den: int, every: bool):
-    """Links within a block (in its part 0), and with the documents of other blocks that probe it."""
+    """Links within a block (in its part 0, unless done), and with the documents of other blocks that probe it.
+
+    What has one component already is linked; unless all links are wanted, only those that connect more are returned.
+    """
 
     def run(block: pa.Table, part: pa.Table) -> pa.Table:
         release()
         out: list[tuple[int, int]] = []
         forest = _Forest()
+        for side in (block, part):
+            for x, y in zip(side["doc_id"].to_pylist(), side["component"].to_pylist(), strict=True):
+                forest.join(x, y)
         if len(block):
             block = block.sort_by("doc_id")
             kept: dict[tuple, int] = {}
@@ -235,7 +231,7 @@ def _verify(num: int, den: int, every: bool):
             nodes, sizes, ms = (block[k].to_numpy() for k in ("doc_id", "n_shingles", "m"))
             index = _Lists(*_flat(block["prefix"]), block["n_index"].to_numpy())
             whole = _Lists(*_unpacked(block["tokens"]))
-            sides = [part] if block["part"][0].as_py() else [block, part]
+            sides = [part] if block["part"][0].as_py() or block["done"][0].as_py() else [block, part]
         for side in sides if len(block) else []:
             y_nodes, y_sizes, y_ms = (side[k].to_numpy() for k in ("doc_id", "n_shingles", "m"))
             (prefix, at), (tokens, to) = _flat(side["prefix"]), _unpacked(side["tokens"])
@@ -264,39 +260,82 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 4, num: int = 85, den: int = 100):
         self.num, self.den = num, den
-        size = input_bytes(docs.select(text_column), text_column)
+        self.size = size = input_bytes(docs.select(text_column), text_column)
         buckets, groups = bucket_count(size), bucket_count(size, each=8 << 20, least=16)
-        texts = grouped(docs, id_column, text_column, groups)
-        answers = texts.select("id", "text").mapInArrow(_post(k, buckets), PACKED).groupBy("part").applyInArrow(_count(groups), PACKED)
+        texts = grouped(docs, id_column, text_column, groups, size)
+        asked = spread(texts.groupBy("part").applyInArrow(_post(k, buckets), PACKED), "part", size)
+        answers = spread(asked.groupBy("part").applyInArrow(_count, PACKED), "part", size)
         self.sets = cut(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_prefixes(k, num, den, buckets), SETS))
         full = self.sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.classes = full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"))
+        self.classes = cut(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
         self.posting = self.sets.where("prefix IS NOT NULL")
 
+    def _dealt(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``rows`` with the block of each and whether its home is crowded, and the crowded homes."""
+        weights = rows.groupBy("home").agg(F.sum("n_shingles").alias("w"))
+        total = weights.agg(F.sum("w")).first()[0] or 0
+        crowded = cut(weights.where(F.col("w") > BLOCK_TOKENS).select(F.col("home").alias("crowd"), F.ceil(F.col("w") / BLOCK_TOKENS).alias("salts")))
+        salt = F.pmod(F.xxhash64("f1", "f2"), F.col("salts"))  # equal sets stay together
+        light = F.pmod(F.xxhash64("home"), F.lit(-(-total // BLOCK_TOKENS) or 1))
+        dealt = rows.join(few(crowded), F.col("home") == F.col("crowd"), "left").withColumn("is_crowded", F.col("crowd").isNotNull())
+        block = F.when(F.col("is_crowded"), F.xxhash64("crowd", salt)).otherwise(light)
+        return dealt.withColumn("block", block).drop("crowd", "salts"), crowded
+
+    def _verified(self, left: DataFrame, right: DataFrame, every: bool) -> DataFrame:
+        left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # names of their own on either side
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_verify(self.num, self.den, every), "a long, b long")
+
+    def _alone(self, rows: DataFrame) -> DataFrame:
+        """Links within blocks that no one probes."""
+        whole = rows.select("doc_id", "block", F.lit(0).alias("part"), "n_shingles", "f1", "f2", "m", "n_index", "prefix", "tokens", F.col("doc_id").alias("component"), F.lit(False).alias("done"))
+        return self._verified(whole, whole.where("false"), False)
+
+    def _settled(self, dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """node, component of documents of crowded homes, by what is linked within their blocks and among one of each component; and those links."""
+        crowd = dealt.where("is_crowded")
+        within = cut(self._alone(crowd))
+        first = crowd.join(components(within), F.col("doc_id") == F.col("node"), "left").where("component IS NULL OR component = doc_id")
+        firsts, _ = self._dealt(cut(first.select(self.posting.columns)))
+        links = cut(within.union(self._alone(firsts)))
+        return cut(components(links)), links
+
     def links(self, every: bool = True) -> DataFrame:
         """a, b: pairs of documents that are similar; of equal sets the smallest id stands for all.
 
         All pairs (of a block's and a probing document's sets), or enough to connect what is connected.
         """
-        weights = self.posting.groupBy("home").agg(F.sum("n_shingles").alias("w"))
-        total = weights.agg(F.sum("w")).first()[0] or 0
-        crowded = weights.where(F.col("w") > BLOCK_TOKENS).select(F.col("home").alias("crowd"), F.ceil(F.col("w") / BLOCK_TOKENS).alias("salts"))
-        salt = F.pmod(F.xxhash64("f1", "f2"), F.col("salts"))  # equal sets stay together
-        light = F.pmod(F.xxhash64("home"), F.lit(-(-total // BLOCK_TOKENS) or 1))
-        block = F.when(F.col("crowd").isNull(), light).otherwise(F.xxhash64("crowd", salt))
-        dealt = self.posting.join(crowded, F.col("home") == F.col("crowd"), "left").withColumn("block", block).drop("crowd", "salts", "home")
-        narrow = dealt.select("doc_id", "block", "n_shingles", "n_index", "prefix")
-        index = narrow.select("block", F.explode(F.slice("prefix", 1, F.col("n_index"))).alias("token")).distinct()
-        probes = narrow.select("doc_id", F.col("block").alias("own"), F.col("n_shingles").alias("weight"), F.explode("prefix").alias("token"))
-        met = cut(index.join(probes, "token").where("block <> own").select("block", "doc_id", "weight").distinct())
+        dealt, crowded = self._dealt(self.posting)
+        settle = not every and not crowded.isEmpty()
+        early = None
+        if settle:
+            parts, early = self._settled(dealt)
+            dealt = dealt.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).withColumn("done", F.col("is_crowded")).drop("node")
+            dealt = cut(dealt)
+        else:
+            dealt = dealt.withColumn("component", F.col("doc_id")).withColumn("done", F.lit(False))
+        narrow = dealt.select("doc_id", "component", "block", "n_shingles", "n_index", "prefix")
+        index = narrow.select("block", "component", F.explode(F.slice("prefix", 1, F.col("n_index"))).alias("token"))
+        probes = narrow.select("doc_id", "component", F.col("block").alias("own"), F.col("n_shingles").alias("weight"), F.explode("prefix").alias("token"))
+        if settle:
+            index = index.groupBy("block", "token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+            alike = index.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low = high").select(F.col("token").alias("settled"), F.col("low").alias("by"), "n")
+            same = (F.col("token") == F.col("settled")) & (F.col("component") == F.col("by"))
+            hot = few(cut(alike.where(F.col("n") > HOT_TOKEN)))
+            probes = probes.join(hot, same, "left_anti").join(alike, same, "left_anti")
+            met = index.join(probes, "token").where("block <> own AND NOT (low = high AND low = component)")
+        else:
+            met = index.select("block", "token").distinct().join(probes, "token").where("block <> own")
+        met = cut(met.select("block", "doc_id", "weight").distinct())
         parts = met.groupBy("block").agg(F.ceil(F.sum("weight") / PART_TOKENS).cast("int").alias("parts"))
-        left = dealt.join(parts, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+        left = dealt.join(parts, "block", "left").where("NOT done OR parts IS NOT NULL")
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+        left = left.select("doc_id", "block", "part", "n_shingles", "f1", "f2", "m", "n_index", "prefix", "tokens", "component", "done")
         met = met.join(parts, "block").select("block", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), "doc_id")
-        right = met.join(self.posting.select("doc_id", "n_shingles", "m", "prefix", "tokens"), "doc_id")
-        left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # names of their own on either side
-        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_verify(self.num, self.den, every), "a long, b long")
+        right = met.join(dealt.select("doc_id", "n_shingles", "m", "prefix", "tokens", "component"), "doc_id")
+        found = self._verified(left, right, every)
+        found = found.union(early) if early is not None else found
         # to the smallest ids of equal sets
-        own = self.posting.select("doc_id", "f1", "f2", "n_shingles").join(self.classes, ["f1", "f2", "n_shingles"]).where("doc_id <> node").select("doc_id", "node")
+        own = answered(self.posting.select("doc_id", "f1", "f2", "n_shingles"), self.classes, ["f1", "f2", "n_shingles"], F.xxhash64("doc_id")).where("doc_id <> node").select("doc_id", "node")
         for side in ("a", "b"):
             found = found.join(own.toDF(side, "node"), side, "left").withColumn(side, F.coalesce("node", side)).drop("node")
         return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -307,11 +346,11 @@ class JaccardJoin:
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id: a row a document."""
-        own = self.sets.select("doc_id", "n_shingles", "f1", "f2").join(self.classes, ["f1", "f2", "n_shingles"], "left")
         parts = self.components().withColumnRenamed("node", "root")
-        node = F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id"))
-        own = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), node).alias("root"))
-        return own.join(parts, "root", "left").select("doc_id", "n_shingles", F.coalesce("component", "root").alias("component_id"))
+        classes = self.classes.join(parts, F.col("node") == F.col("root"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("component"), "n")
+        own = answered(self.sets.select("doc_id", "n_shingles", "f1", "f2"), cut(classes), ["f1", "f2", "n_shingles"], F.xxhash64("doc_id"))
+        own = own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        return own.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:

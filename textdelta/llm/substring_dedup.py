@@ -7,13 +7,14 @@ anchors, and every rolling window of a block's length probes them. Hits are
 then extended: all windows around a hit are compared exactly (64-bit hashes in
 buckets of a second hash), which leaves the maximal exact repeats.
 
-Plan: (1) anchors and probes, packed, to hash buckets; (2) a bucket answers each
-probe that an anchor of a smaller document meets, and each such anchor;
-(3) answers meet the texts by group of documents, and the windows around hits go
-to buckets; (4) a bucket answers the windows whose smallest document is another;
-(5) answers meet the texts, and covered words go. The texts are exchanged once
-(both meetings reuse it). A block held by thousands of documents is one hash a
-document in one bucket; nothing pairs documents.
+Plan: (1) the texts are exchanged once, by groups of some MB, which all steps
+reuse; each group's distinct probes and anchors go to hash buckets, packed; (2) a
+bucket answers the hashes that an anchor and another document's probe share; (3)
+groups send the windows around hits, each once with the smallest id that the
+group knows; (4) a bucket answers those whose smallest document is in another
+group; (5) with these, and with what documents of the group hold before others,
+covered words go. So a passage that all documents hold is one hash a group, not
+one a document, in its bucket; nothing pairs documents.
 
 Edge cases: null text is a text without words; a text shorter than ``window``
 loses nothing; a row with a null id loses nothing and takes nothing from others;
@@ -23,7 +24,6 @@ columns but the two named are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -31,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import ARROW, PACKED, Members, Packer, extremes, group_of, grouped, key_of, look_up, rows_with, unpack
-from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, release, slices, window_hash, window_starts
+from .buckets import ARROW, PACKED, Members, grouped, packed, place_key, runs, spread, together, unpack
+from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, release, slices, window_hash, window_starts
 
-ANCHOR, PROBE = 0, 1
-#: Hashes that a map task holds before it packs them.
-FLUSH = 3_000_000
+#: What a group says of a hash, added up: more than one of its documents has it; it is an anchor of one.
+SEVERAL, ANCHOR = 1, 2
 _BLOCK_SEED, _WINDOW_SEED, _PLACE_SEED = 11, 12, 13
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_text string"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
@@ -46,128 +45,127 @@ def _bits(n: int) -> U64:
     return U64(64 - (n.bit_length() - 1))
 
 
-def _probe(window: int, buckets: int):
-    block = (window + 1) // 2
+def _windows(docs: pa.Table, size: int, seed: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, and place in its row of each window in the rows that have an id and ``least`` words."""
+    ids = arrow_ids(docs["id"])
+    buf, off = arrow_text(docs["text"])
+    none = np.zeros(0, np.int64)
+    found = [(none.view(U64), none, none)]
+    for lo, hi in slices(off):
+        w = Words(buf, off[lo : hi + 1], SPACE_WORDS)
+        at = window_starts(w.first, size)
+        row = w.rows()[at]
+        good = (np.diff(w.first)[row] >= least) & (ids[lo:hi][row] != NO_ID)
+        at, row = at[good], row[good]
+        if len(at):
+            found.append((window_hash(w.hash, size, seed)[at], row + lo, at - w.first[row]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(np.uint32)
-        for batch in batches:
-            release()
-            ids = arrow_ids(batch["id"])
-            buf, off = arrow_text(batch["text"])
-            for lo, hi in slices(off):
-                w = Words(buf, off[lo : hi + 1], SPACE_WORDS)
-                rows = w.rows()
-                at = window_starts(w.first, block)
-                row = rows[at]
-                good = (np.diff(w.first)[row] >= window) & (ids[lo:hi][row] != NO_ID)
-                at, row = at[good], row[good]
-                h = window_hash(w.hash, block, _BLOCK_SEED)[at]
-                part, doc = (h >> _bits(buckets)).astype(np.int64), ids[lo:hi][row]
-                low = h.astype(np.uint32)
-                packer.add(PROBE, 0, part, doc, low)
-                first = (at - w.first[row]) % block == 0
-                packer.add(ANCHOR, 0, part[first], doc[first], low[first])
-                if packer.size >= FLUSH and (out := packer.rows()):
-                    yield out
-        if out := packer.rows():
-            yield out
 
-    return run
+def _lowest(ids: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    return np.minimum.reduceat(ids[order], heads) if len(heads) else ids[:0]
+
 
+def _probe(window: int, buckets: int):
+    block = (window + 1) // 2
 
-def _match(groups: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(docs: pa.Table) -> pa.Table:
         release()
-        bucket = table["part"][0].as_py()
-        anchor_ids, anchors, _ = unpack(table, ANCHOR)
-        probe_ids, probes, _ = unpack(table, PROBE)
-        hit = look_up(*extremes(anchors, anchor_ids), probes, np.iinfo(np.int64).max) < probe_ids
-        probe_ids, probes = probe_ids[hit], probes[hit]
-        hit = look_up(*extremes(probes, probe_ids, most=True), anchors, np.iinfo(np.int64).min) > anchor_ids
-        ids, hashes = np.concatenate([probe_ids, anchor_ids[hit]]), np.concatenate([probes, anchors[hit]])
-        packer = Packer(np.uint32)
-        packer.add(0, bucket, group_of(ids, groups), ids, hashes)
-        return pa.Table.from_batches([out] if (out := packer.rows()) else [], schema=ARROW)
+        h, row, place = _windows(docs, block, _BLOCK_SEED, window)
+        ids = arrow_ids(docs["id"])[row]
+        order, heads, _ = runs(h)
+        if not len(heads):
+            return ARROW.empty_table()
+        low, high = _lowest(ids, order, heads), np.maximum.reduceat(ids[order], heads)
+        anchor = np.logical_or.reduceat((place % block == 0)[order], heads)
+        kind = SEVERAL * (low != high) + ANCHOR * anchor
+        h = h[order[heads]]
+        part, low = (h >> _bits(buckets)).astype(np.int64), h.astype(np.uint32)
+        group = docs["part"][0].as_py()
+        return together(x for k in range(4) for x in packed(k, group, part[kind == k], low[kind == k]))
 
     return run
 
 
+def _match(table: pa.Table) -> pa.Table:
+    release()
+    hashes, kind, group, _, _ = unpack(table)
+    order, heads, number = runs(hashes)
+    if not len(heads):
+        return ARROW.empty_table()
+    said = np.bitwise_or.reduceat(kind[order], heads)
+    size = np.diff(np.append(heads, len(order)))
+    shared = ((said & ANCHOR) > 0) & ((size > 1) | ((said & SEVERAL) > 0))
+    hit = shared[number]
+    return together(packed(0, table["part"][0].as_py(), group[hit], hashes[hit]))
+
+
 def _extend(window: int, buckets: int):
     block = (window + 1) // 2
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         release()
-        hit_ids, hits, origins = unpack(answers, 0)
-        hit_keys = Members(key_of(hit_ids, origins, hits))
-        packer = Packer(np.uint64)
+        hits, _, origins, _, _ = unpack(answers)
+        if not len(hits) or not len(docs):
+            return ARROW.empty_table()
+        hit_keys = Members(place_key(origins, hits))
         ids = arrow_ids(docs["id"])
-        wanted = rows_with(ids, hit_ids)
-        docs, ids = docs.take(wanted), ids[wanted]
         buf, off = arrow_text(docs["text"])
+        found: list[tuple[np.ndarray, ...]] = []
         for lo, hi in slices(off):
             w = Words(buf, off[lo : hi + 1], SPACE_WORDS)
-            row_ids, rows = ids[lo:hi], w.rows()
             at = window_starts(w.first, block)
             if not len(at):
                 continue
             h = window_hash(w.hash, block, _BLOCK_SEED)[at]
-            keys = key_of(row_ids[rows[at]], h >> _bits(buckets), h.astype(np.uint32))
             hit = np.zeros(len(w.hash) + 1, dtype=np.int32)
-            hit[at + 1] = hit_keys.has(keys)
+            hit[at + 1] = hit_keys.has(place_key(h >> _bits(buckets), h.astype(np.uint32)))
             before = np.cumsum(hit)
             at = window_starts(w.first, window)
-            at = at[before[at + window - block + 1] > before[at]]
+            at = at[(before[at + window - block + 1] > before[at]) & (ids[lo:hi][w.rows()[at]] != NO_ID)]
             if len(at):
                 place = window_hash(w.hash, window, _PLACE_SEED)[at] >> _bits(buckets)
-                packer.add(0, 0, place.astype(np.int64), row_ids[rows[at]], window_hash(w.hash, window, _WINDOW_SEED)[at])
-        return pa.Table.from_batches([out] if (out := packer.rows()) else [], schema=ARROW)
+                found.append((window_hash(w.hash, window, _WINDOW_SEED)[at], place.astype(np.int64), ids[lo:hi][w.rows()[at]]))
+        if not found:
+            return ARROW.empty_table()
+        h, place, own = (np.concatenate(x) for x in zip(*found, strict=True))
+        order, heads, _ = runs(h)
+        own, first = _lowest(own, order, heads), order[heads]
+        by_id = np.argsort(own, kind="stable")
+        return together(packed(0, docs["part"][0].as_py(), place[first][by_id], h[first][by_id], own[by_id]))
 
     return run
 
 
-def _repeats(groups: int):
-    def run(table: pa.Table) -> pa.Table:
-        release()
-        ids, hashes, _ = unpack(table, 0, np.uint64)
-        later = look_up(*extremes(hashes, ids), hashes, NO_ID) < ids
-        ids, hashes = ids[later], hashes[later]
-        packer = Packer(np.uint64)
-        packer.add(0, 0, group_of(ids, groups), ids, hashes)
-        return pa.Table.from_batches([out] if (out := packer.rows()) else [], schema=ARROW)
-
-    return run
+def _repeats(table: pa.Table) -> pa.Table:
+    release()
+    hashes, _, group, ids, _ = unpack(table, np.uint64)
+    order, heads, number = runs(hashes)
+    later = _lowest(ids, order, heads)[number] < ids
+    return together(packed(0, 0, group[later], hashes[later]))
 
 
 def _remove(window: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         release()
-        answer_ids, repeats, _ = unpack(answers, 0, np.uint64)
-        keys = Members(repeats + mix(answer_ids.view(U64)))
+        repeats = Members(unpack(answers, np.uint64)[0])
         ids = arrow_ids(docs["id"])
-        gone_by_row: dict[int, np.ndarray] = {}
-        answered = rows_with(ids, answer_ids)
-        buf, off = arrow_text(docs["text"].take(answered))
-        for lo, hi in slices(off):
-            w = Words(buf, off[lo : hi + 1], SPACE_WORDS)
-            at = window_starts(w.first, window)
-            if not len(at):
-                continue
-            h = window_hash(w.hash, window, _WINDOW_SEED)[at] + mix(ids[answered[lo:hi]].view(U64))[w.rows()[at]]
-            at = at[keys.has(h)]
-            step = np.bincount(at, minlength=len(w.hash) + 1) - np.bincount(at + window, minlength=len(w.hash) + 1)
-            covered = np.cumsum(step)[: len(w.hash)] > 0
-            for r in range(lo, hi):
-                gone_by_row[int(answered[r])] = covered[w.first[r - lo] : w.first[r - lo + 1]]
+        h, row, place = _windows(docs, window, _WINDOW_SEED, window)
+        order, heads, number = runs(h)
+        gone = repeats.has(h) | (_lowest(ids[row], order, heads)[number] < ids[row])
+        row, place = row[gone], place[gone]
+        cut = np.searchsorted(row, np.arange(len(ids) + 1))
         buf, off = arrow_text(docs["text"])
         out: dict[str, list] = {name: [] for name in _RESULT.names}
         for r in range(len(ids)):
             words = buf[off[r] : off[r + 1]].tobytes().split()
-            gone, spans, n = gone_by_row.get(r), [], len(words)
-            if gone is not None and gone.any():
-                turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+            n, spans, own = len(words), [], place[cut[r] : cut[r + 1]]
+            if len(own):
+                step = np.bincount(own, minlength=n + 1) - np.bincount(own + window, minlength=n + 1)
+                covered = np.cumsum(step)[:n] > 0
+                turns = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))).tolist()
                 spans = [{"start": a, "end": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-                words = list(compress(words, (~gone).tolist()))
+                words = list(compress(words, (~covered).tolist()))
             out["doc_id"].append(int(ids[r]) if ids[r] != NO_ID else None)
             out["n_words"].append(n)
             out["n_removed"].append(n - len(words))
@@ -185,11 +183,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     size = input_bytes(docs.select(text_column), text_column)
     buckets, groups = bucket_count(size), bucket_count(size, each=8 << 20, least=16)
-    texts = grouped(docs, id_column, text_column, groups)
-    packed = texts.select("id", "text").mapInArrow(_probe(window, buckets), PACKED)
-    answers = packed.groupBy("part").applyInArrow(_match(groups), PACKED)
-    packed = texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_extend(window, buckets), PACKED)
-    answers = packed.groupBy("part").applyInArrow(_repeats(groups), PACKED)
+    texts = grouped(docs, id_column, text_column, groups, size)
+    asked = spread(texts.groupBy("part").applyInArrow(_probe(window, buckets), PACKED), "part", size)
+    answers = spread(asked.groupBy("part").applyInArrow(_match, PACKED), "part", size)
+    asked = spread(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_extend(window, buckets), PACKED), "part", size)
+    answers = spread(asked.groupBy("part").applyInArrow(_repeats, PACKED), "part", size)
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_remove(window), RESULT)
 
 
