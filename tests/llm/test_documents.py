@@ -203,6 +203,16 @@ def test_line_dedup_masks_tokens_with_digits(spark):
     assert {r.doc_id: r.n_dropped for r in got} == {i: 2 * (i > 0) for i in range(len(ids))}
 
 
+def test_line_dedup_finds_scattered_variables(spark):
+    """Sixteen tokens of which three vary, and eight of which three vary (too many)."""
+    rng = random.Random(17)
+    long = lambda: " ".join(w if k not in (4, 9, 14) else prose(rng, 1, 90000) for k, w in enumerate("the job has ended on node alpha after many hours of work by user root today".split()))
+    short = lambda: " ".join(w if k not in (4, 5, 7) else prose(rng, 1, 90000) for k, w in enumerate("this line is about one or two things".split()))
+    texts = [(i, f"{long()}\n{short()}\n\nend") for i in range(8)]
+    got = line_dedup.drop_recurring(documents(spark, texts)).collect()
+    assert {r.doc_id: (r.n_dropped, r.text) for r in got} == {i: (int(i > 0), t if not i else t.split("\n", 1)[1]) for i, t in texts}
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

@@ -2,20 +2,21 @@
 
 Lines are parsed at a fixed depth: by their number of tokens and their first
 ``LEADING`` tokens (a token with a digit counts as ``<*>``), which gives a leaf.
-A line's tokens are at most ``FIELDS`` fields of equally many tokens. Within a
-leaf a field is constant if at least ``min_docs`` documents have it at its
-place, and variable otherwise; if enough fields are constant the line's template
-is those fields, else it is the line itself. A template of ``min_docs`` or more
+Within a leaf a token is constant if at least ``min_docs`` documents have it at
+its place, and variable otherwise; if enough of a line's tokens are constant its
+template is those, else it is the line itself. A template of ``min_docs`` or more
 different documents recurs: its lines are dropped from all documents but the
 first (the smallest id). Documents of equal text count once, so copies alone
 make nothing recur.
 
-Plan: a first pass counts lines by leaf; a second keeps, as hashes without text,
-the lines of leaves with lines enough (checkpointed); those are counted by
-partial aggregates, and only leaves with several kinds of lines have their
-fields counted; dropped places meet the texts in one exchange, by id, with the
-places as the hashed side. A line of thousands of
-documents is one group of pre-aggregated counts.
+Plan: one pass parses the lines to a table in the shared folder (hashes, and the
+masked line), of which later steps read the columns that they need; different
+texts are counted by leaf and line in partial aggregates; only lines of leaves
+with several kinds and documents enough are split to tokens, whose support is
+counted by (leaf, place, token) and joined back with hot tokens by broadcast, as
+are templates to lines; dropped places meet the texts in one exchange, by id,
+with the places as the hashed side. A leaf and a line are told apart by 64-bit
+hashes each, a line within its leaf, so by 128 bits.
 
 Edge cases: null text stays null, empty text empty; lines of fewer than
 ``min_tokens`` tokens are never dropped, so repeated blank lines stay; a
@@ -30,9 +31,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import cut
+from .components import answered, few, written
 
-LEADING, FIELDS = 3, 8
+LEADING = 3
 
 
 def _masked(text: Column) -> Column:
@@ -46,69 +47,61 @@ def _masked(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), one)
 
 
-def _leaves(text: Column, min_tokens: int, min_pos: bool) -> Column:
-    """For each line with enough tokens: its leaf, and its place and masked text if ``min_pos``."""
-    sized = F.transform(_masked(text), lambda x, i: F.struct(i.alias("pos"), x.alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    enough = F.filter(sized, lambda x: (x["n"] >= min_tokens) & (x["line"] != ""))
-    leaf = lambda x: F.xxhash64(x["n"], F.substring_index(x["line"], " ", LEADING)).alias("leaf")
-    if not min_pos:
-        return F.transform(enough, leaf)
-    return F.transform(enough, lambda x: F.struct(x["pos"].alias("pos"), leaf(x), _fields(x["line"], x["n"]).alias("fields")))
-
-
-def _fields(line: Column, n: Column) -> Column:
-    """Hashes of at most FIELDS runs of equally many tokens."""
-    each = F.ceil(n / FIELDS).cast("int")
-    split = F.array(F.struct(F.split(line, " ").alias("t"), each.alias("each")))  # so that it is evaluated once
-    return F.flatten(F.transform(split, lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x["t"]) / x["each"]).cast("int") - 1), lambda k: F.hash(F.slice(x["t"], k * x["each"] + 1, x["each"])))))
-
-
-def _lines(docs: DataFrame, id_column: str, text_column: str, min_docs: int, min_tokens: int) -> DataFrame:
-    """doc, text_key, pos, leaf, fields, line of every line in a leaf that has lines enough."""
+def _lines(docs: DataFrame, id_column: str, text_column: str, min_tokens: int) -> DataFrame:
+    """doc, text_key, pos, n, leaf, line, masked of every line that has tokens enough."""
     text = F.col(text_column)
-    leaves = docs.select(F.explode(_leaves(text, min_tokens, False)).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs).select("leaf")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), F.explode(_leaves(text, min_tokens, True)).alias("x"))
-    rows = rows.select("doc", "text_key", "x.pos", "x.leaf", "x.fields").join(leaves, "leaf")
-    return rows.withColumn("line", F.xxhash64("leaf", "fields"))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), F.posexplode(_masked(text)).alias("pos", "masked")).where("masked <> ''")
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= min_tokens)
+    return rows.withColumns({"leaf": F.xxhash64("n", F.substring_index("masked", " ", LEADING)), "line": F.xxhash64(F.lit("line"), "masked")})
 
 
 def _templates(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
-    """line, template of the lines that may belong to a recurring template."""
-    each = lines.groupBy("leaf", "line", "text_key").agg(F.any_value("fields").alias("fields"))
-    each = each.groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.any_value("fields").alias("fields"))
-    leaves = each.groupBy("leaf").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("kinds")).where(F.col("all_docs") >= min_docs)
-    each = each.join(leaves, "leaf")
-    alone = each.where((F.col("kinds") == 1) & (F.col("docs") >= min_docs)).select("line", F.col("line").alias("template"))
-    several = each.where("kinds > 1").select("leaf", "line", "docs", F.posexplode("fields").alias("place", "field"))
-    held = several.groupBy("leaf", "place", "field").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).drop("support").withColumn("held", F.lit(1))
-    marked = several.join(held, ["leaf", "place", "field"], "left")
-    parts = marked.groupBy("leaf", "line").agg(
-        F.count("*").alias("n"),
-        F.count("held").alias("n_held"),
-        F.array_sort(F.collect_list(F.when(F.col("held") == 1, F.struct("place", "field")))).alias("parts"),
-    )  # at most FIELDS entries a line
-    general = F.col("n_held") >= F.ceil(F.col("n") * constant)
-    template = F.when(general, F.xxhash64("leaf", "n", "parts")).otherwise(F.col("line"))
-    return alone.union(parts.select("line", template.alias("template")))
+    """leaf, line, template, n (rows of the line) of the lines that may belong to a recurring template."""
+    each = lines.groupBy("leaf", "line", "text_key").agg(F.count("*").alias("rows")).groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.sum("rows").alias("n"))
+    each = written(each)
+    leaves = written(each.groupBy("leaf").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("n")).where(F.col("all_docs") >= min_docs).withColumn("kinds", F.col("n")))
+    each = answered(each.withColumnRenamed("n", "rows"), leaves, ["leaf"], F.col("line")).where("all_docs IS NOT NULL")
+    alone = each.where((F.col("kinds") == 1) & (F.col("docs") >= min_docs)).select("leaf", "line", F.col("line").alias("template"), F.col("rows").alias("n"))
+    several = each.where("kinds > 1").select("leaf", "line", "docs", "rows")
+    few_ = few(several)
+    own = lines.join(few_.select("leaf", "line"), ["leaf", "line"], "left_semi") if few_ is not several else lines
+    masked = own.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"))
+    tokens = several.join(masked, ["leaf", "line"]).select("leaf", "line", "docs", "rows", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    tokens = written(tokens.where(F.col("place") >= LEADING).select("leaf", "line", "docs", "rows", "place", F.xxhash64("token").alias("token")))
+    held = written(tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("support"), F.count("*").alias("n")).where(F.col("support") >= min_docs).select("token", "leaf", "place", "n", F.lit(1).alias("held")))
+    marked = answered(tokens, held, ["token", "leaf", "place"], F.xxhash64("line", "place"))
+    part = F.when(F.col("held") == 1, F.struct("place", "token"))
+    parts = marked.groupBy("leaf", "line", "rows").agg(F.count("*").alias("rest"), F.count("held").alias("n_held"), F.array_sort(F.collect_list(part)).alias("parts"))  # a line's own tokens
+    size = F.col("rest") + LEADING
+    general = F.col("n_held") + LEADING >= F.ceil(size * constant)
+    template = F.when(general, F.xxhash64(F.lit("template"), size, "parts")).otherwise(F.col("line"))
+    # lines of the leading tokens only have no others in their leaf
+    return alone.union(parts.select("leaf", "line", template.alias("template"), F.col("rows").alias("n")))
 
 
 def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_docs: int = 5, min_tokens: int = 3, constant: float = 0.75) -> DataFrame:
-    """The documents with the lines of recurring templates dropped but from the first document; adds n_lines and n_dropped."""
-    lines = cut(_lines(docs, id_column, text_column, min_docs, min_tokens))
-    templates = _templates(lines, min_docs, constant)
-    of = lines.select("doc", "text_key", "pos", "line").join(templates, "line").select("doc", "text_key", "pos", "template")
-    counts = of.groupBy("template", "text_key").agg(F.min("doc").alias("first")).groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
-    gone = of.join(counts.where(F.col("docs") >= min_docs), "template").where("doc > first")
+    """The documents with the lines of recurring templates dropped but from the first document; adds n_lines and n_dropped.
+
+    ``constant`` is the share of a line's tokens that a template must hold.
+    """
+    lines = written(_lines(docs, id_column, text_column, min_tokens))
+    templates = written(_templates(lines, min_docs, constant))
+    of = answered(lines.select("doc", "text_key", "pos", "leaf", "line"), templates, ["line", "leaf"], F.xxhash64("doc", "pos")).where("template IS NOT NULL")
+    counts = of.groupBy("leaf", "template", "text_key").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
+    counts = counts.groupBy("template", "leaf").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    counts = written(counts.where(F.col("docs") >= min_docs).drop("docs"))
+    gone = answered(of, counts, ["template", "leaf"], F.xxhash64("doc", "pos")).where("doc > first")
     gone = gone.groupBy("doc", "text_key").agg(F.collect_set("pos").alias("__gone"))
     gone = gone.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"), "__gone").hint("shuffle_hash")
     text = F.col(text_column)
     docs = docs.withColumn("__id", F.col(id_column).cast("long")).withColumn("__text_key", F.xxhash64(text))
     docs = docs.join(gone, (F.col("__id") == F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("__gone", i))
+    places = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "__gone")
+    kept = F.element_at(F.transform(F.array(F.split(text, "\n")), lambda ls: F.array_join(F.transform(places(ls), lambda i: F.get(ls, i)), "\n")), 1)  # so that it is split once
     dropped = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     docs = docs.withColumns({"n_lines": n_lines, "n_dropped": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(dropped).cast("long")})
-    docs = docs.withColumn(text_column, F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(kept, "\n")))
+    docs = docs.withColumn(text_column, F.when(F.col("__gone").isNull(), text).otherwise(kept))
     return docs.drop("__id", "__text_key", "__doc", "__key", "__gone")
 
 
@@ -117,32 +110,29 @@ def digest(docs: DataFrame) -> DataFrame:
     return drop_recurring(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-#: The digest's rows in DuckDB SQL; it masks runs of digits, not tokens, which gives the same rows on the given tables.
+#: The digest's rows in DuckDB SQL.
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 ), l AS (
   SELECT rid, doc_id, text, pos,
-         list_transform(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+'), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS t
+         list_transform(regexp_extract_all(ls[pos], '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS t
   FROM (SELECT rid, doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS pos FROM d)
 ), p AS (
-  SELECT rid, doc_id, text, pos, len(t) AS n, list_slice(t, 1, 3) AS lead, t,
-         list_transform(range(0, CAST(ceil(len(t) / ceil(len(t) / 8.0)) AS BIGINT)),
-                        lambda k: list_slice(t, k * CAST(ceil(len(t) / 8.0) AS BIGINT) + 1, (k + 1) * CAST(ceil(len(t) / 8.0) AS BIGINT))) AS fields
-  FROM l WHERE len(t) >= 3
+  SELECT rid, doc_id, text, pos, len(t) AS n, list_slice(t, 1, 3) AS lead, t FROM l WHERE len(t) >= 3
 ), e AS (
-  SELECT n, lead, t, fields, count(DISTINCT text) AS docs FROM p GROUP BY n, lead, t, fields
+  SELECT n, lead, t, count(DISTINCT text) AS docs FROM p GROUP BY n, lead, t
 ), f AS (
-  SELECT n, lead, t, docs, fields, unnest(range(1, len(fields) + 1)) AS place FROM e
+  SELECT n, lead, t, docs, unnest(range(1, len(t) + 1)) AS place FROM e
 ), s AS (
-  SELECT n, lead, place, fields[place] AS field, sum(docs) AS support FROM f GROUP BY ALL
+  SELECT n, lead, place, t[place] AS token, sum(docs) AS support FROM f GROUP BY ALL
 ), g AS (
-  SELECT f.n, f.lead, f.t, f.fields, list(CASE WHEN support >= 5 THEN s.field ELSE NULL END ORDER BY f.place) AS parts
-  FROM f JOIN s ON f.n = s.n AND f.lead = s.lead AND f.place = s.place AND f.fields[f.place] = s.field
-  GROUP BY f.n, f.lead, f.t, f.fields
+  SELECT f.n, f.lead, f.t, list(CASE WHEN support >= 5 THEN s.token ELSE NULL END ORDER BY f.place) AS parts
+  FROM f JOIN s ON f.n = s.n AND f.lead = s.lead AND f.place = s.place AND f.t[f.place] = s.token
+  GROUP BY f.n, f.lead, f.t
 ), g2 AS (
-  SELECT t, CASE WHEN len(list_filter(parts, lambda x: x IS NOT NULL)) >= ceil(len(parts) * 0.75)
-                 THEN {'n': n, 'lead': lead, 'parts': parts} ELSE {'n': n, 'lead': lead, 'parts': fields} END AS template
+  SELECT t, CASE WHEN len(list_filter(parts, lambda x: x IS NOT NULL)) >= ceil(n * 0.75)
+                 THEN {'n': n, 'lead': lead, 'parts': parts} ELSE {'n': n, 'lead': lead, 'parts': t} END AS template
   FROM g
 ), x AS (
   SELECT p.rid, p.doc_id, p.text, p.pos, g2.template FROM p JOIN g2 ON p.t = g2.t
