@@ -190,3 +190,30 @@ def test_pipeline(spark, tmp_path):
     toxic = {i for i, t in docs if "blockhead" in t}
     assert set(left) == {i for i, _ in docs + lines} - toxic - {60, 61, 200}
     assert left[301].decoded_sha256 == spark.range(1).select(F.sha2(F.lit(lines[1][1].replace("\nplease visit the mirror now", "")), 256).alias("s")).first().s
+
+
+def test_answers_by_broadcast_and_by_join_are_alike(spark, monkeypatch):
+    from textdelta.llm import components as own
+
+    rng = random.Random(18)
+    rows = spark.createDataFrame([(rng.choice([0, 0, 0, rng.randrange(60)]), i % 3, i) for i in range(4000)], "k long, j int, x long").union(spark.createDataFrame([(None, 1, -1)], "k long, j int, x long"))
+    answers = rows.where("k % 7 <> 3").groupBy("k", "j").agg(F.min("x").alias("least"), F.count("*").alias("n"))
+    want = sorted(map(str, own.answered(rows, answers, ["k", "j"], F.col("x")).collect()))
+    for rows_most, hot in ((0, 1000), (0, 10), (0, 1 << 40)):
+        monkeypatch.setattr(own, "BROADCAST_ROWS", rows_most)
+        monkeypatch.setattr(own, "HOT", hot)
+        assert sorted(map(str, own.answered(rows, answers, ["k", "j"], F.col("x")).collect())) == want
+
+
+def test_line_dedup_by_joins(spark, monkeypatch):
+    """The same rows where nothing is few enough for a broadcast."""
+    from textdelta.llm import components as own
+    from textdelta.llm import line_dedup
+
+    rng = random.Random(19)
+    texts = [(i, "\n".join(rng.choice([f"item {rng.randrange(9)} is in the basket of user {prose(rng, 1, 3)}", "All rights reserved.", prose(rng, 6, 4)]) for _ in range(6))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(str, line_dedup.digest(docs).collect()))
+    monkeypatch.setattr(own, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(own, "HOT", 20)
+    assert sorted(map(str, line_dedup.digest(docs).collect())) == want

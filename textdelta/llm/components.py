@@ -41,19 +41,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (which is cut, or cheap) marked for broadcast if it has at most ``most`` rows."""
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` (which is cut, or cheap) marked for broadcast if it has at most ``most`` rows (BROADCAST_ROWS)."""
+    most = BROADCAST_ROWS if most is None else most
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def answered(rows: DataFrame, answers: DataFrame, keys: list[str], spread: Column, limit: int | None = None) -> DataFrame:
     """``rows`` left-joined to ``answers`` (unique by ``keys``; their column n tells how many rows have the key).
 
-    Keys of more than ``limit`` rows are broadcast, and what has them is dealt by
-    ``spread``, so that no task gets a hot key's rows. By default the limit is what
-    leaves at most SHARE keys above it.
+    At most BROADCAST_ROWS answers are broadcast whole. Of more, keys of more than
+    ``limit`` rows are, and what has them is dealt by ``spread``, so that no task
+    gets a hot key's rows. The limit leaves at most SHARE keys above it; where it
+    is given, answers are not counted first.
     """
     if limit is None:
+        if answers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(answers.drop("n")), keys, "left").select(*rows.columns, *(c for c in answers.columns if c not in keys and c != "n"))
         limit = max(HOT, (answers.agg(F.sum("n")).first()[0] or 0) // SHARE)
     rest = [c for c in answers.columns if c not in keys and c != "n"]
     hot = answers.where(F.col("n") > limit).select(*(F.col(c).alias(f"__hot_{c}") for c in keys + rest), F.lit(True).alias("__hot"))

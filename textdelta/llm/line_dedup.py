@@ -63,8 +63,9 @@ def _templates(lines: DataFrame, min_docs: int, constant: float) -> DataFrame:
     each = answered(each.withColumnRenamed("n", "rows"), leaves, ["leaf"], F.col("line")).where("all_docs IS NOT NULL")
     alone = each.where((F.col("kinds") == 1) & (F.col("docs") >= min_docs)).select("leaf", "line", F.col("line").alias("template"), F.col("rows").alias("n"))
     several = each.where("kinds > 1").select("leaf", "line", "docs", "rows")
-    few_ = few(several)
-    own = lines.join(few_.select("leaf", "line"), ["leaf", "line"], "left_semi") if few_ is not several else lines
+    names = several.select("leaf", "line")
+    marked = few(names)
+    own = lines if marked is names else lines.join(marked, ["leaf", "line"], "left_semi")
     masked = own.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"))
     tokens = several.join(masked, ["leaf", "line"]).select("leaf", "line", "docs", "rows", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     tokens = written(tokens.where(F.col("place") >= LEADING).select("leaf", "line", "docs", "rows", "place", F.xxhash64("token").alias("token")))
@@ -86,7 +87,7 @@ def drop_recurring(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     lines = written(_lines(docs, id_column, text_column, min_tokens))
     templates = written(_templates(lines, min_docs, constant))
-    of = answered(lines.select("doc", "text_key", "pos", "leaf", "line"), templates, ["line", "leaf"], F.xxhash64("doc", "pos")).where("template IS NOT NULL")
+    of = written(answered(lines.select("doc", "text_key", "pos", "leaf", "line"), templates, ["line", "leaf"], F.xxhash64("doc", "pos")).where("template IS NOT NULL"))
     counts = of.groupBy("leaf", "template", "text_key").agg(F.min("doc").alias("first"), F.count("*").alias("n"))
     counts = counts.groupBy("template", "leaf").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("n").alias("n"))
     counts = written(counts.where(F.col("docs") >= min_docs).drop("docs"))
