@@ -104,6 +104,19 @@ def test_nearest_recall_and_edges(spark):
     assert [r.vec_id for r in sorted(few, key=lambda r: r.rank) if r.query_id == 0] and len(few) == 2
 
 
+def test_nearest_of_repeated_queries_and_of_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(50, x[50].tolist()), (50, (x[50] + 1).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = permutation_index.nearest(df, share=1.0).collect()
+    assert sorted(r.rank for r in whole if r.query_id == 50) == sorted([1, 2, 3, 4, 5] * 3)
+    monkeypatch.setattr(permutation_index, "BLOCK", 100)
+    monkeypatch.setattr(permutation_index, "QUERIES", 5)
+    assert sorted(map(str, permutation_index.nearest(df.repartition(7), share=1.0).collect())) == sorted(map(str, whole))
+    assert sorted(map(str, permutation_index.nearest(df.repartition(7)).collect())) == sorted(map(str, permutation_index.nearest(df.coalesce(1)).collect()))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header><h1>Site</h1></header><nav><ul><li>menu</ul></nav>
 <div id="cookie-notice">cookies</div><main><article><header><h1>A &amp; <i>b</i>c</h1></header><p>One<br>two<p>Three &lt;x&gt;<script>var t="</p>";</script>
 <ul><li>a<li>b</ul><aside>side</aside><form>go</form><section class="comments"><p>nice</p></section></article></main><div class="sidebar">zz</div><footer>&copy;</footer>"""
