@@ -167,6 +167,47 @@ def test_style_tree_joins_when_too_many_nodes(spark, monkeypatch):
     assert {r.text for r in style_tree.extract(df).collect()} == {f"text {i}" for i in range(6)}
 
 
+def test_importances_against_plain_counts(spark):
+    rng = random.Random(20)
+    part = lambda: rng.choice(["<p>same</p>", f"<p>{rng.randrange(4)}</p>", f"<div class=c{rng.randrange(2)}><p>{rng.randrange(9)}</p></div>", "<ul><li>x<li>y</ul>"])
+    rows = [(i, f"http://h{rng.randrange(3)}.org/{i}", f"<body>{''.join(part() for _ in range(rng.randint(1, 5)))}</body>") for i in range(60)]
+    seen: dict = {}
+    for host, html in {(url.split("/")[2], html) for _, url, html in rows}:
+        page = style_tree.parse(html)
+        for node, _, _, text in {(b[0], 0, 0, b[3]) for b in page.blocks}:
+            seen.setdefault((host, node, 1), []).append(text)
+        for node, shown in set(page.presentations):
+            seen.setdefault((host, node, 0), []).append(shown)
+    want: dict = {}
+    for (host, node, _), all_ in seen.items():
+        n = len(all_)
+        own = 1.0 if n < 4 else -sum(all_.count(x) / n * math.log(all_.count(x) / n) for x in set(all_)) / math.log(n)
+        want[host, node] = max(own, want.get((host, node), 0.0))
+    want = {k: v for k, v in want.items() if (*k, 1) in seen}
+    got = {(r.host, r.node): r.importance for r in style_tree.importances(spark.createDataFrame(rows, "page_id long, url string, html string"), 4).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_weak_words_go_only_where_alike(spark):
+    page = lambda i: f"<body><div class=more>{i % 2 and 'Read on'} </div><div class='more-info'>fact {i}</div><div class=comments>c {i}</div></body>"
+    rows = [(i, "http://host.a/x", page(i).replace("False", "Read on").replace("0 ", "Read on ")) for i in range(8)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "fact 3"
+    assert style_tree.main_text("<div class='more-info'>fact</div>") == "fact"
+
+
+def test_broken_and_deep_pages():
+    import time
+
+    began = time.perf_counter()
+    assert style_tree.main_text('<p>a <a title="x < y">b</a> c</p>') == "a b c"
+    assert style_tree.main_text('<p>one</p><a href="x>two</a><p>three</p>').startswith("one")
+    for html in ('<a "' * 60000, "<div>" * 100000 + "</section>" * 100000, "<" * 200000, "<p x='" * 50000, "<!--" * 50000):
+        style_tree.main_text(html)
+    assert time.perf_counter() - began < 20
+    assert style_tree.main_text("<div>" * 100000 + "deep") == "deep"
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(1, 1), (None, 3)]
