@@ -165,6 +165,33 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert decontaminate.digest(docs.limit(0), bench).count() == 0
 
 
+def test_suffix_array_and_matches_against_plain_search():
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    for _ in range(60):
+        x = np.append(np.array([rng.randrange(3) for _ in range(rng.randint(0, 60))], dtype=np.int64), 9)
+        assert decontaminate.suffix_array(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+    words = lambda k: [f"v{rng.randrange(3)}" for _ in range(k)]
+    for _ in range(40):
+        items, texts = [words(rng.randint(0, 9)) for _ in range(4)], [words(rng.randint(0, 25)) for _ in range(6)]
+        test = decontaminate.TestSet(list(range(4)), [" ".join(x) for x in items], 4)
+        for text, (n, covered, found, longest) in zip(texts, decontaminate._found(test, pa.array([" ".join(t) for t in texts])), strict=True):
+            hit, own, most = [False] * len(text), set(), 0
+            for i, item in enumerate(items):
+                size = min(4, len(item))
+                for p in range(len(item) - size + 1) if size else ():
+                    for q in range(len(text) - size + 1):
+                        if item[p : p + size] == text[q : q + size]:
+                            k = size
+                            while p + k < len(item) and q + k < len(text) and item[p + k] == text[q + k]:
+                                k += 1
+                            hit[q : q + size] = [True] * size
+                            own.add(str(i))
+                            most = max(most, k)
+            assert (n, covered.tolist(), found, longest) == (len(text), hit, sorted(own), most)
+
+
 def test_longest_match(spark):
     item = " ".join(f"i{k}" for k in range(30))
     docs = documents(spark, [(1, "x " + " ".join(f"i{k}" for k in range(3, 25)) + " y"), (2, "nothing")])
