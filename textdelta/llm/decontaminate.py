@@ -245,7 +245,7 @@ def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", item_tex
     count, blocks = _blocks(items, item_text, item_text, n)
     if count > 1:
         hits = written(_hits(docs, text_column, blocks).groupBy("__key1", "__key2").agg(F.lit(True).alias("__hit"), F.count("*").alias("n")))
-        met = answered(_keyed(docs, text_column), hits, ["__key1", "__key2"], F.xxhash64(*docs.columns))
+        met = answered(_keyed(docs, text_column), hits, ["__key1", "__key2"], F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))
         return met.where("__hit IS NULL").select(docs.columns)
     test = next(blocks)
 
