@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from textdelta.functions import mapping, metrics, normalize, render, tokens
-from textdelta.operators import classify, group, naive_bayes, select, semantic, single, syntax
+from textdelta.operators import align, classify, group, naive_bayes, select, semantic, single, syntax
 from textdelta.plans.config import CyclicDependency, DiffConfig, InvalidDependency, execution_order
-from textdelta.plans.engine import compute_diff, ops_table, summary
+from textdelta.plans.engine import compute_diff, compute_distinct, ops_table, summary
 
 
 def one(spark, text, f):
@@ -241,3 +243,92 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("stats").first().diff_count == 1
+
+
+def test_spans_of_paragraphs_and_sections(spark):
+    for text, starts in (("a b\n\nc d", [0, 5]), ("a b\r\n\r\nc d", [0, 7]), ("a b\n\t\nc d", [0, 6]), ("\n\n", []), ("", []), ("x\ny\n", [0])):
+        assert [s.start for s in one(spark, text, select.paragraph_spans)] == starts
+    found = one(spark, "intro\n# One\nbody\nTWO WORDS\r\nmore", select.section_spans)
+    assert [(s.start, s.end, s.title) for s in found] == [(6, 17, "# One"), (17, 32, "TWO WORDS")]
+
+
+def test_long_distances(spark):
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcé😀") for _ in range(n))
+    pairs = [(text(rng.randint(0, 60)), text(rng.randint(0, 60))) for _ in range(200)] + [("", ""), ("a", ""), (None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(F.levenshtein("a", "b").alias("x"), align.edit_distance("a", "b").alias("y")).collect()
+    assert all(r.x == r.y for r in got)
+    long = text(20000)
+    r = pair(spark, long, long[:9000] + "zz" + long[9100:]).first()
+    assert r.levenshtein_distance == 100 and r.char_similarity == pytest.approx(0.995)
+
+
+def test_linear_rows_give_the_same_script(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(30):
+        a, b = ([rng.randrange(6) for _ in range(rng.randint(0, 80))] for _ in range(2))
+        whole = align.myers(a, b)
+        monkeypatch.setattr(align, "ROWS", 1)
+        assert align.myers(a, b) == whole
+        monkeypatch.undo()
+
+
+def test_injected_metrics_counts_and_distinct_pairs(spark):
+    rows = [(1, "a b c", "a x c"), (2, "a b c", "a x c"), (3, "same", "same"), (4, None, "x")]
+    df = spark.createDataFrame(rows, "pair_id long, original string, modified string")
+    counted = {r.pair_id: r for r in compute_diff(df, DiffConfig(operations=False)).collect()}
+    whole = {r.pair_id: r for r in compute_diff(df).collect()}
+    names = ("insertions", "deletions", "modifications", "edit_distance", "change_percentage")
+    assert all(counted[i][n] == whole[i][n] for i in (1, 2, 3) for n in names) and "ops" not in counted[1].asDict()
+    given = compute_diff(df.withColumn("word_overlap", F.lit(0.25))).where("pair_id = 1").first()
+    assert given.word_overlap == 0.25 and given.semantic_similarity == 0.25
+    once = {r.pair_id: r for r in compute_distinct(df.where("pair_id < 4")).collect()}
+    assert len(once) == 3 and once[2].ops == whole[2].ops
+
+
+def test_extension_points(spark):
+    align.CUSTOM_ALGORITHMS["replace_all"] = lambda a, b: [("-", i, None) for i in range(len(a))] + [("+", None, j) for j in range(len(b))]
+    tokens.TOKENIZERS["long_words"] = tokens.at_least(tokens.words(), 3)
+    try:
+        r = pair(spark, "one of two", "one of two", algorithm="replace_all", tokenizer="long_words", classifiers=("rule_based",)).first()
+        assert (r.insertions, r.deletions) == (2, 2) and r.ops[0].rule_based.category == "Semantic"
+    finally:
+        del align.CUSTOM_ALGORITHMS["replace_all"], tokens.TOKENIZERS["long_words"]
+    for bad in ({"algorithm": "none"}, {"tokenizer": "none"}, {"context_lines": -1}):
+        with pytest.raises(ValueError):
+            DiffConfig(**bad)
+    grams = pair(spark, "ab  cd ab", "ab cd", tokenizer="word_bigram", algorithm="myers").first()
+    assert [(o.original_start, o.original_end, o.modified_end) for o in grams.ops] == [(0, 6, 5), (4, 9, None)]
+
+
+def test_hunks_by_context(spark):
+    name = lambda i, c="t": c + chr(97 + i // 10) + chr(97 + i % 10)
+    a, b = " ".join(map(name, range(30))), " ".join(name(i, "x" if i in (3, 20) else "t") for i in range(30))
+    df = pair(spark, a, b, algorithm="myers")
+    for context, n in ((1, 2), (3, 2), (9, 1)):
+        found = df.select(render.hunks(F.col("ops"), context).alias("h")).first().h
+        assert len(found) == n
+    first = df.select(render.hunks(F.col("ops"), 2).alias("h")).first().h[0]
+    assert (first.original_start, first.original_count, first.modified_start, first.modified_count) == (2, 5, 2, 5)
+    assert first.lines == [" tab", " tac", "-tad", "+xad", " tae", " taf"]
+    assert pair(spark, "a", "a").select(render.hunks(F.col("ops")).alias("h")).first().h == []
+
+
+def test_global_trend(spark):
+    rows = [(f"p{i:03}", i, i / 100, 0.5) for i in range(100)]
+    df = spark.createDataFrame(rows, "pair_id string, seq int, semantic_similarity double, change_percentage double").repartition(5)
+    r = group.trends(df, by=None).first()
+    assert r.n == 100 and r.semantic_similarity_slope == pytest.approx(0.01) and r.change_percentage_trend == "stable"
+    assert r.semantic_similarity_moving == pytest.approx(sum(i / 100 for i in range(83, 100)) / 17)
+
+
+def test_unicode_forms_and_layers(spark):
+    assert one(spark, "é ﬁ", normalize.unicode_form("NFC")) == "é ﬁ" and one(spark, "ﬁ", normalize.unicode_form("NFKC")) == "fi"
+    assert one(spark, "a\r\nb\rc d", normalize.newlines) == "a\nb\nc\nd" and one(spark, "a.b,c", normalize.without(".,")) == "abc"
+    with pytest.raises(ValueError):
+        normalize.unicode_form("NF")
+    steps = normalize.Pipeline.of(["lowercase"]).add("reverse", lambda c: F.reverse(c))
+    layers = mapping.LayerSet(steps, F.col("t"))
+    r = spark.createDataFrame([("ABC",)], "t string").select(layers.final_layer().alias("a"), layers.map_to_original(2, F.lit(1)).alias("b"), layers.map_to_original(9, F.lit(1)).alias("c"), layers.all_texts().alias("d")).first()
+    assert (r.a, r.b, r.c, r.d) == ("cba", [1], [], ["ABC", "abc", "cba"])
+    assert mapping.place_by_place(1, 2)[1] == {"norm": 1, "kind": "inserted", "orig": []}

@@ -6,11 +6,15 @@ distance is over code points. Null in, null out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .charclass import PUNCT, SPACE
 
+#: Cells of a table of edit distances that are filled one by one at most.
+LONG = 100_000_000
 #: Fixed values.
 STOPWORDS = "a an and are as at be been but by for from has have he in is it its of on or that the to was were will with".split()
 NEGATIONS = "not no never neither none nobody nothing nowhere".split()
@@ -106,11 +110,12 @@ def length_ratio(a: Column, b: Column) -> Column:
     return F.when(F.greatest(x, y) > 0, F.least(x, y).cast("double") / F.greatest(x, y)).otherwise(1.0)
 
 
-def pair_metrics(df: DataFrame, a: str = "original", b: str = "modified", only: set[str] | None = None, max_chars: int | None = None) -> DataFrame:
+def pair_metrics(df: DataFrame, a: str = "original", b: str = "modified", only: set[str] | None = None, max_chars: int | None = None, long_distance: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``df`` with both texts' metrics (o_, m_) and the metrics of PAIR_METRICS.
 
     only: names to compute; Catalyst prunes the others' inputs. max_chars: pairs
-    with a longer text have a null edit distance.
+    with a longer text have a null edit distance. long_distance: takes the edit distance of
+    pairs whose lengths' product is over LONG.
     """
     want = set(PAIR_METRICS) if only is None else only
     df = text_metrics(text_metrics(df, a, "o_"), b, "m_")
@@ -118,6 +123,9 @@ def pair_metrics(df: DataFrame, a: str = "original", b: str = "modified", only:
     o, m = (lambda n: F.col(f"o_{n}")), (lambda n: F.col(f"m_{n}"))
     if want & {"levenshtein_distance", "char_similarity"}:
         distance = F.levenshtein(x, y).cast("long")
+        if long_distance is not None:
+            long = F.char_length(x).cast("long") * F.char_length(y) > LONG
+            distance = F.when(~long, distance).otherwise(long_distance(F.when(long, x), F.when(long, y)))
         if max_chars:
             distance = F.when(F.greatest(F.char_length(x), F.char_length(y)) <= max_chars, distance)
         df = df.withColumn("levenshtein_distance", distance)
@@ -163,3 +171,54 @@ def change_magnitude(count: Column, kind: str) -> Column:
         .when(count <= 5, F.concat(F.lit(f"Moderate {kind} changes: "), n, F.lit(" changed")))
         .otherwise(F.concat(F.lit(f"Significant {kind} changes: "), n, F.lit(" changed")))
     )
+
+
+MODALS = "can could may might must shall should will would".split()
+BE = "am is are was were be been being".split()
+EXTRA_METRICS = ("paragraph_count", "line_count", "letter_count", "digit_count", "unique_words", "vocabulary_richness", "gunning_fog", "smog", "lexical_density", "modal_count", "passive_count")
+
+
+def extra_metrics(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
+    """``df`` with the metrics of EXTRA_METRICS; words of three syllables or more are hard ones.
+
+    Lexical density is the share of words that are no stopwords; a passive is a form of
+    "be" right before a word that ends in "ed" or "en".
+    """
+    p = lambda name: F.col(f"_x_{name}")
+    t = F.col(column)
+    df = df.withColumn("_x_words", F.transform(word_list(t), lambda w: F.lower(w)))
+    bare = F.transform("_x_words", lambda w: F.regexp_replace(w, f"^{PUNCT}+|{PUNCT}+$", ""))
+    df = df.withColumns({"_x_bare": bare, "_x_n": F.size("_x_words").cast("long"), "_x_sentences": F.greatest(count_of(t, "[.!?]"), F.lit(1)), "_x_hard": F.size(F.filter("_x_words", lambda w: syllables(w) >= 3)).cast("long")})
+    lines_ = F.when(t == "", 0).otherwise(F.size(F.split(F.regexp_replace(t, "\n$", ""), "\n")))
+    blank = r"\n(?:[^\S\n]*\n)+"
+    following = lambda i: F.coalesce(F.get("_x_bare", i + 1), F.lit(""))
+    passive = F.size(F.filter(F.transform("_x_bare", lambda w, i: w.isin(BE) & F.rlike(following(i), F.lit("(ed|en)$"))), lambda x: x))
+    made = {
+        "paragraph_count": F.size(F.filter(F.split(t, blank), lambda x: ~F.rlike(x, F.lit(f"^{SPACE}*$")))).cast("long"),
+        "line_count": lines_.cast("long"),
+        "letter_count": count_of(t, r"\p{L}"),
+        "digit_count": count_of(t, r"\p{Nd}"),
+        "unique_words": F.size(F.array_distinct("_x_words")).cast("long"),
+        "vocabulary_richness": _ratio(F.size(F.array_distinct("_x_words")), p("n")),
+        "gunning_fog": F.when(p("n") > 0, 0.4 * (p("n") / p("sentences") + 100.0 * p("hard") / p("n"))).otherwise(0.0),
+        "smog": 1.0430 * F.sqrt(p("hard") / p("sentences") * 30) + 3.1291,
+        "lexical_density": _ratio(F.size(F.filter("_x_words", lambda w: ~w.isin(STOPWORDS))), p("n")),
+        "modal_count": F.size(F.filter("_x_bare", lambda w: w.isin(MODALS))).cast("long"),
+        "passive_count": passive.cast("long"),
+    }
+    return df.withColumns({f"{prefix}{k}": v for k, v in made.items()}).drop("_x_words", "_x_bare", "_x_n", "_x_sentences", "_x_hard")
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Twice the common members of two arrays as sets, of all members; both empty: 1."""
+    x, y = F.array_distinct(a), F.array_distinct(b)
+    total = F.size(x) + F.size(y)
+    return F.when(total > 0, 2.0 * F.size(F.array_intersect(x, y)) / total).otherwise(1.0)
+
+
+def word_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of words by their counts; 0 if one is empty."""
+    count = lambda items, w: F.size(F.filter(items, lambda x: x == w)).cast("double")
+    dot = lambda x, y: F.aggregate(F.array_intersect(x, y), F.lit(0.0), lambda s, w: s + count(x, w) * count(y, w))
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)

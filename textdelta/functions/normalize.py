@@ -120,3 +120,28 @@ class Pipeline:
             c = normalizer(c)
             out.append(F.struct(F.lit(name).alias("name"), c.alias("text")))
         return F.array(*out)
+
+
+def newlines(c: Column) -> Column:
+    """Every line end as a line feed."""
+    return F.regexp_replace(c, "\r\n?|[\u0085  ]", "\n")
+
+
+def without(characters: str) -> Normalizer:
+    """A normalizer that removes a set of characters of the caller's."""
+    return lambda c: F.translate(c, characters, "") if characters else c
+
+
+def unicode_form(form: str) -> Normalizer:
+    """NFC, NFD, NFKC or NFKD; texts of ASCII do not change, and take no time."""
+    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
+        raise ValueError(f"unknown form {form!r}")
+
+    @F.arrow_udf(T.StringType())
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in text.to_pylist()], pa.string())
+
+    return run
+
+
+NORMALIZERS |= {"newlines": newlines, **{form.lower(): unicode_form(form) for form in ("NFC", "NFD", "NFKC", "NFKD")}}

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .charclass import NUMBER, PUNCT, SPACE, WORD
 
@@ -49,6 +53,27 @@ def sentences(c: Column) -> Column:
     return F.transform(cut, lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", ""))
 
 
+def lines(c: Column) -> Column:
+    """Lines without their ends; a last one that is empty is none."""
+    return F.split(F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), "\n$", ""), "\n")
+
+
+def paragraphs(c: Column) -> Column:
+    """What blank lines part, trimmed; nothing empty."""
+    parts = F.split(F.regexp_replace(c, "\r\n?", "\n"), rf"\n(?:[^\S\n]*\n)+")
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")), lambda s: s != "")
+
+
+def symbols(c: Column) -> Column:
+    """Single characters that are symbols (currency, mathematics, modifiers, others)."""
+    return _extract(c, r"\p{S}")
+
+
+def at_least(tokenizer: Tokenizer, n: int) -> Tokenizer:
+    """Only tokens of n characters or more."""
+    return lambda c: F.filter(tokenizer(c), lambda t: F.char_length(t) >= n)
+
+
 TOKENIZERS: dict[str, Tokenizer] = {
     "character": characters,
     "word": words(),
@@ -57,19 +82,34 @@ TOKENIZERS: dict[str, Tokenizer] = {
     "char_bigram": char_ngrams(2),
     "word_bigram": word_ngrams(2),
     "sentence": sentences,
+    "line": lines,
+    "paragraph": paragraphs,
+    "symbol": symbols,
 }
+#: For n-grams: the tokenizer of their tokens, how many these are, and what joins them.
+GRAMS: dict[str, tuple[Tokenizer, int, str]] = {"char_bigram": (characters, 2, ""), "word_bigram": (words(), 2, " ")}
 
 
 def token_type(token: Column) -> Column:
     return F.when(F.rlike(token, F.lit(f"^{SPACE}")), "whitespace").when(F.rlike(token, F.lit(f"^{PUNCT}")), "punctuation").when(F.rlike(token, F.lit(f"^{NUMBER}")), "number").otherwise("word")
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def running_sums(sizes: pa.Array) -> pa.Array:
+    """Of each array of sizes, what they add up to so far."""
+    sizes = pc.fill_null(sizes, pa.scalar([], sizes.type)) if sizes.null_count else sizes
+    lengths = pc.list_value_length(sizes).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.append(0, np.cumsum(lengths))
+    total = np.append(0, np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
+    sums = total[1:] - np.repeat(total[offsets[:-1]], lengths)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sums, pa.int32()))
+
+
 def token_table(df: DataFrame, id_column: str, text_column: str, punctuation: bool = False, space: bool = False) -> DataFrame:
-    """id, index, text, type, start, end (UTF-8 bytes) of each token of the word tokenizer."""
-    rows = df.select(F.col(id_column).alias("id"), F.posexplode(_extract(F.col(text_column), _ALL)).alias("at", "text"))
-    before = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.sum(F.octet_length("text")).over(before)).withColumn("type", token_type(F.col("text")))
+    """id, index, text, type, start, end (UTF-8 bytes) of each token of the word tokenizer; all within a row, without an exchange."""
     kept = ["word", "number", *(["punctuation"] if punctuation else []), *(["whitespace"] if space else [])]
-    rows = rows.where(F.col("type").isin(kept))
-    index = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
-    return rows.select("id", index.alias("index"), "text", "type", (F.col("end") - F.octet_length("text")).alias("start"), "end")
+    rows = df.select(F.col(id_column).alias("id"), _extract(F.col(text_column), _ALL).alias("all_"))
+    rows = rows.withColumn("ends", running_sums(F.transform("all_", lambda t: F.octet_length(t))))
+    placed = F.zip_with("all_", "ends", lambda t, e: F.struct(t.alias("text"), token_type(t).alias("type"), (e - F.octet_length(t)).alias("start"), e.alias("end")))
+    rows = rows.select("id", F.posexplode(F.filter(placed, lambda t: t["type"].isin(kept))).alias("index", "t"))
+    return rows.select("id", "index", "t.text", "t.type", "t.start", "t.end")

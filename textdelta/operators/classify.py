@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,12 @@ def rule_based(op: Column) -> Column:
     near = F.when((words > 0.6) & (words < 0.9), entry("Stylistic", 0.25))
     others = F.filter(F.array(close, near), lambda x: x.isNotNull())
     differ = o != m
+    # nothing against text that has more than spaces and punctuation: no rule between can fit
+    apart = ((o == "") != (m == "")) & F.rlike(F.concat(o, m), F.lit(rf"[^\p{{Punct}}\p{{IsWhite_Space}}]"))
     return (
         F.when(op["category"] != "Unknown", result(op["category"], op["confidence"], "already categorized"))
         .when(op["edit_type"] == "Equal", result("Unknown", 1.0, "no change"))
+        .when(apart, result("Semantic", 0.85, "different words"))
         .when(differ & (F.lower(o) == F.lower(m)), result("Formatting", 0.95, "only case differs"))
         .when(differ & (stripped(o, SPACE) == stripped(m, SPACE)), result("Formatting", 0.95, "only white space differs"))
         .when(differ & (F.lower(stripped(o, PUNCT)) == F.lower(stripped(m, PUNCT))), result("Syntactic", 0.85, "only punctuation differs", others))
@@ -98,3 +103,7 @@ def ensemble(results: Column, strategy: str = "vote") -> Column:
     if strategy in ("vote", "average"):
         return {"vote": vote, "average": average}[strategy](results)
     return F.struct(F.lit("Unknown").alias("category"), F.lit(0.0).alias("confidence"))
+
+
+#: Classifiers of an operation by name, which a configuration may add; users may add their own.
+CLASSIFIERS: dict[str, Callable[[Column], Column]] = {"rule_based": rule_based, "change_category": lambda op: result(change_category(*_texts(op)), 0.8)}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import kept
+from .classify import CATEGORIES
+
 
 def statistics(diffs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts and averages of diffs; an empty input without groups gives a row of 0 diffs."""
@@ -27,34 +30,52 @@ def patterns(diffs: DataFrame, min_frequency: float = 0.3) -> DataFrame:
 
     The dominant edit type and category count operations a diff (so may exceed 1); ties go to the first by name.
     """
-    n = F.col("n")
     s = F.col("semantic_similarity")
     share = lambda c: F.avg(c.cast("double"))
+    shares = {"expansion": F.col("insertions") > F.col("deletions"), "reduction": F.col("deletions") > F.col("insertions"), "major_rewrite": s < 0.5, "minor_edit": s > 0.8}
+    kinds = {"edit_type": ("Delete", "Insert", "Modify"), "category": CATEGORIES}
+    count = lambda field, name: F.sum(F.size(F.filter("ops", lambda o: (o["edit_type"] != "Equal") & (o[field] == name))))
     whole = diffs.agg(
         F.count("*").alias("n"),
-        share(F.col("insertions") > F.col("deletions")).alias("expansion"),
-        share(F.col("deletions") > F.col("insertions")).alias("reduction"),
-        share(s < 0.5).alias("major_rewrite"),
-        share(s > 0.8).alias("minor_edit"),
+        *(share(c).alias(name) for name, c in shares.items()),
+        *(count(field, name).alias(f"{field}_{name}") for field, names in kinds.items() for name in names),
     )
-    shares = whole.select(F.explode(F.array(*(F.struct(F.lit("share").alias("pattern"), F.lit(k).alias("name"), F.col(k).alias("frequency")) for k in ("expansion", "reduction", "major_rewrite", "minor_edit")))).alias("x")).select("x.*")
-    ops = diffs.select(F.explode("ops").alias("op")).where("op.edit_type <> 'Equal'")
-    count = diffs.agg(F.count("*").alias("n"))
-    found = [shares]
-    for pattern, name in (("edit_type", "op.edit_type"), ("category", "op.category")):
-        by = ops.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "name").limit(1)
-        found.append(by.crossJoin(count).select(F.lit(pattern).alias("pattern"), "name", (F.col("c") / n).alias("frequency")))  # one row by one
-    out = found[0].unionByName(found[1]).unionByName(found[2])
-    return out.where(F.col("frequency") >= min_frequency)
-
-
-def trends(diffs: DataFrame, by: str = "grp", order: str = "seq", metrics: tuple[str, ...] = ("semantic_similarity", "change_percentage")) -> DataFrame:
+
+    def most(field: str) -> Column:
+        """The commonest name, ties to the first by name."""
+        counts = F.array(*(F.struct(F.col(f"{field}_{name}").alias("c"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, name in enumerate(sorted(kinds[field]))))
+        best = F.array_max(counts)
+        return F.struct(F.lit(field).alias("pattern"), best["name"].alias("name"), F.when(best["c"] > 0, best["c"] / F.col("n")).alias("frequency"))
+
+    found = F.array(*(F.struct(F.lit("share").alias("pattern"), F.lit(k).alias("name"), F.col(k).alias("frequency")) for k in shares), *map(most, kinds))
+    return whole.select(F.explode(found).alias("x")).select("x.*").where(F.col("frequency") >= min_frequency)
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``i``, the place of each row in the whole order, from 0.
+
+    Ranges of the order are numbered apart and shifted by what is before them, so no task has all rows.
+    """
+    ranges = kept(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"))  # a row a partition
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy(*order)
+    placed = ranges.withColumn("i", F.row_number().over(within) - 1).join(F.broadcast(starts), "_range")
+    return placed.withColumn("i", F.col("i") + F.col("_start")).drop("_range", "_start")
+
+
+def trends(diffs: DataFrame, by: str | None = "grp", order: str = "seq", metrics: tuple[str, ...] = ("semantic_similarity", "change_percentage")) -> DataFrame:
     """grp, n, and for each metric the slope over the order, its trend and the last centred moving average.
 
-    Groups of fewer than three diffs are insufficient_data.
+    Groups of fewer than three diffs are insufficient_data. by: None takes all diffs as one group.
     """
-    place = Window.partitionBy(by).orderBy(order, "pair_id")
-    df = diffs.select(by, order, "pair_id", *metrics).withColumn("i", F.row_number().over(place) - 1)
+    if by is None:
+        df = numbered(diffs.select(F.lit("all").alias("grp"), order, "pair_id", *metrics), [order, "pair_id"])
+        by = "grp"
+    else:
+        place = Window.partitionBy(by).orderBy(order, "pair_id")
+        df = diffs.select(by, order, "pair_id", *metrics).withColumn("i", F.row_number().over(place) - 1)
     size = df.groupBy(by).agg(F.count("*").alias("n"), *(F.regr_slope(F.col(m), F.col("i").cast("double")).alias(f"{m}_slope") for m in metrics))
     df = df.join(size.select(by, "n"), by)
     width = F.greatest(F.floor(F.col("n") / 3), F.lit(3))
@@ -89,7 +110,7 @@ def clusters(diffs: DataFrame, k: int = 3, rounds: int = 100) -> DataFrame:
 
     A round is one aggregate; only the k centres come to the driver. Fewer diffs than k: no rows. An empty cluster keeps its centre.
     """
-    df = behaviour(diffs).cache()
+    df = kept(behaviour(diffs))
     first = [list(r.features) for r in df.orderBy("seq", "pair_id").limit(k).collect()]
     if len(first) < k:
         return df.sparkSession.createDataFrame([], "cluster int, size long, percent double, avg_similarity double, avg_change double, label string")

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.charclass import SPACE
+from ..functions.tokens import running_sums
+
 _SPANS = "array<struct<start:int,end:int,title:string>>"
 
 
@@ -60,50 +63,44 @@ def any_of(*selectors: Column) -> Column:
     return reduce(lambda a, b: a | b, selectors) if selectors else F.lit(False)
 
 
-def _line_table(text: Column) -> Column:
-    """array<struct<start, text>> of the lines of a text."""
-
-    def add(acc: Column, line: Column) -> Column:
-        at = acc["at"] + F.octet_length(line) + 1
-        return F.struct(F.concat(acc["lines"], F.array(F.struct(acc["at"].alias("start"), line.alias("text")))).alias("lines"), at.alias("at"))
-
-    start = F.struct(F.array().cast("array<struct<start:int,text:string>>").alias("lines"), F.lit(0).alias("at"))
-    return F.aggregate(F.split(text, "\n"), start, add, lambda s: s["lines"])
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
-def _regions(text: Column, opens, closes) -> Column:
-    """Spans of regions: a line may open one (closing the one before) or only close it."""
-    end = F.octet_length(text)
+def _line_spans(text: Column, opens, closes) -> Column:
+    """Spans from each line that opens one to the start of the next that closes it (or the end); opens and closes: of a line, the one before it, and whether there is one."""
+    lines = F.split(text, "\n")
+    ends = running_sums(F.transform(lines, lambda x: F.octet_length(x) + 1))
 
-    def add(acc: Column, line: Column) -> Column:
-        ended = F.when(acc["from"].isNotNull(), F.concat(acc["done"], F.array(F.struct(acc["from"].alias("start"), line["start"].alias("end"), acc["title"].alias("title"))))).otherwise(acc["done"])
-        fresh = F.struct(ended.alias("done"), line["start"].alias("from"), F.trim(line["text"]).alias("title"))
-        shut = F.struct(ended.alias("done"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("string").alias("title"))
-        return F.when(opens(acc, line), fresh).when(closes(line), shut).otherwise(acc)
+    def of(both: Column) -> Column:
+        line, end = both["lines"], both["ends"]
+        start = lambda i: F.coalesce(F.get(end, i - 1), F.lit(0))
+        picked = lambda test: F.filter(F.transform(line, lambda x, i: F.when(test(x, F.get(line, i - 1), i > 0), F.struct(start(i).alias("at"), _trimmed(x).alias("title")))), lambda x: x.isNotNull())
+        froms, tos = picked(opens), picked(closes)
+        return F.transform(froms, lambda x, k: F.struct(x["at"].alias("start"), F.coalesce(F.get(tos, k)["at"], F.octet_length(text)).alias("end"), x["title"].alias("title")))
 
-    start = F.struct(F.array().cast(_SPANS).alias("done"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("string").alias("title"))
-    last = lambda s: F.when(s["from"].isNotNull(), F.concat(s["done"], F.array(F.struct(s["from"].alias("start"), end.alias("end"), s["title"].alias("title"))))).otherwise(s["done"])
-    return F.aggregate(_line_table(text), start, add, last)
+    return F.element_at(F.transform(F.array(F.struct(lines.alias("lines"), ends.alias("ends"))), of), 1)  # so that lines are found once
 
 
 def _blank(line: Column) -> Column:
-    return F.trim(line["text"]) == ""
+    return F.rlike(line, F.lit(f"^{SPACE}*$"))
 
 
 def paragraph_spans(text: Column) -> Column:
     """Runs of lines that are not blank; one ends where the blank line starts."""
-    return _regions(text, lambda acc, line: acc["from"].isNull() & ~_blank(line), _blank)
+    return _line_spans(text, lambda x, before, any_: ~_blank(x) & (~any_ | _blank(before)), lambda x, before, any_: any_ & _blank(x) & ~_blank(before))
 
 
 def is_header(line: Column) -> Column:
     """A line that starts with #, or of two words or more with all letters capital."""
-    t = F.trim(line)
-    return t.startswith("#") | ((F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) >= 2) & ~F.rlike(t, F.lit(r"[\p{L}&&[^\p{Lu}]]")))
+    t = _trimmed(line)
+    return t.startswith("#") | ((F.size(F.filter(F.split(t, f"{SPACE}+"), lambda w: w != "")) >= 2) & ~F.rlike(t, F.lit(r"[\p{L}&&[^\p{Lu}]]")))
 
 
 def section_spans(text: Column) -> Column:
     """From each header to the next."""
-    return _regions(text, lambda acc, line: is_header(line["text"]), lambda line: F.lit(False))
+    froms = _line_spans(text, lambda x, before, any_: is_header(x), lambda x, before, any_: F.lit(False))
+    return F.element_at(F.transform(F.array(froms), lambda all_: F.transform(all_, lambda x, k: F.struct(x["start"].alias("start"), F.coalesce(F.get(all_, k + 1)["start"], x["end"]).alias("end"), x["title"].alias("title")))), 1)
 
 
 def overlaps(spans: Column) -> Column:

@@ -29,6 +29,19 @@ class Learned:
         return cls(**json.loads(text))
 
 
+SCHEMA = "threshold double, mean double, std_dev double, median double, min double, max double, sample_count long"
+
+
+def as_json(learned: DataFrame, column: str = "parameters") -> DataFrame:
+    """Learned parameters, a row each, as JSON texts."""
+    return learned.select(F.to_json(F.struct(*(c.split()[0] for c in SCHEMA.split(", ")))).alias(column))
+
+
+def parsed(json_column: Column) -> Column:
+    """The parameters in a JSON text; null for what is none."""
+    return F.from_json(json_column, SCHEMA)
+
+
 class TooFewSamples(ValueError):
     """Fewer samples than training needs."""
 
@@ -38,7 +51,7 @@ def learn(history: DataFrame, percentile: float = 0.5, most: int = 10_000) -> Da
 
     The history is bounded by ``most``, so its places are taken by one window.
     """
-    recent = history.where("similarity IS NOT NULL").orderBy(F.desc("seq")).limit(most).select(F.col("similarity").cast("double").alias("s"))
+    recent = history.where("similarity IS NOT NULL").orderBy(F.desc("seq"), F.desc("similarity")).limit(most).select(F.col("similarity").cast("double").alias("s"))
     ordered = Window.orderBy("s")
     df = recent.withColumn("i", F.row_number().over(ordered) - 1)
     df = df.withColumn("bend", F.abs(F.lead("s").over(ordered) - 2 * F.col("s") + F.lag("s").over(ordered)))

@@ -7,6 +7,8 @@ from graphlib import CycleError, TopologicalSorter
 
 from ..functions.metrics import PAIR_METRICS
 from ..functions.normalize import Pipeline
+from ..functions.tokens import TOKENIZERS
+from ..operators.align import CUSTOM_ALGORITHMS
 
 ALGORITHMS = ("histogram", "myers", "patience", "lcs")
 
@@ -69,7 +71,12 @@ def execution_order(wanted: set[str], dependencies: dict[str, tuple[str, ...]] |
 
 @dataclass(frozen=True)
 class DiffConfig:
-    """How pairs are compared. A given pipeline takes precedence over the ignore flags."""
+    """How pairs are compared. A given pipeline takes precedence over the ignore flags.
+
+    operations: whether operations are wanted, or their counts only. original_spans: whether they
+    also have spans in the texts before normalization. classifiers: names of CLASSIFIERS, each of
+    which adds its result to every operation, under its name.
+    """
 
     algorithm: str = "histogram"
     compute_semantic_similarity: bool = True
@@ -84,10 +91,15 @@ class DiffConfig:
     strict_script: bool = False
     compat_pruned_metrics: bool = False
     max_chars: int | None = None
+    operations: bool = True
+    original_spans: bool = False
+    classifiers: tuple[str, ...] = field(default=())
 
     def __post_init__(self):
-        if self.algorithm not in ALGORITHMS:
+        if self.algorithm not in ALGORITHMS and self.algorithm not in CUSTOM_ALGORITHMS:
             raise ValueError(f"unknown algorithm {self.algorithm!r}")
+        if self.tokenizer not in TOKENIZERS:
+            raise ValueError(f"unknown tokenizer {self.tokenizer!r}")
         if self.context_lines < 0:
             raise ValueError("context_lines is negative")
 
@@ -99,9 +111,20 @@ class DiffConfig:
     def comprehensive(cls) -> DiffConfig:
         return cls(context_lines=5)
 
+    @classmethod
+    def fast(cls) -> DiffConfig:
+        """Counts by the longest common subsequence, and what they need."""
+        return cls.minimal().with_(operations=False, compat_pruned_metrics=True)
+
     def with_(self, **changes) -> DiffConfig:
         return replace(self, **changes)
 
+    def add_analyzer(self, name: str) -> DiffConfig:
+        return self.with_(analyzers=(*self.analyzers, name))
+
+    def add_classifier(self, name: str) -> DiffConfig:
+        return self.with_(classifiers=(*self.classifiers, name))
+
     def normalizers(self) -> Pipeline:
         if self.pipeline is not None:
             return self.pipeline

@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment_sql import operations
 from .functions import metrics as M
-from .functions import normalize, render, tokens
+from .functions import mapping, normalize, render, similarity, tokens
 from .functions.charclass import SQL_NUMBER, SQL_PUNCT, SQL_SPACE, SQL_WORD
-from .operators import classify, group, naive_bayes, select, semantic, single, syntax
+from .operators import align, classify, group, naive_bayes, select, semantic, single, syntax
 from .plans.config import DiffConfig
 from .plans.engine import compute_diff, operations_by_category, ops_table, summary
+from .plans.storage import kept
 from .sources.pairs import duplicate_pairs, line_pairs, part_pairs, table, turn_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,7 +118,7 @@ LINE_TOKENS = f"""WITH {LINES}, t AS (
 
 
 def line_diff(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
-    return compute_diff(line_pairs(spark, sf_dir), DiffConfig(algorithm="myers", max_chars=1).with_(**changes))
+    return compute_diff(line_pairs(spark, sf_dir), DiffConfig(algorithm="myers").with_(**changes))
 
 
 # normalizers -----------------------------------------------------------------
@@ -130,6 +132,8 @@ _NORMALIZED = {
     "remove_punctuation": ("norm_punct", f"regexp_replace(text, '{SQL_PUNCT}', '', 'g')"),
     "remove_numbers": ("norm_numbers", f"regexp_replace(text, '{SQL_NUMBER}', '', 'g')"),
     "remove_accents": ("norm_accents", f"regexp_replace(strip_accents(text), '{SQL_PUNCT}', '', 'g')"),
+    "newlines": ("norm_newlines", "regexp_replace(text, '\\r\\n?|[\\x{85}\\x{2028}\\x{2029}]', chr(10), 'g')"),
+    "nfc": ("norm_nfc", "nfc_normalize(text)"),
     "remove_latin_accents": ("norm_latin_accents", f"regexp_replace(strip_accents(text), '{SQL_PUNCT}', '', 'g')"),
 }
 
@@ -157,9 +161,12 @@ _TOKENIZED = {
     "word": ("tok_word", f"regexp_extract_all(text, '{_TOKENS}')"),
     "word_punctuation": ("tok_word_punct", f"regexp_extract_all(text, '{_TOKENS}|{SQL_PUNCT}+')"),
     "word_all": ("tok_word_all", f"regexp_extract_all(text, '{_TOKENS}|{SQL_PUNCT}+|{SQL_SPACE}+')"),
-    "char_bigram": ("tok_char_ngram", _BIGRAMS.format("string_split(text, '')", "''")),
+    "char_bigram": ("tok_char_ngram", _BIGRAMS.format("c", "''")),
     "word_bigram": ("tok_word_ngram", _BIGRAMS.format("w", "' '")),
     "sentence": ("tok_sentence", _SENTENCES),
+    "line": ("tok_line", "string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10))"),
+    "paragraph": ("tok_paragraph", f"list_filter(list_transform(string_split_regex(text, '\\n(?:[\\t\\f\\v ]*\\n)+'), lambda s: regexp_replace(s, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')), lambda s: s <> '')"),
+    "symbol": ("tok_symbol", "regexp_extract_all(text, '[\\p{S}]')"),
 }
 
 
@@ -172,7 +179,7 @@ def _tokenizer(name: str) -> Query:
 
 
 for _tok, (_name, _sql) in _TOKENIZED.items():
-    query(_name, f"WITH d AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '{_TOKENS}') AS w FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5 FROM (SELECT doc_id, {_sql} AS t FROM d)")(_tokenizer(_tok))
+    query(_name, f"WITH d AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '{_TOKENS}') AS w, string_split(text, '') AS c FROM documents) SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5 FROM (SELECT doc_id, {_sql} AS t FROM d)")(_tokenizer(_tok))
 
 
 @query(
@@ -241,6 +248,134 @@ def emb_cosine(spark, sf_dir):
     return pairs.select("vec_id", M.cosine(F.col("a"), F.col("b")).alias("cosine"), M.euclidean(F.col("a"), F.col("b")).alias("distance"))
 
 
+@query("pair_damerau", f"WITH {PARTS} SELECT pair_id, CAST(damerau_levenshtein(original, modified) AS BIGINT) AS distance FROM pairs")
+def pair_damerau(spark, sf_dir):
+    return part_pairs(spark, sf_dir).select("pair_id", similarity.damerau_distance("original", "modified").alias("distance"))
+
+
+@query("pair_jaro_winkler", f"WITH {PARTS} SELECT pair_id, {_round('jaro_winkler_similarity(original, modified)', 'similarity')} FROM pairs")
+def pair_jaro_winkler(spark, sf_dir):
+    return part_pairs(spark, sf_dir).select("pair_id", similarity.jaro_winkler_similarity("original", "modified").alias("similarity"))
+
+
+_COUNTED = "list_sum(list_transform(list_distinct({0}), lambda v: len(list_filter({0}, lambda x: x = v)) * len(list_filter({1}, lambda x: x = v))))"
+_WORD_COSINE = f"CASE WHEN len(a) > 0 AND len(b) > 0 THEN {_COUNTED.format('a', 'b')} / (sqrt({_COUNTED.format('a', 'a')}) * sqrt({_COUNTED.format('b', 'b')})) ELSE 0 END"
+_WORD_SETS = f"WITH {TURNS}, w AS (SELECT pair_id, {_lower(_words('original'))} AS a, {_lower(_words('modified'))} AS b FROM pairs)"
+
+
+@query(
+    "pair_word_cosine",
+    f"{_WORD_SETS} SELECT pair_id, {_round(_WORD_COSINE, 'cosine')}, "
+    f"{_round('CASE WHEN len(a) + len(b) > 0 THEN 2 * len(list_intersect(a, b)) / (len(list_distinct(a)) + len(list_distinct(b))) ELSE 1 END', 'dice')} FROM w",
+)
+def pair_word_cosine(spark, sf_dir):
+    low = lambda c: F.transform(M.word_list(F.col(c)), lambda w: F.lower(w))
+    a, b = low("original"), low("modified")
+    return turn_pairs(spark, sf_dir).select("pair_id", M.word_cosine(a, b).alias("cosine"), M.dice(a, b).alias("dice"))
+
+
+_MODALS, _BE = (", ".join(f"'{w}'" for w in x) for x in (M.MODALS, M.BE))
+_BARE = f"list_transform(w, lambda x: regexp_replace(x, '^{SQL_PUNCT}+|{SQL_PUNCT}+$', '', 'g'))"
+_HARD = f"len(list_filter(w, lambda w: {_SYLLABLES} >= 3))"
+
+
+@query(
+    "text_extra",
+    f"""WITH d AS (SELECT doc_id, text, {_lower(_words('text'))} AS w, greatest({_count('text', '[.!?]')}, 1) AS s FROM documents), e AS (SELECT *, {_BARE} AS b FROM d)
+    SELECT doc_id, len(list_filter(string_split_regex(text, '\n(?:[\t\r\f\v ]*\n)+'), lambda x: NOT regexp_matches(x, '^{SQL_SPACE}*$'))) AS paragraph_count, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\n$', ''), chr(10))) END AS line_count,
+      {_count('text', '[\\p{L}]')} AS letter_count, {_count('text', '[\\p{Nd}]')} AS digit_count, len(list_distinct(w)) AS unique_words, {_round('CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END', 'vocabulary_richness')},
+      {_round(f'CASE WHEN len(w) > 0 THEN 0.4 * (len(w) / s + 100.0 * {_HARD} / len(w)) ELSE 0 END', 'gunning_fog')}, {_round(f'1.0430 * sqrt({_HARD} / s * 30) + 3.1291', 'smog')},
+      {_round(f'CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x NOT IN ({_STOP}))) / len(w) ELSE 0 END', 'lexical_density')}, len(list_filter(b, lambda x: x IN ({_MODALS}))) AS modal_count,
+      len(list_filter(range(1, len(b)), lambda i: b[i] IN ({_BE}) AND regexp_matches(b[i + 1], '(ed|en)$'))) AS passive_count FROM e""",
+)
+def text_extra(spark, sf_dir):
+    return M.extra_metrics(docs(spark, sf_dir), "text").select("doc_id", *M.EXTRA_METRICS)
+
+
+# maps ------------------------------------------------------------------------
+
+#: Texts with punctuation, digits and runs of spaces.
+_MARKED = lambda: F.concat(F.lit(" "), F.col("p_type"), F.lit(" -  "), F.col("p_name"), F.lit("  #"), F.col("p_partkey"))
+_CHARS = "WITH d AS (SELECT p_partkey, concat(' ', p_type, ' -  ', p_name, '  #', p_partkey) AS x FROM part), c AS (SELECT p_partkey, unnest(range(0, strlen(x))) AS i, x[i + 1] AS ch FROM d)"
+_PLAIN = "SELECT p_partkey, md5(string_agg(concat(k, ' direct ', i), ',' ORDER BY i)) AS map_md5 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS k FROM c {0}) GROUP BY p_partkey"
+_NO_PUNCT, _NO_DIGIT = f"WHERE NOT regexp_matches(ch, '{SQL_PUNCT}')", "WHERE NOT regexp_matches(ch, '[0-9]')"
+_RUNS = "r AS (SELECT p_partkey, min(i) AS lo, list(i ORDER BY i) AS w, ch = ' ' AS space FROM (SELECT *, sum(CASE WHEN ch <> ' ' OR coalesce(before, '') <> ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY i) AS g FROM (SELECT *, lag(ch) OVER (PARTITION BY p_partkey ORDER BY i) AS before FROM {0})) GROUP BY p_partkey, g, ch = ' ')"
+_RUN_MAP = "SELECT p_partkey, md5(string_agg(concat(k, CASE WHEN len(w) > 1 THEN ' collapsed ' ELSE ' direct ' END, array_to_string({0}, '+')), ',' ORDER BY k)) AS map_md5 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY lo) - 1 AS k FROM r {1}) GROUP BY p_partkey"
+
+
+def _map_digest(m: Column) -> Column:
+    entries = F.transform(m, lambda e: F.concat_ws(" ", e["norm"].cast("string"), e["kind"], F.array_join(F.transform(e["orig"], lambda p: p.cast("string")), "+")))
+    return F.md5(F.array_join(entries, ",").cast("binary")).alias("map_md5")
+
+
+def _marked(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", _MARKED().alias("x"))
+
+
+def _mapped(name: str, step: str, sql: str) -> None:
+    query(name, f"{_CHARS}{sql}")(lambda spark, sf_dir: _marked(spark, sf_dir).select("p_partkey", _map_digest(mapping.character_map(step)(F.col("x")))))
+
+
+_mapped("map_lowercase", "lowercase", f" {_PLAIN.format('')}")
+_mapped("map_uppercase", "uppercase", f" {_PLAIN.format('')}")
+_mapped("map_punctuation", "remove_punctuation", f" {_PLAIN.format(_NO_PUNCT)}")
+_mapped("map_accents", "remove_accents", f" {_PLAIN.format(_NO_PUNCT)}")
+_mapped("map_numbers", "remove_numbers", f" {_PLAIN.format(_NO_DIGIT)}")
+_mapped("map_whitespace", "whitespace", f", {_RUNS.format('c')} {_RUN_MAP.format('w', '')}")
+_mapped("map_whitespace_trim", "whitespace_trim", f", {_RUNS.format('c')} {_RUN_MAP.format('w', 'WHERE lo > 0')}")
+_mapped("map_whitespace_each", "whitespace_each", f" {_PLAIN.format('')}")
+
+
+@query("map_identity", f"{_CHARS} {_PLAIN.format('')}")
+def map_identity(spark, sf_dir):
+    return _marked(spark, sf_dir).select("p_partkey", _map_digest(mapping.identity(F.octet_length("x"))))
+
+
+_KEPT = f", kept_ AS (SELECT * FROM c WHERE NOT regexp_matches(ch, '{SQL_PUNCT}'))"
+
+
+@query("map_composed", f"{_CHARS}{_KEPT}, {_RUNS.format('kept_')} {_RUN_MAP.format('range(w[1], w[-1] + 1)', '')}")
+def map_composed(spark, sf_dir):
+    """From the last layer of a pipeline back to the original."""
+    layers = mapping.LayerSet(normalize.Pipeline.of(["lowercase", "remove_punctuation", "whitespace"]), F.col("x"))
+    return _marked(spark, sf_dir).select("p_partkey", _map_digest(layers.final_to_original()))
+
+
+@query(
+    "map_lookups",
+    f"{_CHARS}{_KEPT}, k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS k FROM kept_), s AS (SELECT p_partkey, i - k AS g, min(i) AS a, max(i) + 1 AS b FROM k WHERE k >= 3 AND k < 30 GROUP BY ALL) "
+    "SELECT p_partkey, any_value(i) FILTER (k = 20) AS back, any_value(k) FILTER (i = 20) AS forth, any_value(s) AS spans FROM k JOIN (SELECT p_partkey, string_agg(concat(a, '-', b), ' ' ORDER BY a) AS s FROM s GROUP BY p_partkey) USING (p_partkey) GROUP BY p_partkey",
+)
+def map_lookups(spark, sf_dir):
+    m = mapping.character_map("remove_punctuation")(F.col("x"))
+    df = _marked(spark, sf_dir).withColumn("m", m)
+    said = F.transform(mapping.spans(F.col("m"), F.lit(3), F.lit(30)), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return df.select("p_partkey", mapping.primary(F.col("m"), F.lit(20)).alias("back"), F.try_element_at(mapping.normalized(F.col("m"), F.lit(20)), F.lit(1)).alias("forth"), F.array_join(said, " ").alias("spans"))
+
+
+@query(
+    "map_layers",
+    f"{_CHARS}{_KEPT}, {_RUNS.format('kept_')}, k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY lo) - 1 AS k FROM r), t AS (SELECT p_partkey, regexp_replace(lower(x), '{SQL_PUNCT}', '', 'g') AS y FROM d) "
+    "SELECT t.p_partkey, 4 AS n_layers, y AS second, regexp_replace(y, ' +', ' ', 'g') AS final_layer, array_to_string(w, '+') AS back FROM t JOIN k ON k.p_partkey = t.p_partkey AND k = 0",
+)
+def map_layers(spark, sf_dir):
+    layers = mapping.LayerSet(normalize.Pipeline.of(["lowercase", "remove_punctuation", "whitespace"]), F.col("x"))
+    back = F.array_join(F.transform(layers.map_to_original(3, F.lit(0)), lambda p: p.cast("string")), "+")
+    return _marked(spark, sf_dir).select("p_partkey", F.lit(layers.num_layers()).alias("n_layers"), layers.layer(2).alias("second"), layers.final_layer().alias("final_layer"), back.alias("back"))
+
+
+_SPACED_PARTS = "pairs AS (SELECT CAST(p_partkey AS VARCHAR) AS pair_id, p_brand AS grp, p_partkey AS seq, concat('  ', replace(p_name, ' ', '   ')) AS original, p_name AS modified FROM part)"
+
+
+@query("op_original_spans", f"{operations(_SPACED_PARTS, 'myers')} SELECT pair_id, op_idx, original_start AS start, original_end AS \"end\" FROM ops WHERE original_start IS NOT NULL")
+def op_original_spans(spark, sf_dir):
+    """Spans of operations in the texts before normalization."""
+    pairs = part_pairs(spark, sf_dir).withColumns({"modified": F.upper("original"), "original": F.concat(F.lit("  "), F.replace("original", F.lit(" "), F.lit("   ")))})
+    config = DiffConfig(algorithm="myers", ignore_case=True, ignore_whitespace=True, original_spans=True)
+    ops = ops_table(compute_diff(pairs, config)).where("original_start IS NOT NULL")
+    return ops.select("pair_id", "op_idx", F.col("original_spans")[0]["start"].alias("start"), F.col("original_spans")[F.size("original_spans") - 1]["end"].alias("end"))
+
+
 # diffs -----------------------------------------------------------------------
 
 _STATS = f"""SELECT t.pair_id, CAST(0 AS BIGINT) AS insertions, CAST(len(a) - len(b) AS BIGINT) AS deletions, CAST(0 AS BIGINT) AS modifications, CAST(len(a) - len(b) AS BIGINT) AS edit_distance,
@@ -253,12 +388,12 @@ def _stats(df: DataFrame) -> DataFrame:
 
 @query("diff_myers_stats", f"{LINE_TOKENS} {_STATS}")
 def diff_myers_stats(spark, sf_dir):
-    return _stats(line_diff(spark, sf_dir))
+    return _stats(line_diff(spark, sf_dir, operations=False))
 
 
 @query("diff_patience_stats", f"{LINE_TOKENS} {_STATS}")
 def diff_patience_stats(spark, sf_dir):
-    return _stats(line_diff(spark, sf_dir, algorithm="patience"))
+    return _stats(line_diff(spark, sf_dir, algorithm="patience", operations=False))
 
 
 @query("diff_myers_ops", f"{LINE_TOKENS} SELECT pair_id, op_idx, edit_type, x AS original_text, CASE WHEN edit_type = 'Equal' THEN x END AS modified_text, s AS original_start, e AS original_end, CAST(CASE WHEN edit_type = 'Equal' THEN s - gone END AS INTEGER) AS modified_start, CAST(CASE WHEN edit_type = 'Equal' THEN e - gone END AS INTEGER) AS modified_end FROM ops")
@@ -266,26 +401,48 @@ def diff_myers_ops(spark, sf_dir):
     return ops_table(line_diff(spark, sf_dir)).drop("category", "confidence")
 
 
-@query("diff_patience_ops")
+TURN_OPS = {a: operations(TURNS, a) for a in ("myers", "patience", "histogram")}
+_OPS = f"SELECT pair_id, op_idx, edit_type, original_text, modified_text, original_start, original_end, modified_start, modified_end, category, {_round('0.8', 'confidence')} FROM ops"
+#: A turn in characters of a byte each: DuckDB measures bytes.
+_BYTES = "translate({0}, 'óéñèíüçêäößÉÑÈÓÜÍÇÖÊÄáúà', concat(" + ", ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 30)]) + "))"
+_LEVENSHTEIN = f"levenshtein({_BYTES.format('original')}, {_BYTES.format('modified')})"
+
+
+@query("diff_patience_ops", f"{TURN_OPS['patience']} {_OPS}")
 def diff_patience_ops(spark, sf_dir):
     return ops_table(compute_diff(turn_pairs(spark, sf_dir), DiffConfig(algorithm="patience")))
 
 
-@query("diff_histogram_ops")
+@query("diff_histogram_ops", f"{TURN_OPS['histogram']} {_OPS}")
 def diff_histogram_ops(spark, sf_dir):
     return ops_table(compute_diff(turn_pairs(spark, sf_dir)))
 
 
-@query("diff_default")
+@query("diff_myers_turn_ops", f"{TURN_OPS['myers']} {_OPS}")
+def diff_myers_turn_ops(spark, sf_dir):
+    return ops_table(compute_diff(turn_pairs(spark, sf_dir), DiffConfig(algorithm="myers")))
+
+
+_MEASURED_STATS = f"m AS (SELECT *, {_measured('original', 'o_')}, {_measured('modified', 'm_')} FROM stats)"
+_SIM = _jaccard("o_words", "m_words")
+_CHAR_SIM = f"CASE WHEN greatest(length(original), length(modified)) > 0 THEN 1 - {_LEVENSHTEIN} / greatest(length(original), length(modified)) ELSE 1 END"
+_STYLED = "(abs(m_char_count - o_char_count) / greatest(o_char_count, m_char_count, 1) + abs(m_punctuation_count - o_punctuation_count) / greatest(o_punctuation_count, m_punctuation_count, 1)) / 2"
+_LENGTHS = "CASE WHEN greatest(strlen(original), strlen(modified)) > 0 THEN least(strlen(original), strlen(modified)) / greatest(strlen(original), strlen(modified)) ELSE 1 END"
+_DEFAULT = f"""SELECT pair_id, grp, seq, insertions, deletions, modifications, edit_distance, {_round('change_percentage', 'change_percentage')}, {_round(_SIM, 'semantic_similarity')}, {_round(_STYLED, 'stylistic_change')},
+  {_round('m_avg_word_length - o_avg_word_length', 'readability_change')}, CAST({_LEVENSHTEIN} AS BIGINT) AS levenshtein_distance, {_round(_CHAR_SIM, 'char_similarity')}, {_round(_SIM, 'word_overlap')}, {_round(_LENGTHS, 'length_ratio')},
+  {_round('abs(m_flesch_reading_ease - o_flesch_reading_ease)', 'readability_diff')}, abs(m_word_count - o_word_count) AS word_count_diff, {_round('abs(m_whitespace_ratio - o_whitespace_ratio)', 'whitespace_ratio_diff')}, o_has_negation <> m_has_negation AS negation_changed FROM m"""
+
+
+@query("diff_default", f"{TURN_OPS['histogram']}, {_MEASURED_STATS} {_DEFAULT}")
 def diff_default(spark, sf_dir):
     """The flagship: default-configuration diffs of turns."""
     names = ("insertions", "deletions", "modifications", "edit_distance", "change_percentage", "semantic_similarity", "stylistic_change", "readability_change", *M.PAIR_METRICS)
-    return compute_diff(turn_pairs(spark, sf_dir)).select("pair_id", "grp", "seq", *names)
+    return compute_diff(turn_pairs(spark, sf_dir), DiffConfig(operations=False)).select("pair_id", "grp", "seq", *names)
 
 
 @query("diff_duplicates")
 def diff_duplicates(spark, sf_dir):
-    return _stats(compute_diff(duplicate_pairs(spark, sf_dir), DiffConfig(max_chars=1)))
+    return _stats(compute_diff(duplicate_pairs(spark, sf_dir), DiffConfig(operations=False)))
 
 
 @query("diff_summary", f"{LINE_TOKENS} SELECT pair_id, concat('Changes: 0 insertions, ', len(a) - len(b), ' deletions, 0 modifications') AS head FROM t")
@@ -293,6 +450,53 @@ def diff_summary(spark, sf_dir):
     return line_diff(spark, sf_dir).select("pair_id", F.substring_index(summary(), " (", 1).alias("head"))
 
 
+_PERCENT = "format('{{:.1f}}', floor(({0}) * 1000 + 0.5 + 1e-9) / 10)"
+
+
+@query("diff_summary_turns", f"{TURN_OPS['histogram']}, {_MEASURED_STATS} SELECT pair_id, concat('Changes: ', insertions, ' insertions, ', deletions, ' deletions, 0 modifications (', {_PERCENT.format('change_percentage')}, '% changed, ', {_PERCENT.format(_SIM)}, '% similar)') AS line FROM m")
+def diff_summary_turns(spark, sf_dir):
+    """Whole lines; percentages half up, as Java formats them."""
+    return compute_diff(turn_pairs(spark, sf_dir), DiffConfig(operations=False)).select("pair_id", summary().alias("line"))
+
+
+@query("op_descriptions", f"{TURN_OPS['histogram']} SELECT pair_id, op_idx, concat(CASE edit_type WHEN 'Insert' THEN 'Insert ' WHEN 'Delete' THEN 'Delete ' ELSE 'Keep ' END, chr(39), coalesce(original_text, modified_text), chr(39)) AS line FROM ops")
+def op_descriptions(spark, sf_dir):
+    return ops_table(compute_diff(turn_pairs(spark, sf_dir))).select("pair_id", "op_idx", render.describe(F.struct("edit_type", "original_text", "modified_text")).alias("line"))
+
+
+_HUNKS = """, marked AS (SELECT *, edit_type <> 'Equal' AS changed, max(CASE WHEN edit_type <> 'Equal' THEN op_idx END) OVER (PARTITION BY pair_id ORDER BY op_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  count(*) FILTER (edit_type <> 'Insert') OVER (PARTITION BY pair_id ORDER BY op_idx) AS na, count(*) FILTER (edit_type <> 'Delete') OVER (PARTITION BY pair_id ORDER BY op_idx) AS nb FROM ops),
+grouped AS (SELECT *, sum(CASE WHEN before IS NULL OR op_idx - before > 7 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY op_idx) AS hunk FROM marked WHERE changed),
+bounds AS (SELECT pair_id, hunk, min(op_idx) - 3 AS lo, max(op_idx) + 3 AS hi FROM grouped GROUP BY ALL),
+hunks AS (SELECT b.pair_id, b.hunk, count(*) FILTER (edit_type <> 'Insert') AS ca, count(*) FILTER (edit_type <> 'Delete') AS cb, coalesce(min(na) FILTER (edit_type <> 'Insert'), max(na)) AS sa, coalesce(min(nb) FILTER (edit_type <> 'Delete'), max(nb)) AS sb,
+  string_agg(concat(CASE edit_type WHEN 'Insert' THEN '+' WHEN 'Delete' THEN '-' ELSE ' ' END, coalesce(original_text, modified_text), chr(10)), '' ORDER BY op_idx) AS body
+  FROM bounds b JOIN marked m ON m.pair_id = b.pair_id AND op_idx BETWEEN lo AND hi GROUP BY ALL)
+SELECT pair_id, md5(concat('--- a', chr(10), '+++ b', chr(10), string_agg(concat('@@ -', sa, ',', ca, ' +', sb, ',', cb, ' @@', chr(10), body), '' ORDER BY hunk))) AS text_md5 FROM hunks GROUP BY pair_id"""
+
+
+@query("unified_hunks", f"{TURN_OPS['myers']}{_HUNKS}")
+def unified_hunks(spark, sf_dir):
+    """Unified text of several hunks, with the configuration's lines of context."""
+    config = DiffConfig(algorithm="myers")
+    df = compute_diff(turn_pairs(spark, sf_dir), config).where(F.size("ops") > 0)
+    text = render.unified(F.lit("a"), F.lit("b"), render.hunks(F.col("ops"), config.context_lines))
+    return df.where(~align.is_empty(F.col("ops"))).select("pair_id", F.md5(text.cast("binary")).alias("text_md5"))
+
+
+_REPLACED = """, runs AS (SELECT *, sum(CASE WHEN edit_type = 'Equal' OR before = 'Equal' OR before IS NULL OR (before = 'Insert' AND edit_type = 'Delete') OR (before = 'Insert' AND edit_type = 'Insert' AND NOT joined) THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY op_idx) AS run FROM (
+  SELECT *, lag(edit_type) OVER (PARTITION BY pair_id ORDER BY op_idx) AS before, coalesce(max(CASE WHEN edit_type = 'Delete' THEN op_idx END) OVER w, -1) > coalesce(max(CASE WHEN edit_type = 'Equal' THEN op_idx END) OVER w, -1) AS joined FROM ops WINDOW w AS (PARTITION BY pair_id ORDER BY op_idx)))
+SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY run) - 1 AS INTEGER) AS op_idx, CASE WHEN n_i > 0 AND n_d > 0 THEN 'Modify' ELSE edit_type END AS edit_type, original_text, modified_text FROM (
+  SELECT pair_id, run, min(edit_type) AS edit_type, count(*) FILTER (edit_type = 'Insert') AS n_i, count(*) FILTER (edit_type = 'Delete') AS n_d, string_agg(original_text, ' ' ORDER BY op_idx) AS original_text, string_agg(modified_text, ' ' ORDER BY op_idx) AS modified_text FROM runs GROUP BY ALL)"""
+
+
+@query("diff_replaced_ops", f"{TURN_OPS['myers']}{_REPLACED}")
+def diff_replaced_ops(spark, sf_dir):
+    """Deletions and the insertions after them as modifications."""
+    df = compute_diff(turn_pairs(spark, sf_dir), DiffConfig(algorithm="myers", classify_edits=False))
+    ops = df.select("pair_id", F.posexplode(align.replaced(F.col("ops"))).alias("op_idx", "op"))
+    return ops.select("pair_id", "op_idx", "op.edit_type", "op.original_text", "op.modified_text")
+
+
 @query("ops_by_category", f"{LINE_TOKENS} SELECT pair_id, CASE WHEN edit_type = 'Equal' THEN 'Unknown' ELSE 'Semantic' END AS category, count(*) AS n FROM ops GROUP BY ALL")
 def ops_by_category(spark, sf_dir):
     return operations_by_category(line_diff(spark, sf_dir)).drop("op_idxs")
@@ -327,11 +531,26 @@ _selected("sel_or", lambda: select.any_of(select.deletions(), select.position(0,
 _selected("sel_nothing", lambda: select.all_of(), "false")
 
 
+def _turns_selected(name: str, selector: Callable[[], Column], where: str) -> None:
+    def run(spark, sf_dir):
+        return ops_table(compute_diff(turn_pairs(spark, sf_dir))).where(selector()).select("pair_id", "op_idx", "edit_type")
+
+    query(name, f"{TURN_OPS['histogram']} SELECT pair_id, op_idx, edit_type FROM ops WHERE {where}")(run)
+
+
+_PLACE = "coalesce(original_start, modified_start) < {1} AND CASE WHEN original_start IS NOT NULL THEN original_end ELSE modified_end END > {0}"
+_turns_selected("sel_turn_insertions", select.insertions, "edit_type = 'Insert'")
+_turns_selected("sel_turn_changes", select.changes, "edit_type <> 'Equal'")
+_turns_selected("sel_turn_position", lambda: select.position(40, 200), _PLACE.format(40, 200))
+_turns_selected("sel_turn_and", lambda: select.all_of(select.insertions(), select.position(0, 100)), f"edit_type = 'Insert' AND {_PLACE.format(0, 100)}")
+_turns_selected("sel_turn_or", lambda: select.any_of(select.deletions(), select.position(0, 100)), f"edit_type = 'Delete' OR {_PLACE.format(0, 100)}")
+
+
 @query(
     "sel_paragraph_spans",
     """WITH l AS (SELECT doc_id, k, x, sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY k) - strlen(x) - 1 AS s FROM
       (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents)),
-    f AS (SELECT *, trim(x) = '' AS blank, sum(CASE WHEN trim(x) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM l),
+    f AS (SELECT *, regexp_matches(x, '^""" + SQL_SPACE + """*$') AS blank, sum(CASE WHEN regexp_matches(x, '^""" + SQL_SPACE + """*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM l),
     p AS (SELECT doc_id, g, min(s) AS s, max(s + strlen(x) + 1) AS e FROM f WHERE NOT blank GROUP BY doc_id, g)
     SELECT doc_id, count(*) AS n, CAST(sum(s) AS BIGINT) AS starts FROM p GROUP BY doc_id""",
 )
@@ -347,7 +566,14 @@ def sel_paragraph(spark, sf_dir):
     return ops_table(df, ("pair_id", "spans")).where(select.paragraphs(F.col("spans"), 0)).select("pair_id", "op_idx")
 
 
-@query("sel_section")
+_TITLE = f"regexp_replace(x, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')"
+_SECTIONS = f""", lines AS (SELECT pair_id, original, x, k, sum(strlen(x) + 1) OVER (PARTITION BY pair_id ORDER BY k) - strlen(x) - 1 AS s FROM (SELECT pair_id, original, unnest(string_split(original, chr(10))) AS x, unnest(range(0, len(string_split(original, chr(10))))) AS k FROM t)),
+  heads AS (SELECT pair_id, s, lower({_TITLE}) AS title, coalesce(lead(s) OVER (PARTITION BY pair_id ORDER BY k), strlen(original)) AS e FROM lines
+    WHERE starts_with({_TITLE}, '#') OR (len({_words('x')}) >= 2 AND NOT regexp_matches(x, '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]')))
+  SELECT DISTINCT o.pair_id, op_idx FROM ops o JOIN heads h ON h.pair_id = o.pair_id AND (contains(title, 'license') OR contains(title, 'a')) AND o.s < h.e AND o.e > h.s"""
+
+
+@query("sel_section", f"{LINE_TOKENS}{_SECTIONS}")
 def sel_section(spark, sf_dir):
     df = line_diff(spark, sf_dir).withColumn("spans", select.section_spans(F.col("original")))
     return ops_table(df, ("pair_id", "spans")).where(select.sections(F.col("spans"), "license", "a")).select("pair_id", "op_idx")
@@ -367,6 +593,46 @@ def class_rule(spark, sf_dir):
     return ops.select("pair_id", "op_idx", classify.rule_based(F.col("op")).alias("r")).select("pair_id", "op_idx", "r.category", "r.confidence")
 
 
+@query("class_turn_diff", f"{TURN_OPS['histogram']}, c AS (SELECT pair_id, category, count(*) AS n FROM ops GROUP BY ALL) SELECT pair_id, (list(category ORDER BY n DESC, category))[1] AS category, {_round('max(n) / sum(n)', 'confidence')} FROM c GROUP BY pair_id")
+def class_turn_diff(spark, sf_dir):
+    return classify.classify_diff(ops_table(compute_diff(turn_pairs(spark, sf_dir))))
+
+
+#: Names of parts with what a rule each would make of them.
+_VARIANTS = {
+    0: (lambda o: o, "o"),
+    1: (lambda o: F.upper(o), "upper(o)"),
+    2: (lambda o: F.replace(o, F.lit(" "), F.lit("  ")), "replace(o, ' ', '  ')"),
+    3: (lambda o: F.concat(F.replace(o, F.lit(" "), F.lit("-")), F.lit("!")), "concat(replace(o, ' ', '-'), '!')"),
+    4: (lambda o: F.concat(F.lit("x"), F.substring(o, 2, 1000)), "concat('x', substring(o, 2))"),
+    5: (lambda o: F.concat(o, F.lit(" "), o, F.lit(" unheardof")), "concat(o, ' ', o, ' unheardof')"),
+    6: (lambda o: F.concat(o, F.lit(" wholly"), F.lit(" other"), F.lit(" words")), "concat(o, ' wholly other words')"),
+    7: (lambda o: F.concat(o, F.lit(" one two three four five six seven")), "concat(o, ' one two three four five six seven')"),
+    8: (lambda o: F.lit("nothing alike"), "'nothing alike'"),
+    9: (lambda o: F.lit(""), "''"),
+}
+_VARIED = "CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN {v[1]}" for k, v in _VARIANTS.items()) + " END"
+_EDITED = f"e AS (SELECT CAST(p_partkey AS VARCHAR) AS pair_id, p_partkey % 11 AS kind, p_name AS o, {_VARIED.replace('(o', '(p_name').replace('THEN o ', 'THEN p_name ').replace(', o,', ', p_name,')} AS m FROM part)"
+_STRIP = "regexp_replace({0}, '{1}', '', 'g')"
+_RULES = f"""WITH {_EDITED}, w AS (SELECT *, CASE WHEN greatest(length(o), length(m)) > 0 THEN 1 - levenshtein(o, m) / greatest(length(o), length(m)) ELSE 1 END AS c, {_jaccard(_words('o'), _words('m'))} AS v FROM e)
+SELECT pair_id, CASE WHEN kind = 0 THEN 'Stylistic' WHEN kind = 1 THEN 'Unknown' WHEN o <> m AND lower(o) = lower(m) THEN 'Formatting' WHEN o <> m AND {_STRIP.format('o', SQL_SPACE)} = {_STRIP.format('m', SQL_SPACE)} THEN 'Formatting'
+    WHEN o <> m AND lower({_STRIP.format('o', SQL_PUNCT)}) = lower({_STRIP.format('m', SQL_PUNCT)}) THEN 'Syntactic' WHEN c >= 0.9 THEN 'Syntactic' WHEN v >= 0.8 THEN 'Stylistic' WHEN v >= 0.5 THEN 'Stylistic' WHEN v >= 0.3 THEN 'Semantic' ELSE 'Semantic' END AS category,
+  round(CAST(CASE WHEN kind = 0 THEN 0.4 WHEN kind = 1 THEN 1.0 WHEN o <> m AND lower(o) = lower(m) THEN 0.95 WHEN o <> m AND {_STRIP.format('o', SQL_SPACE)} = {_STRIP.format('m', SQL_SPACE)} THEN 0.95
+    WHEN o <> m AND lower({_STRIP.format('o', SQL_PUNCT)}) = lower({_STRIP.format('m', SQL_PUNCT)}) THEN 0.85 WHEN c >= 0.9 THEN 0.8 WHEN v >= 0.8 THEN 0.75 WHEN v >= 0.5 THEN 0.6 WHEN v >= 0.3 THEN 0.7 ELSE 0.85 END AS DOUBLE) + 1e-10, 6) AS confidence FROM w"""
+
+
+@query("class_rule_edits", _RULES)
+def class_rule_edits(spark, sf_dir):
+    """All ten rules, on modifications of parts' names (a kind of which has a category, and one is no change)."""
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("pair_id"), (F.col("p_partkey") % 11).alias("kind"), F.col("p_name").alias("o"), (F.col("p_partkey") % 10).alias("v"))
+    m = F.lit(None).cast("string")
+    for k, (of, _) in _VARIANTS.items():
+        m = F.when(F.col("v") == k, of(F.col("o"))).otherwise(m)
+    kind = F.col("kind")
+    op = F.struct(F.when(kind == 1, "Equal").otherwise("Modify").alias("edit_type"), F.col("o").alias("original_text"), m.alias("modified_text"), F.when(kind == 0, "Stylistic").otherwise("Unknown").alias("category"), F.lit(0.4).alias("confidence"))
+    return df.select("pair_id", classify.rule_based(op).alias("r")).select("pair_id", "r.category", "r.confidence")
+
+
 @query("class_diff", f"{LINE_TOKENS}, c AS (SELECT pair_id, CASE WHEN edit_type = 'Equal' THEN 'Unknown' ELSE 'Semantic' END AS category, count(*) AS n FROM ops GROUP BY ALL) SELECT pair_id, (list(category ORDER BY n DESC, category))[1] AS category, {_round('max(n) / sum(n)', 'confidence')} FROM c GROUP BY pair_id")
 def class_diff(spark, sf_dir):
     return classify.classify_diff(ops_table(line_diff(spark, sf_dir)))
@@ -389,29 +655,51 @@ def _ensemble(name: str, strategy: str, score: str) -> None:
     query(name, sql)(lambda spark, sf_dir: docs(spark, sf_dir).select("doc_id", classify.ensemble(_three_results(), strategy).alias("r")).select("doc_id", "r.category", "r.confidence"))
 
 
+@query("class_other", "SELECT doc_id, 'Unknown' AS category, round(CAST(0 AS DOUBLE) + 1e-10, 6) AS confidence FROM documents")
+def class_other(spark, sf_dir):
+    """A strategy that is none gives no opinion."""
+    return docs(spark, sf_dir).select("doc_id", classify.ensemble(_three_results(), "none").alias("r")).select("doc_id", "r.category", "r.confidence")
+
+
+@query("change_labels", "WITH d AS (SELECT doc_id, length(text) % 8 AS n FROM documents) SELECT doc_id, CASE WHEN n = 0 THEN 'No POS changes detected' ELSE concat(CASE WHEN n <= 2 THEN 'Minimal' WHEN n <= 5 THEN 'Moderate' ELSE 'Significant' END, ' POS changes: ', n, ' changed') END AS label FROM d")
+def change_labels(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", M.change_magnitude(F.char_length("text") % 8, "POS").alias("label"))
+
+
 _ensemble("class_vote", "vote", "count(*) / 3.0")
 _ensemble("class_average", "average", "avg(p)")
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
-    ops = ops_table(compute_diff(turn_pairs(spark, sf_dir), DiffConfig(algorithm="myers", max_chars=1)), ("pair_id", "role")).where(select.changes())
+    ops = ops_table(compute_diff(turn_pairs(spark, sf_dir), DiffConfig(algorithm="myers")), ("pair_id", "role")).where(select.changes())
     return naive_bayes.features(ops.select("pair_id", "op_idx", "edit_type", "original_text", "modified_text", F.col("role").alias("label")))
 
 
-@query("nb_features")
+_NB = f"""{TURN_OPS['myers']}, x AS (SELECT o.pair_id, op_idx, edit_type, split_part(o.pair_id, '-', 3) AS label, coalesce(original_text, '') AS o, coalesce(modified_text, '') AS m FROM ops o WHERE edit_type <> 'Equal'),
+  y AS (SELECT *, {_measured('o', 'o_')}, {_measured('m', 'm_')} FROM x),
+  z AS (SELECT pair_id, op_idx, label, [0.0, 0.0, 0.0, o_char_count, m_char_count, abs(m_char_count - o_char_count), CAST(edit_type = 'Insert' AS INTEGER), CAST(edit_type = 'Delete' AS INTEGER), 0.0, 0.0, abs(m_punctuation_count - o_punctuation_count),
+    abs(m_flesch_reading_ease - o_flesch_reading_ease), abs(m_word_count - o_word_count), (o_stopword_ratio + m_stopword_ratio) / 2, abs(m_whitespace_ratio - o_whitespace_ratio), CAST(o_has_negation <> m_has_negation AS INTEGER)]::DOUBLE[] AS f FROM y),
+  model AS (SELECT label, count(*) AS n, count(*) / any_value(t.n) AS prior, [{', '.join(f'avg(f[{i}])' for i in range(1, 17))}] AS mu, [{', '.join(f'greatest(stddev_pop(f[{i}]), 1e-6)' for i in range(1, 17))}] AS sd FROM z, (SELECT count(*) AS n FROM z) t GROUP BY label)"""
+_POSTERIOR = "ln(prior) + list_sum(list_transform(range(1, 17), lambda i: greatest(-0.5 * ln(2 * pi() * sd[i] * sd[i]) - (f[i] - mu[i]) * (f[i] - mu[i]) / (2 * sd[i] * sd[i]), -100)))"
+
+
+@query("nb_features", f"{_NB} SELECT pair_id, op_idx, {', '.join(_round(f'f[{i + 1}]', n) for i, n in enumerate(naive_bayes.FEATURES))} FROM z")
 def nb_features(spark, sf_dir):
     return _labelled(spark, sf_dir).select("pair_id", "op_idx", *(F.col("features")[i].alias(n) for i, n in enumerate(naive_bayes.FEATURES)))
 
 
-@query("nb_train")
+@query("nb_train", f"{_NB} SELECT label, n, {_round('prior', 'prior')}, {_round('mu[4]', 'mean_orig_length')}, {_round('sd[4]', 'std_orig_length')} FROM model")
 def nb_train(spark, sf_dir):
     model = naive_bayes.train(_labelled(spark, sf_dir))
     return model.select("label", "n", "prior", F.col("means")[3].alias("mean_orig_length"), F.col("stds")[3].alias("std_orig_length"))
 
 
-@query("nb_predict")
+@query(
+    "nb_predict",
+    f"{_NB}, p AS (SELECT z.pair_id, z.op_idx, z.label, model.label AS predicted, {_POSTERIOR} AS s FROM z, model), b AS (SELECT *, row_number() OVER (PARTITION BY pair_id, op_idx ORDER BY s DESC, predicted) AS k FROM p) SELECT pair_id, op_idx, label, predicted, {_round('least(1, greatest(0, exp(s / 10)))', 'confidence')} FROM b WHERE k = 1",
+)
 def nb_predict(spark, sf_dir):
-    samples = _labelled(spark, sf_dir)
+    samples = kept(_labelled(spark, sf_dir))
     return naive_bayes.predict(samples, naive_bayes.train(samples)).select("pair_id", "op_idx", "label", "predicted", "confidence")
 
 
@@ -424,7 +712,7 @@ def _analyzed(name: str, analyzer: str, picked: dict[str, str], said: dict[str,
     sql = f"{_both(TURNS)}{fields} SELECT pair_id, {', '.join([*(_round(v, k) for k, v in picked.items()), *(f'{v} AS {k}' for k, v in said.items())])} FROM m"
 
     def run(spark, sf_dir):
-        found = compute_diff(turn_pairs(spark, sf_dir), DiffConfig(max_chars=1)).select("pair_id", single.ANALYZERS[analyzer]().alias("r"))
+        found = compute_diff(turn_pairs(spark, sf_dir)).select("pair_id", single.ANALYZERS[analyzer]().alias("r"))
         return found.select("pair_id", *(F.col("r.metrics")[k].alias(k) for k in picked), *(F.col("r.metadata")[k].alias(k) for k in said))
 
     query(name, sql)(run)
@@ -482,12 +770,43 @@ def an_category(spark, sf_dir):
     return found.select("pair_id", *(F.col("r.metrics")[k].alias(k) for k in ("semantic_count", "semantic_percentage")), F.col("r.metadata")["dominant_category"].alias("dominant_category"))
 
 
-@query("an_intent")
+_INTENTS = f"""list_filter([CASE WHEN insertions > deletions * 2 THEN 'expansion' END, CASE WHEN deletions > insertions * 2 THEN 'condensation' END, CASE WHEN ({_SIM}) < 0.5 THEN 'rewrite' END], lambda x: x IS NOT NULL)"""
+
+
+@query("an_intent", f"{TURN_OPS['histogram']}, {_MEASURED_STATS} SELECT pair_id, coalesce(i[1], 'unknown') AS primary_intent, array_to_string(i, ',') AS intents FROM (SELECT pair_id, {_INTENTS} AS i FROM m)")
 def an_intent(spark, sf_dir):
     return compute_diff(turn_pairs(spark, sf_dir)).select("pair_id", single.edit_intent().alias("r")).select("pair_id", F.col("r.metadata")["primary_intent"].alias("primary_intent"), F.col("r.metadata")["intents"].alias("intents"))
 
 
-@query("report_summary")
+@query("an_turn_category", f"{TURN_OPS['histogram']} SELECT pair_id, CAST(edit_distance AS DOUBLE) AS semantic_count, CAST(CASE WHEN edit_distance > 0 THEN 1 ELSE 0 END AS DOUBLE) AS semantic_percentage, CASE WHEN edit_distance > 0 THEN 'Semantic' ELSE 'none' END AS dominant_category FROM stats")
+def an_turn_category(spark, sf_dir):
+    found = compute_diff(turn_pairs(spark, sf_dir)).select("pair_id", single.category_distribution().alias("r"))
+    return found.select("pair_id", *(F.col("r.metrics")[k].alias(k) for k in ("semantic_count", "semantic_percentage")), F.col("r.metadata")["dominant_category"].alias("dominant_category"))
+
+
+def _thrice(name: str, o: str, m: str) -> dict[str, str]:
+    return {f"original_{name}": o, f"modified_{name}": m, f"{name}_change": f"({m}) - ({o})"}
+
+
+_REPORTED = {
+    "semantic_similarity": _SIM, "semantic_distance": f"1 - ({_SIM})", "semantic_changes": "edit_distance", "word_overlap": _SIM, "char_similarity": _CHAR_SIM,
+    "word_count_diff": "abs(m_word_count - o_word_count)", "original_word_count": "o_word_count", "modified_word_count": "m_word_count",
+    "negation_changed": "CAST(o_has_negation <> m_has_negation AS INTEGER)", "original_has_negation": "CAST(o_has_negation AS INTEGER)", "modified_has_negation": "CAST(m_has_negation AS INTEGER)",
+    **_thrice("flesch_reading_ease", "o_flesch_reading_ease", "m_flesch_reading_ease"), **_thrice("flesch_kincaid_grade", "o_flesch_kincaid_grade", "m_flesch_kincaid_grade"),
+    **_thrice("smog", _smog("o_"), _smog("m_")), **_thrice("ari", _ari("o_", "original"), _ari("m_", "modified")),
+    "readability_diff": "abs(m_flesch_reading_ease - o_flesch_reading_ease)", "original_flesch": "o_flesch_reading_ease", "modified_flesch": "m_flesch_reading_ease",
+    **_thrice("avg_word_length", "o_avg_word_length", "m_avg_word_length"),
+    **_thrice("avg_sentence_length", f"o_word_count / ({_count('original', '[.!?]')} + 1)", f"m_word_count / ({_count('modified', '[.!?]')} + 1)"),
+    **_thrice("punctuation_density", "CASE WHEN o_char_count > 0 THEN o_punctuation_count / o_char_count ELSE 0 END", "CASE WHEN m_char_count > 0 THEN m_punctuation_count / m_char_count ELSE 0 END"),
+    **_thrice("lexical_diversity", _diversity("o_"), _diversity("m_")), "stylistic_changes": "0",
+    "whitespace_ratio_diff": "abs(m_whitespace_ratio - o_whitespace_ratio)", "original_whitespace_ratio": "o_whitespace_ratio", "modified_whitespace_ratio": "m_whitespace_ratio",
+    **{f"{c}_{k}": "0" for c in ("formatting", "organizational", "stylistic", "syntactic", "unknown") for k in ("count", "percentage")},
+    "semantic_count": "edit_distance", "semantic_percentage": "CASE WHEN edit_distance > 0 THEN 1 ELSE 0 END", "total_changes": "edit_distance", "intent_count": f"len({_INTENTS})",
+}
+_AVERAGES = ", ".join(f"avg(CAST({v} AS DOUBLE)) AS {k}" for k, v in _REPORTED.items())
+
+
+@query("report_summary", f"{TURN_OPS['histogram']}, {_MEASURED_STATS}, a AS (SELECT count(*) AS n, {_AVERAGES} FROM m), u AS (UNPIVOT a ON {', '.join(_REPORTED)} INTO NAME metric VALUE v) SELECT metric, {_round('v', 'average')}, n FROM u")
 def report_summary(spark, sf_dir):
     return single.Report(compute_diff(turn_pairs(spark, sf_dir))).summary()
 
@@ -499,7 +818,16 @@ _SIMILAR = f"{_both(TURNS)}, s AS (SELECT pair_id, grp, seq, {_O} AS s FROM m)"
 
 @query("grp_statistics", f"{LINE_TOKENS}, d AS (SELECT grp, len(a) - len(b) AS n, strlen(original) AS bytes FROM t) SELECT grp, count(*) AS diff_count, CAST(0 AS DOUBLE) AS avg_insertions, {_round('avg(n)', 'avg_deletions')}, CAST(sum(n) AS BIGINT) AS total_changes, {_round('avg(CASE WHEN bytes > 0 THEN n / bytes ELSE 0 END) * 100', 'avg_change_percent')} FROM d GROUP BY grp")
 def grp_statistics(spark, sf_dir):
-    return group.statistics(line_diff(spark, sf_dir), ("grp",)).select("grp", "diff_count", "avg_insertions", "avg_deletions", "total_changes", "avg_change_percent")
+    return group.statistics(line_diff(spark, sf_dir, operations=False), ("grp",)).select("grp", "diff_count", "avg_insertions", "avg_deletions", "total_changes", "avg_change_percent")
+
+
+@query(
+    "grp_turn_statistics",
+    f"{TURN_OPS['histogram']}, {_MEASURED_STATS}, d AS (SELECT *, {_SIM} AS s FROM m) SELECT grp, count(*) AS diff_count, {_round('avg(insertions)', 'avg_insertions')}, {_round('avg(deletions)', 'avg_deletions')}, CAST(0 AS DOUBLE) AS avg_modifications, CAST(sum(edit_distance) AS BIGINT) AS total_changes, "
+    f"{_round('avg(s)', 'avg_similarity')}, {_round('max(s)', 'max_similarity')}, {_round('min(s)', 'min_similarity')}, {_round('avg(change_percentage) * 100', 'avg_change_percent')} FROM d GROUP BY grp",
+)
+def grp_turn_statistics(spark, sf_dir):
+    return group.statistics(compute_diff(turn_pairs(spark, sf_dir), DiffConfig(operations=False)), ("grp",))
 
 
 @query("grp_similarity", f"{_SIMILAR} SELECT grp, count(*) AS n, {_round('avg(s)', 'avg_similarity')}, {_round('min(s)', 'min_similarity')}, {_round('max(s)', 'max_similarity')} FROM s GROUP BY grp")
@@ -510,9 +838,17 @@ def grp_similarity(spark, sf_dir):
     return df.groupBy("grp").agg(F.count("*").alias("n"), F.avg(s).alias("avg_similarity"), F.min(s).alias("min_similarity"), F.max(s).alias("max_similarity"))
 
 
-@query("grp_patterns")
+_PATTERNS = f"""{TURN_OPS['histogram']}, {_MEASURED_STATS}, d AS (SELECT *, {_SIM} AS s FROM m), c AS (SELECT count(*) AS n FROM d),
+  f AS (SELECT 'share' AS pattern, 'expansion' AS name, avg(CAST(insertions > deletions AS INTEGER)) AS frequency FROM d UNION ALL SELECT 'share', 'reduction', avg(CAST(deletions > insertions AS INTEGER)) FROM d
+    UNION ALL SELECT 'share', 'major_rewrite', avg(CAST(s < 0.5 AS INTEGER)) FROM d UNION ALL SELECT 'share', 'minor_edit', avg(CAST(s > 0.8 AS INTEGER)) FROM d
+    UNION ALL (SELECT 'edit_type', edit_type, count(*) / any_value(n) FROM ops, c WHERE edit_type <> 'Equal' GROUP BY edit_type ORDER BY count(*) DESC, edit_type LIMIT 1)
+    UNION ALL (SELECT 'category', category, count(*) / any_value(n) FROM ops, c WHERE edit_type <> 'Equal' GROUP BY category ORDER BY count(*) DESC, category LIMIT 1))
+  SELECT pattern, name, {_round('frequency', 'frequency')} FROM f WHERE frequency >= 0.3"""
+
+
+@query("grp_patterns", _PATTERNS)
 def grp_patterns(spark, sf_dir):
-    return group.patterns(compute_diff(turn_pairs(spark, sf_dir), DiffConfig(max_chars=1)))
+    return group.patterns(compute_diff(turn_pairs(spark, sf_dir)))
 
 
 @query(
@@ -526,9 +862,19 @@ def grp_trends(spark, sf_dir):
     return group.trends(df, metrics=("semantic_similarity",))
 
 
-@query("grp_clusters")
+_AWAY = "list_sum(list_transform(range(1, 8), lambda i: pow(f[i] - cs[{0}][i], 2)))"
+_NEAREST = f"CASE WHEN {_AWAY.format(1)} <= {_AWAY.format(2)} AND {_AWAY.format(1)} <= {_AWAY.format(3)} THEN 1 WHEN {_AWAY.format(2)} <= {_AWAY.format(3)} THEN 2 ELSE 3 END"
+_MEAN = lambda c: f"CASE WHEN count(*) FILTER (c = {c}) > 0 THEN [" + ", ".join(f"avg(f[{i}]) FILTER (c = {c})" for i in range(1, 8)) + f"] ELSE any_value(cs)[{c}] END"
+_CLUSTERS = f"""{TURN_OPS['histogram']}, {_MEASURED_STATS}, r AS MATERIALIZED (SELECT pair_id, seq, [{_SIM}, change_percentage, insertions / greatest(o_char_count, 1), deletions / greatest(o_char_count, 1), 0.0, {_STYLED}, m_avg_word_length - o_avg_word_length] AS f FROM m),
+  k AS (SELECT 0 AS it, (SELECT list(f ORDER BY seq, pair_id)[1:3] FROM r) AS cs UNION ALL SELECT it + 1, [{_MEAN(1)}, {_MEAN(2)}, {_MEAN(3)}] FROM (SELECT it, cs, f, {_NEAREST} AS c FROM k, r WHERE it < 60) GROUP BY it),
+  e AS (SELECT f, {_NEAREST} AS c FROM r, (SELECT cs FROM k ORDER BY it DESC LIMIT 1)),
+  g AS (SELECT c - 1 AS cluster, count(*) AS size, count(*) * 100.0 / any_value(n) AS percent, avg(f[1]) AS s, avg(f[2]) AS d FROM e, (SELECT count(*) AS n FROM r) GROUP BY c)
+  SELECT cluster, size, {_round('percent', 'percent')}, {_round('s', 'avg_similarity')}, {_round('d', 'avg_change')}, CASE WHEN s > 0.8 AND d < 0.2 THEN 'Minor edits' WHEN s > 0.6 THEN 'Moderate revisions' WHEN s < 0.5 THEN 'Substantial rewrites' ELSE 'Mixed changes' END AS label FROM g"""
+
+
+@query("grp_clusters", _CLUSTERS)
 def grp_clusters(spark, sf_dir):
-    return group.clusters(compute_diff(turn_pairs(spark, sf_dir), DiffConfig(max_chars=1)))
+    return group.clusters(compute_diff(turn_pairs(spark, sf_dir)))
 
 
 # trained similarity ----------------------------------------------------------
@@ -550,11 +896,29 @@ def sem_train(spark, sf_dir):
     return semantic.learn(_history(spark, sf_dir)).drop("threshold")
 
 
-@query("sem_threshold")
+_THRESHOLD = f"""{_SIMILAR}, r AS (SELECT s FROM (SELECT s, concat_ws('-', lpad(grp, 12, '0'), lpad(CAST(seq AS VARCHAR), 6, '0'), split_part(pair_id, '-', 3)) AS q FROM s) ORDER BY q DESC, s DESC LIMIT 10000),
+  o AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS i FROM r), b AS (SELECT *, abs(lead(s) OVER (ORDER BY i) - 2 * s + lag(s) OVER (ORDER BY i)) AS bend FROM o),
+  w AS (SELECT count(*) AS n, avg(s) AS mean FROM o),
+  v AS (SELECT any_value(n) AS n, max(CASE WHEN i = n // 2 THEN s END) AS median, max(CASE WHEN i = least(n // 2, n - 1) THEN s END) AS base, count(*) FILTER (s < mean) AS low, avg(s) FILTER (s < mean) AS lm, avg(s) FILTER (s >= mean) AS hm,
+    stddev_pop(s) FILTER (s < mean) AS ls, stddev_pop(s) FILTER (s >= mean) AS hs, coalesce((SELECT s FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, i LIMIT 1), 0) AS elbow FROM b, w)
+  SELECT {_round('0.4 * least(1, greatest(0, lm * (1 - low / n) + hm * (low / n) + 0.1 * (hs - ls))) + 0.4 * elbow + 0.2 * base', 'threshold')}, n AS sample_count FROM v"""
+
+
+@query("sem_threshold", _THRESHOLD)
 def sem_threshold(spark, sf_dir):
     return semantic.learn(_history(spark, sf_dir)).select("threshold", "sample_count")
 
 
+@query(
+    "sem_json",
+    f"WITH l AS ({_LEARNED}) SELECT mean, std_dev, median, min, max, sample_count FROM l",
+)
+def sem_json(spark, sf_dir):
+    """Learned parameters through their JSON text."""
+    texts = semantic.as_json(semantic.learn(_history(spark, sf_dir)))
+    return texts.select(semantic.parsed(F.col("parameters")).alias("p")).select("p.mean", "p.std_dev", "p.median", "p.min", "p.max", "p.sample_count")
+
+
 @query(
     "sem_score",
     f"{_SIMILAR}, j AS (SELECT pair_id, s, (s - 0.7) / 0.15 AS z FROM s) SELECT pair_id, {_round('s', 'similarity')}, {_round('1 - s', 'distance')}, CASE WHEN s >= 0.85 THEN 'very_high' WHEN s >= 0.7 THEN 'high' WHEN s >= 0.55 THEN 'moderate' WHEN s >= 0.4 THEN 'low' ELSE 'very_low' END AS level, "
@@ -588,13 +952,47 @@ def _annotated_pairs(spark, sf_dir) -> DataFrame:
     return df.withColumn("al", syntax.alignment("o", "m"))
 
 
-@query("syn_align")
+_NOTED = "list_transform(range(1, len({0}) + 1), lambda i: {{'text': {0}[i], 'low': lower({0}[i]), 'lemma': lower({0}[i][1:4]), 'pos': CASE WHEN length({0}[i]) <= 2 THEN 'DET' WHEN length({0}[i]) <= 5 THEN 'NOUN' WHEN length({0}[i]) <= 8 THEN 'VERB' ELSE 'ADJ' END, 'tag': lower({0}[i][-1]), 'dep': CASE i WHEN 1 THEN 'nsubj' WHEN 2 THEN 'ROOT' ELSE 'obj' END}})"
+#: Pairs of tokens, equal ones first, nearest the diagonal first; taken one by one if both are free.
+_SYNTAX = f"""WITH RECURSIVE {PARTS}, n AS (SELECT pair_id, {_NOTED.format(_words('original'))} AS o, {_NOTED.format(_words("concat_ws(' ', modified, original)"))} AS m FROM pairs),
+  e AS (SELECT pair_id, unnest(range(0, len(o))) AS i, o, m FROM n), f AS (SELECT pair_id, i, unnest(range(0, len(m))) AS j, o, m FROM e),
+  q AS (SELECT pair_id, i, j, CASE WHEN o[i + 1].low = m[j + 1].low OR (o[i + 1].lemma = m[j + 1].lemma AND o[i + 1].tag = m[j + 1].tag) THEN 0 ELSE 1 END AS alike, floor(1000 * abs(i / len(o) - j / len(m))) AS away FROM f
+    WHERE o[i + 1].low = m[j + 1].low OR o[i + 1].lemma = m[j + 1].lemma),
+  l AS (SELECT pair_id, list({{'i': i, 'j': j, 'alike': alike}} ORDER BY alike, away, i, j) AS w FROM q GROUP BY pair_id),
+  g AS (SELECT pair_id, 1 AS k, w, w[1:0] AS taken FROM l UNION ALL SELECT pair_id, k + 1, w, CASE WHEN len(list_filter(taken, lambda t: t.i = w[k].i OR t.j = w[k].j)) = 0 THEN list_append(taken, w[k]) ELSE taken END FROM g WHERE k <= len(w)),
+  t AS (SELECT n.pair_id, o, m, coalesce(taken, []) AS taken FROM n LEFT JOIN (SELECT pair_id, taken FROM g WHERE k = len(w) + 1) h ON h.pair_id = n.pair_id),
+  a AS (SELECT *, list_filter(taken, lambda t: t.alike = 0) AS equal_, list_filter(taken, lambda t: t.alike = 1) AS alike_ FROM t),
+  z AS (SELECT *, list_filter(equal_, lambda t: len(list_filter(equal_, lambda u: (t.i - u.i) * (t.j - u.j) < 0)) > 0) AS crossed, list_filter(equal_, lambda t: len(list_filter(equal_, lambda u: (t.i - u.i) * (t.j - u.j) < 0)) = 0) AS matched, len(o) - len(taken) AS gone, len(m) - len(taken) AS come FROM a)"""
+
+
+@query("syn_align", f"{_SYNTAX} SELECT pair_id, len(matched) AS n_match, len(crossed) AS n_reorder, len(alike_) AS n_replacement, gone AS n_deletion, come AS n_insertion FROM z")
 def syn_align(spark, sf_dir):
     counts = {n.lower(): syntax.kinds(F.col("al"), n).cast("long") for n in ("Match", "Reorder", "Replacement", "Deletion", "Insertion")}
     return _annotated_pairs(spark, sf_dir).select("pair_id", *(c.alias(f"n_{n}") for n, c in counts.items()))
 
 
-@query("syn_analyzers")
+_DIFFER = "len(list_filter(taken, lambda t: o[t.i + 1].{0} <> m[t.j + 1].{0}))"
+_SAME_BOTH = "len(list_filter({0}, lambda t: o[t.i + 1].pos = m[t.j + 1].pos AND o[t.i + 1].dep = m[t.j + 1].dep))"
+_STRUCTURE = f"CASE WHEN greatest(len(o), len(m)) > 0 THEN {_SAME_BOTH.format('matched')} / greatest(len(o), len(m)) ELSE 1 END"
+_VERBS = "o[t.i + 1].lemma = m[t.j + 1].lemma AND o[t.i + 1].pos = 'VERB' AND m[t.j + 1].pos = 'VERB' AND o[t.i + 1].tag <> m[t.j + 1].tag"
+_TENSES, _FORMS = f"len(list_filter(taken, lambda t: {_VERBS}))", f"len(list_filter(taken, lambda t: {_VERBS} AND o[t.i + 1].dep IN ('nsubj', 'ROOT')))"
+_KEEPS = "CASE WHEN least(len(o), len(m)) > 0 THEN len(list_filter(range(1, least(len(o), len(m)) + 1), lambda i: o[i].{0} = m[i].{0})) / least(len(o), len(m)) ELSE 1 END"
+_DIVERGES = "CASE WHEN len(o) = 0 AND len(m) = 0 THEN 0 WHEN len(o) = 0 OR len(m) = 0 THEN 1 ELSE list_sum(list_transform(['DET', 'NOUN', 'VERB', 'ADJ'], lambda g: abs(len(list_filter(o, lambda x: x.pos = g)) / len(o) - len(list_filter(m, lambda x: x.pos = g)) / len(m)))) / 2 END"
+_ROOTS = "CASE WHEN len(o) > 1 AND len(m) > 1 THEN CAST(o[2].lemma <> m[2].lemma AS INTEGER) ELSE greatest(CAST(len(o) > 1 AS INTEGER), CAST(len(m) > 1 AS INTEGER)) END"
+_ALL = "(len(taken) + gone + come)"
+_SYNTACTIC = {
+    ("spacy_syntactic", "pos_changes"): f"{_DIFFER.format('pos')} + gone + come", ("spacy_syntactic", "dep_changes"): f"{_DIFFER.format('dep')} + len(crossed) + gone + come",
+    ("spacy_syntactic", "structural_similarity"): _STRUCTURE, ("spacy_syntactic", "grammar_fixes"): f"{_TENSES} + {_FORMS}", ("spacy_syntactic", "pos_divergence"): _DIVERGES,
+    ("spacy_pos", "pos_changes"): f"{_DIFFER.format('pos')} + gone + come", ("spacy_pos", "pos_divergence"): _DIVERGES, ("spacy_pos", "pos_unchanged_ratio"): _KEEPS.format("pos"),
+    ("spacy_dependency", "dep_changes"): f"{_DIFFER.format('dep')} + len(crossed) + gone + come", ("spacy_dependency", "root_changes"): _ROOTS, ("spacy_dependency", "dep_unchanged_ratio"): _KEEPS.format("dep"),
+    ("spacy_grammar", "total_fixes"): f"{_TENSES} + {_FORMS}", ("spacy_grammar", "verb_corrections"): _FORMS, ("spacy_grammar", "article_corrections"): "0", ("spacy_grammar", "tense_corrections"): _TENSES,
+    ("spacy_structural", "structural_similarity"): _STRUCTURE, ("spacy_structural", "pos_dep_match_ratio"): f"CASE WHEN len(o) = 0 OR len(m) = 0 THEN 0 ELSE {_SAME_BOTH.format('taken')} / {_ALL} END", ("spacy_structural", "structure_changed"): f"CAST(({_STRUCTURE}) < 0.7 AS INTEGER)",
+    ("spacy_alignment", "match_count"): "len(matched)", ("spacy_alignment", "deletion_count"): "gone", ("spacy_alignment", "insertion_count"): "come", ("spacy_alignment", "replacement_count"): "len(alike_)",
+    ("spacy_alignment", "reorder_count"): "len(crossed)", ("spacy_alignment", "alignment_ratio"): f"CASE WHEN {_ALL} > 0 THEN len(taken) / {_ALL} ELSE 0 END",
+}
+
+
+@query("syn_analyzers", f"{_SYNTAX} " + " UNION ALL ".join(f"SELECT pair_id, '{a}' AS analyzer, '{k}' AS metric, {_round(v, 'value')} FROM z" for (a, k), v in _SYNTACTIC.items()))
 def syn_analyzers(spark, sf_dir):
     df = _annotated_pairs(spark, sf_dir)
     args = (F.col("al"), F.col("o"), F.col("m"))

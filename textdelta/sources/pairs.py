@@ -10,8 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that a task should have at least of a table before it is not dealt anew.
+LEAST_BYTES = 32 << 20
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, as pairs make much more work than their bytes tell; a large one as its files lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * LEAST_BYTES else df
+
+
 def successive(df: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
     """Each text with the one before it in its group; rows of a group must fit a window's sort, which spills."""
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)  # one that is not merged again for being small
     before = F.lag(text).over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn("original", before).where("original IS NOT NULL").withColumn("modified", F.col(text))
 
@@ -31,7 +43,7 @@ def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their first line, with the whole: structured texts of one paragraph less."""
-    df = table(spark, sf_dir, "documents")
+    df = balanced(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     cut = F.regexp_replace(F.col("text"), r"^[^\n]*\n", "")
     return df.select(F.col("doc_id").cast("string").alias("pair_id"), F.col("lang").alias("grp"), F.col("doc_id").alias("seq"), F.col("text").alias("original"), cut.alias("modified"))
 
