@@ -259,6 +259,18 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_pieces_of_parts_that_share_a_hash(monkeypatch):
+    """A collision of cached parts is seen by what the tokens decode to; and wide sort keys give the same order."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    codec = pieces.Codec(pieces.Vocabulary(pieces.DEFAULT_MODEL))
+    monkeypatch.setattr(pieces, "span_hash", lambda buf, start, end: ((end - start) % 3).astype(np.uint64))
+    texts = ["some words of a text", "", None, "other words, longer ones", "日本 é 😀"]
+    for text, found in zip(texts, codec.encode(texts), strict=True):
+        assert found is None if text is None else (list(memoryview(found[0]).cast("i")), found[1].decode()) == (sp.encode(text), text)
+
+
 def test_unigram_relaxing():
     """The best path of a unigram model against all paths."""
     vocabulary = pieces.Vocabulary(pieces.DEFAULT_MODEL)

@@ -184,8 +184,11 @@ class Codec:
         start, end, rank = place[use], place[use] + self.sizes[piece[use]], self.ranks[piece[use]]
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
         part = owner[start]
-        # by part, rank and place; 20 + 22 + 22 bits
-        order = np.argsort(part.astype(np.uint64) << np.uint64(44) | rank.astype(np.uint64) << np.uint64(22) | start.astype(np.uint64))
+        # by part, rank and place
+        if n < 1 << 22 and len(first) < 1 << 20 and len(self.sizes) < 1 << 22:  # that fit one number of 20 + 22 + 22 bits
+            order = np.argsort(part.astype(np.uint64) << np.uint64(44) | rank.astype(np.uint64) << np.uint64(22) | start.astype(np.uint64))
+        else:
+            order = np.lexsort((start, rank, part))
         start, end, rank, part = start[order], end[order], rank[order], part[order]
         bound = np.ones(n + 1, dtype=bool)
         while len(start):
@@ -330,11 +333,25 @@ class Codec:
         places = np.append(0, np.cumsum(self.out_size[ids]))[cut].tolist()
         skip, packed = len(prefix), ids.tobytes()
         for k, text in enumerate(texts):
-            yield None if text is None else (packed[4 * cut[k] : 4 * cut[k + 1]], plain[places[k] : places[k + 1]][skip:])
+            if text is None:
+                yield None
+            elif plain[places[k] : places[k + 1]] == raw[k]:
+                yield packed[4 * cut[k] : 4 * cut[k + 1]], raw[k][skip:]
+            else:  # characters without a piece; or parts of one hash
+                yield self._verified(raw[k], skip)
         if len(self.ids_of) > KEPT:
             self.ids_of.clear()
 
 
+    def _verified(self, raw: bytes, skip: int) -> tuple[bytes, bytes]:
+        """(token ids, decoded text) of one text, its parts told apart by their bytes."""
+        start, end = self._parts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+        parts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        ids_of = {p: self._index([p.decode("utf-8", "surrogatepass").replace(" ", MARK)])[0] for p in set(parts)}
+        packed = b"".join(ids_of[p] for p in parts)
+        return packed, b"".join(self.v.out[i] for i in np.frombuffer(packed, dtype="<i4").tolist())[skip:]
+
+
 def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
     """The text of token ids."""
     out = b"".join([vocabulary.out[i] for i in ids])
