@@ -56,6 +56,8 @@ SAMPLE = 5000
 EVIDENCE, PRECISION, STEM_WORDS = 14.0, 0.6, 4
 STEMS = (4, 5, 6)
 FUZZY, SURE, EDIT_WEIGHT, QUOTED_WEIGHT, FLOOR, LIMIT = 5, 0.98, 0.7, 0.25, 0.02, 0.3
+#: Words whose matches are held at once.
+KNOWN = 50_000
 #: Words looked at before a match, bytes looked at for them, and what marks reporting.
 BEFORE, AROUND = 4, 120
 REPORTING = frozenset("said says saying wrote writes called calls quoted quote quoting quotes word words term terms slur insult insults sagte schrieb nannte zitat wort dijo escribió llamó cita palabra dit écrit appelé citation mot".split())
@@ -187,7 +189,7 @@ class Lexicon:
         out = None
         if found and (not found[1] or word not in self.clean):
             out = (found[0], self.weights[found[0]] * (EDIT_WEIGHT if found[1] else 1.0))
-        if len(self.known) > 200_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         self.known[raw] = out
         return out
@@ -285,9 +287,9 @@ _COUNTS = pa.schema([("term", pa.string()), ("n0", pa.int64()), ("n1", pa.int64(
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        release()
-        for at in range(0, len(whole), 300):  # a few hundred texts' terms at once
-            batch = whole.slice(at, 300)
+        for lo, hi in slices(arrow_text(whole["text"])[1]):  # some texts' terms at once
+            release()
+            batch = whole.slice(lo, hi - lo)
             counts: dict[str, list] = {}
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
                 seen: dict[str, set] = {}
