@@ -271,3 +271,16 @@ def test_line_dedup_by_joins(spark, monkeypatch):
     monkeypatch.setattr(own, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(own, "HOT", 20)
     assert sorted(map(str, line_dedup.digest(docs).collect())) == want
+
+
+def test_near_copies_of_repeated_rows_and_rows_without_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    a, b, c = (prose(rng, 60, 3000) for _ in range(3))
+    rows = [(5, a), (5, a), (9, a), (None, a), (None, b), (None, b), (None, f"{b} more"), (7, c), (8, ""), (8, ""), (None, ""), (None, ""), (10, None), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in left if r.text and b not in r.text) == sorted([("5", a), ("7", c)])
+    assert sum(b in (r.text or "") for r in left) == 1 and sum(not r.text for r in left) == 6
+    assert corpus_pipeline.keep_one_of_near_copies(spark, docs.limit(0), "").count() == 0

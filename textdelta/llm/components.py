@@ -41,6 +41,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours in the shared folder, whatever file system that is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few(df: DataFrame, most: int | None = None) -> DataFrame:
     """``df`` (which is cut, or cheap) marked for broadcast if it has at most ``most`` rows (BROADCAST_ROWS)."""
     most = BROADCAST_ROWS if most is None else most
