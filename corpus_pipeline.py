@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textdelta.llm import decontaminate, jaccard_join, line_dedup, pieces, toxicity
-from textdelta.llm.components import cut, shared_folder
+from textdelta.llm.components import cut, few, removed, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -38,13 +38,25 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays; rows without an id all stay."""
-    docs = docs.select(COLUMNS)
-    parts = jaccard_join.jaccard_components(docs, k=SHINGLE, num=NUM, den=DEN)
+    """Of each group of linked documents the one of the smallest id stays, and of rows that repeat id and text one.
+
+    Rows without an id are compared under an id made of their text, which is larger than
+    others. Texts without words are no copies of each other.
+    """
+    docs = docs.select(COLUMNS).withColumn("__text", F.xxhash64("text"))
+    made = F.shiftrightunsigned("__text", 2) + F.lit(1 << 62)
+    docs = docs.withColumn("__id", F.coalesce("doc_id", made))
+    parts = jaccard_join.jaccard_components(docs, id_column="__id", k=SHINGLE, num=NUM, den=DEN)
     gone = cut(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    gone = F.broadcast(gone) if few else gone.hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti").select(COLUMNS)
+    is_few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = F.broadcast(gone) if is_few else gone.hint("shuffle_hash")
+    left = docs.join(gone, docs["__id"] == F.col("gone"), "left_anti")
+    own = ["__id", "__text"]
+    repeated = cut(docs.where(F.rlike("text", F.lit("[^\\x20\\x09-\\x0D]"))).groupBy(*own).agg(F.count("*").alias("n")).where("n > 1").select(*own))
+    if not repeated.isEmpty():
+        repeated = few(repeated)
+        left = left.join(repeated, own, "left_anti").unionByName(left.join(repeated, own, "left_semi").dropDuplicates(own))
+    return left.select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +82,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents, each written to the shared folder and read again."""
+    """All stages over the table of documents, each written to the shared folder and read again.
+
+    What a stage has written goes when the next but one has been; the last stays, as the result reads it.
+    """
     docs = _table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i > 1:
+            removed(spark, f"{folder}/{i - 2}")
+    removed(spark, f"{folder}/{len(STAGES) - 2}")
     return docs
