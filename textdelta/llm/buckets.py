@@ -69,7 +69,7 @@ def unpack(table: pa.Table, dtype=np.uint32, extra_dtype=None) -> tuple[np.ndarr
         return np.frombuffer(b"".join(x for x in table[name].to_pylist() if x), dtype=of)
 
     each = np.array([len(x) // np.dtype(dtype).itemsize for x in table["hashes"].to_pylist()], dtype=np.int64)
-    of_row = lambda name: np.repeat(np.array(table[name].to_pylist(), dtype=np.int64), each)
+    of_row = lambda name: np.repeat(np.array(table[name].to_pylist(), dtype=np.int32), each)
     ids = np.repeat(joined("ids", np.int64), joined("counts", np.uint32))
     return joined("hashes", dtype), of_row("kind"), of_row("origin"), ids, joined("extra", extra_dtype) if extra_dtype else None
 

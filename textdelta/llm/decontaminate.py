@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .buckets import Members
 from .components import answered, shared_folder, written
-from .textcore import ALNUM_WORDS, Words, arrow_text, ranges, release, slices
+from .textcore import ALNUM_WORDS, Words, arrow_text, of_batches, ranges, release, slices
 
 #: Test text that is held at once, and documents' text that makes a shard.
 BLOCK_BYTES, SHARD_BYTES = 16 << 20, 1_000_000
@@ -208,7 +208,7 @@ def _hits(docs: DataFrame, text: str, blocks: Iterator[TestSet]) -> DataFrame:
                 at = pa.array([x[0] for x in found], pa.int64())
                 yield pa.RecordBatch.from_pydict({"__key1": batch["__key1"].take(at), "__key2": batch["__key2"].take(at), "items": pa.array([x[1] for x in found], pa.list_(pa.string())), "longest": pa.array([x[2] for x in found], pa.int64()), "spans": pa.array([x[3] for x in found], _SPAN)})
 
-        rows.mapInArrow(run, schema).write.parquet(f"{folder}/block={k}")
+        rows.mapInArrow(of_batches(run), schema).write.parquet(f"{folder}/block={k}")
     return docs.sparkSession.read.schema(schema).parquet(*(f"{folder}/block={i}" for i in range(k + 1)))
 
 
@@ -233,11 +233,11 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     count, blocks = _blocks(items, item_id, item_text, n)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     if count == 1:
-        return rows.mapInArrow(_match(next(blocks)), RESULT)
+        return rows.mapInArrow(of_batches(_match(next(blocks))), RESULT)
     all_ = lambda c: F.flatten(F.collect_set(c)).alias(c)  # of one text
     hits = written(_hits(rows, "text", blocks).groupBy("__key1", "__key2").agg(all_("items"), F.max("longest").alias("longest"), all_("spans"), F.count("*").alias("n")))
     met = answered(_keyed(rows, "text"), hits, ["__key1", "__key2"], F.xxhash64("doc_id"))
-    return met.select("doc_id", "text", "items", "longest", "spans").mapInArrow(_joined, RESULT)
+    return met.select("doc_id", "text", "items", "longest", "spans").mapInArrow(of_batches(_joined), RESULT)
 
 
 def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", item_text: str = "text", n: int = 10) -> DataFrame:
@@ -255,7 +255,7 @@ def clean(docs: DataFrame, items: DataFrame, text_column: str = "text", item_tex
             hit = [bool(covered.any()) for _, covered, _, _ in _found(test, batch.column(text_column).cast(pa.string()))]
             yield batch.filter(pa.array([not x for x in hit], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(of_batches(run), docs.schema)
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

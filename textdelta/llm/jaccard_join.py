@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .buckets import PACKED, Members, grouped, packed, place_key, runs, spread, together, unpack
 from .components import answered, components, cut, few
-from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, ranges, release, slices, window_hash
+from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, mix, of_group, of_groups, ranges, release, slices, window_hash
 
 _SEED = 21
 #: The longest m, and what verifying a candidate costs against reading a posting.
@@ -263,9 +263,9 @@ class JaccardJoin:
         self.size = size = input_bytes(docs.select(text_column), text_column)
         buckets, groups = bucket_count(size), bucket_count(size, each=8 << 20, least=16)
         texts = grouped(docs, id_column, text_column, groups, size)
-        asked = spread(texts.groupBy("part").applyInArrow(_post(k, buckets), PACKED), "part", size)
-        answers = spread(asked.groupBy("part").applyInArrow(_count, PACKED), "part", size)
-        self.sets = cut(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_prefixes(k, num, den, buckets), SETS))
+        asked = spread(texts.groupBy("part").applyInArrow(of_group(_post(k, buckets)), PACKED), "part", size)
+        answers = spread(asked.groupBy("part").applyInArrow(of_group(_count), PACKED), "part", size)
+        self.sets = cut(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(of_groups(_prefixes(k, num, den, buckets)), SETS))
         full = self.sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
         self.classes = cut(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
         self.posting = self.sets.where("prefix IS NOT NULL")
@@ -283,7 +283,7 @@ class JaccardJoin:
 
     def _verified(self, left: DataFrame, right: DataFrame, every: bool) -> DataFrame:
         left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # names of their own on either side
-        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_verify(self.num, self.den, every), "a long, b long")
+        return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(of_groups(_verify(self.num, self.den, every)), "a long, b long")
 
     def _alone(self, rows: DataFrame) -> DataFrame:
         """Links within blocks that no one probes."""

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import arrow_text, ranges, release, slices, span_hash
+from .textcore import arrow_text, of_batches, ranges, release, slices, span_hash
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of different parts indexed at once, and encoded parts that a worker keeps.
-INDEX_CHARS, KEPT = 200_000, 500_000
+INDEX_CHARS, KEPT = 200_000, 300_000
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -389,7 +389,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_column: str = "doc_id
     """doc_id, tokens (array of ids) of each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32()))])
     row = lambda x, _: (None if x is None else np.frombuffer(x[0], dtype="<i4"),)
-    return _rows(docs, id_column, text_column).mapInArrow(_run(Vocabulary(model), row, schema), "doc_id long, tokens array<int>")
+    return _rows(docs, id_column, text_column).mapInArrow(of_batches(_run(Vocabulary(model), row, schema)), "doc_id long, tokens array<int>")
 
 
 def decoded(tokens: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
@@ -413,4 +413,4 @@ def digest(docs: DataFrame, model: str = DEFAULT_MODEL, id_column: str = "doc_id
     def row(x, _):
         return (None, None, None) if x is None else (len(x[0]) // 4, hashlib.sha256(x[0]).hexdigest(), hashlib.sha256(x[1]).hexdigest())
 
-    return _rows(docs, id_column, text_column).mapInArrow(_run(Vocabulary(model), row, schema), "doc_id long, n_tokens long, tokens_sha256 string, decoded_sha256 string")
+    return _rows(docs, id_column, text_column).mapInArrow(of_batches(_run(Vocabulary(model), row, schema)), "doc_id long, n_tokens long, tokens_sha256 string, decoded_sha256 string")

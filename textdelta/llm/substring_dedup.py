@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import ARROW, PACKED, Members, grouped, packed, place_key, runs, spread, together, unpack
-from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, release, slices, window_hash, window_starts
+from .textcore import NO_ID, SPACE_WORDS, U64, Words, arrow_ids, arrow_text, bucket_count, input_bytes, of_group, of_groups, release, slices, window_hash, window_starts
 
 #: What a group says of a hash, added up: more than one of its documents has it; it is an anchor of one.
 SEVERAL, ANCHOR = 1, 2
@@ -184,11 +184,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     size = input_bytes(docs.select(text_column), text_column)
     buckets, groups = bucket_count(size), bucket_count(size, each=8 << 20, least=16)
     texts = grouped(docs, id_column, text_column, groups, size)
-    asked = spread(texts.groupBy("part").applyInArrow(_probe(window, buckets), PACKED), "part", size)
-    answers = spread(asked.groupBy("part").applyInArrow(_match, PACKED), "part", size)
-    asked = spread(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_extend(window, buckets), PACKED), "part", size)
-    answers = spread(asked.groupBy("part").applyInArrow(_repeats, PACKED), "part", size)
-    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_remove(window), RESULT)
+    asked = spread(texts.groupBy("part").applyInArrow(of_group(_probe(window, buckets)), PACKED), "part", size)
+    answers = spread(asked.groupBy("part").applyInArrow(of_group(_match), PACKED), "part", size)
+    asked = spread(texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(of_groups(_extend(window, buckets)), PACKED), "part", size)
+    answers = spread(asked.groupBy("part").applyInArrow(of_group(_repeats), PACKED), "part", size)
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(of_groups(_remove(window)), RESULT)
 
 
 def digest(docs: DataFrame) -> DataFrame:

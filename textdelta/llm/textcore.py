@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,43 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def of_batches(run):
+    """A worker's function of batches that gives its memory back when it is done; the worker lives on, idle or not."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return own
+
+
+def of_group(run):
+    """The same for a function of a group."""
+
+    def own(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return own
+
+
+def of_groups(run):
+    """The same for a function of two groups."""
+
+    def own(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return own
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift)."""
     x = x ^ (x >> U64(30))

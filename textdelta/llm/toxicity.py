@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import cut
-from .textcore import U64, Words, arrow_text, mix, release, slices, window_hash, word_table
+from .textcore import U64, Words, arrow_text, mix, of_batches, release, slices, window_hash, word_table
 
 SAMPLE = 5000
 #: A term's least log-likelihood ratio and share of toxic documents, and the words that a stem stands for at least.
@@ -340,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     sample = F.broadcast(picked[0].union(picked[1]))  # at most 2 SAMPLE rows of two numbers
     rows = docs.select(F.col(id_column).cast("long").alias("__id"), F.col(text_column).cast("string").alias("text")).join(sample, "__id")
     rows = cut(rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
-    signs = rows.mapInArrow(_signs, "id long, toxic int, signs array<long>").collect()  # a row for each of the sample
+    signs = rows.mapInArrow(of_batches(_signs), "id long, toxic int, signs array<long>").collect()  # a row for each of the sample
     seen: set[int] = set()
     alike = []
     for r in sorted(signs, key=lambda r: (-r.toxic, r.id)):
@@ -353,7 +353,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
         return Lexicon({}, set())
-    counts = rows.mapInArrow(_count, "term string, n0 long, n1 long, words array<string>").groupBy("term")
+    counts = rows.mapInArrow(of_batches(_count), "term string, n0 long, n1 long, words array<string>").groupBy("term")
     counts = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("kinds"))
     least = EVIDENCE / math.log((totals[0] + totals[1]) / totals[1])  # fewer toxic documents can't be evidence enough
     weights: dict[str, float] = {}
@@ -369,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
             stems.discard(s)
     plain = {t: x for t, x in plain.items() if not any(t.startswith(s) and t != s for s in stems)}
     lexicon = Lexicon(plain | {s: weights[s + "*"] for s in stems}, stems)
-    lexicon.clean = {r.word for r in rows.where("toxic = 0").mapInArrow(_near(lexicon), "word string").distinct().collect()}
+    lexicon.clean = {r.word for r in rows.where("toxic = 0").mapInArrow(of_batches(_near(lexicon)), "word string").distinct().collect()}
     lexicon.known.clear()
     return lexicon
 
@@ -405,7 +405,7 @@ def scores(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([score(x) for x in found], pa.float64()), pa.array(found, pa.list_(match))], names=["doc_id", "score", "matches"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, matches array<struct<term:string,weight:double,quoted:boolean,start:long,end:long>>")
+    return rows.mapInArrow(of_batches(run), "doc_id long, score double, matches array<struct<term:string,weight:double,quoted:boolean,start:long,end:long>>")
 
 
 def clean(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataFrame:
@@ -416,7 +416,7 @@ def clean(docs: DataFrame, lexicon: Lexicon, text_column: str = "text") -> DataF
             release()
             yield batch.filter(pa.array([score(x) < LIMIT for x in _matches(lexicon, batch.column(text_column).cast(pa.string()))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(of_batches(run), docs.schema)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
