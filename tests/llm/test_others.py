@@ -284,3 +284,24 @@ def test_near_copies_of_repeated_rows_and_rows_without_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in left if r.text and b not in r.text) == sorted([("5", a), ("7", c)])
     assert sum(b in (r.text or "") for r in left) == 1 and sum(not r.text for r in left) == 6
     assert corpus_pipeline.keep_one_of_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_url_model_probabilities_add_up_to_one(spark):
+    """Over all bytes that may follow a context, met in training or not."""
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("abc") for _ in range(12)) for _ in range(60)]
+    model, _ = url_filter.fit(spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(texts)], "text string, accepted boolean"))
+    for start in (texts[0][:7], "zzabc", ""):
+        total = [0.0, 0.0]
+        for c in range(256):
+            data = np.frombuffer(start.encode() + bytes([c]), np.uint8)
+            p = [1 / 256, 1 / 256]
+            for order, (context, both) in enumerate(url_filter._contexts(data, np.array([0, len(data)]), url_filter.KEYS)):
+                for label in (0, 1):
+                    seen = lambda kind, cell: float(model.counts.of(label, order, kind, cell[-1:])[0])  # noqa: B023, E731
+                    p[label] = (seen(1, both) + url_filter.WEIGHT * p[label]) / (seen(0, context) + url_filter.WEIGHT)
+            total = [a + b for a, b in zip(total, p, strict=True)]
+        assert all(abs(x - 1) < 1e-9 for x in total)
+    assert model.scores(pa.array(["abc"])).shape == (1,)
