@@ -305,3 +305,23 @@ def test_url_model_probabilities_add_up_to_one(spark):
             total = [a + b for a, b in zip(total, p, strict=True)]
         assert all(abs(x - 1) < 1e-9 for x in total)
     assert model.scores(pa.array(["abc"])).shape == (1,)
+
+
+def test_url_models_larger_than_a_broadcast_score_alike(spark, monkeypatch):
+    """By the join as by the broadcast: hot and empty texts, nulls, repeated ids and rows, texts over a group's size."""
+    rng = random.Random(29)
+    word = lambda s: "".join(rng.choice(s) for _ in range(8))
+    rows = [(i, f"http://{word('abcde')}.com/en/{i}" if i % 2 else f"http://{word('vwxyzé')}.net/de/{i}") for i in range(400)]
+    rows += [(1000 + i, f"x://{word('abcdv')}.info/{word('xyzé')}") for i in range(60)]
+    rows += [(2000 + i, "x://same.info/") for i in range(300)] + [(None, None), (3000, None), (3001, "no host"), (3002, "x://")] * 30
+    rows += [(4000, "x://" + "ab" * 3000), (4000, "x://" + "ab" * 3000), (4001, "x://q.info/" + "z" * 5000)]
+    df = spark.createDataFrame([(*r, "h", "t", 1.0) for r in rows], "page_id long, url string, host string, text string, score double")
+    read = lambda: sorted(map(tuple, url_filter.judge(df).collect()), key=repr)
+    whole = read()
+    monkeypatch.setattr(url_filter, "MODEL_ROWS", 100)
+    monkeypatch.setattr(url_filter, "GROUP_BYTES", 2000)
+    assert read() == whole and len(whole) == len(rows)
+    monkeypatch.setattr("textdelta.llm.components.BROADCAST_ROWS", 10)  # scores by a shuffle, a hot text's by broadcast
+    monkeypatch.setattr("textdelta.llm.components.HOT", 50)
+    assert read() == whole
+    assert url_filter.judge(df.limit(0)).count() == 0

@@ -10,8 +10,10 @@ balanced accuracy.
 Counts are kept by the hash of context and character in ``KEYS`` cells for each
 order, so that different n-grams do not share counts; they are counted over all
 labelled URLs by partial aggregates. The models hold a row of 16 bytes for each
-distinct n-gram, and grow with them; they are broadcast whole. Labelled
-URLs of which there is no accepted or no rejected one train nothing; then all
+distinct n-gram, and grow with them. Up to ``MODEL_ROWS`` rows they are broadcast
+whole. Larger ones stay a table: groups of distinct texts ask for their own
+n-grams, each once a group, and get the counts by a join. Both ways give
+the same scores. Labelled URLs of which there is no accepted or no rejected one train nothing; then all
 that has no rule is allowed.
 
 Edge cases: a null URL or one without ``://`` has empty host and path, and is
@@ -30,12 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import U64, arrow_text, mix
+from .buckets import spread
+from .components import answered, written
+from .textcore import U64, arrow_text, mix, of_batches, of_group, of_groups
 
 #: The longest context; cells of a dense table of counts, and of the keys of a sparse one.
 ORDER, CELLS, KEYS = 5, 1 << 16, 1 << 58
 #: How much a shorter context counts, in observations; and one in HELD_OUT of the labelled URLs calibrates.
 WEIGHT, HELD_OUT = 2.0, 5
+#: Rows of models that are broadcast at most (64 MB); bytes of the texts that ask a larger model together.
+MODEL_ROWS, GROUP_BYTES = 4_000_000, 512 << 10
+#: Units of a log-likelihood ratio; whole numbers add up alike however texts are batched.
+FIXED = 1 << 32
 #: Calibration bins of the score: width and range.
 BIN, RANGE = 1 / 64, 8.0
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -120,33 +128,82 @@ class Model:
         for order, (context, pair) in enumerate(_contexts(buf, off, cells)):
             for label in (0, 1):
                 p[label] = (self._seen(label, order, 1, pair) + WEIGHT * p[label]) / (self._seen(label, order, 0, context) + WEIGHT)
-        ratio = np.append(np.log(p[1]) - np.log(p[0]), 0.0)
-        sums = np.add.reduceat(ratio, np.minimum(off[:-1] - off[0], n)) if len(off) > 1 else np.zeros(0)
+        ratio = np.rint((np.log(p[1]) - np.log(p[0])) * FIXED).astype(np.int64)
+        sums = np.diff(np.append(0, np.cumsum(ratio))[off - off[0]]) / FIXED
         lengths = np.diff(off)
         return np.where(lengths > 0, sums / np.maximum(lengths, 1), 0.0)
 
 
-def _scored(df: DataFrame, model: Model | None, schema: str, columns: list[str]) -> DataFrame:
+def _asked(table: pa.Table) -> pa.Table:
+    """The distinct places (order, kind, cell) of a group's texts."""
+    buf, off = arrow_text(table["text"])
+    places = [(order * 2 + kind) * KEYS + cell for order, found in enumerate(_contexts(buf, off, KEYS)) for kind, cell in enumerate(found)]
+    distinct = np.unique(np.concatenate(places))
+    return pa.table({"part": np.full(len(distinct), table["part"][0].as_py(), np.int64), "place": distinct})
+
+
+def _answer(texts: pa.Table, found: pa.Table) -> pa.Table:
+    """Scores of a group's texts by the counts that it has asked for."""
+    place, rejected, accepted = (found[c].to_numpy() for c in ("place", "rejected", "accepted"))
+    order = np.argsort(place)
+    place, both = place[order], np.concatenate([rejected[order], accepted[order]])
+    counts = Sparse(np.concatenate([place, place + 2 * (ORDER + 1) * KEYS]), both)
+    scores = Model(counts).scores(texts["text"]) if len(place) else np.zeros(len(texts))
+    return pa.table({**{c: texts[c] for c in ("__h", "__digest", "n")}, "score": pa.array(scores, pa.float64())})
+
+
+def _scored_by_join(df: DataFrame, model: DataFrame, columns: list[str]) -> DataFrame:
+    """The same scores from a model that stays a table (place, rejected, accepted).
+
+    Equal texts are scored once and joined to their rows by two hashes, a hot text by
+    broadcast. A place is asked for once a group, so the most common one has a row a group.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = df.select(*columns, F.xxhash64(text).alias("__h"), F.unhex(F.sha2(text, 256)).alias("__digest"))
+    texts = written(df.select(text.alias("text")).groupBy("text").agg(F.count("*").alias("n")))
+    size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    groups = F.lit(size // GROUP_BYTES + 1).cast("long")
+    keyed = texts.select(F.xxhash64("text").alias("__h"), F.unhex(F.sha2("text", 256)).alias("__digest"), "text", "n")
+    keyed = spread(keyed.withColumn("part", F.pmod("__h", groups)), "part", size)
+    asks = 2 * (ORDER + 1) * 16 * size  # bytes at most
+    asked = spread(keyed.groupBy("part").applyInArrow(of_group(_asked), "part long, place long"), "place", asks)
+    found = spread(asked.join(spread(model, "place", asks), "place").select("part", "place", "rejected", "accepted"), "part", asks)
+    met = spread(keyed, "part", asks).groupBy("part").cogroup(found.groupBy("part"))
+    scores = written(met.applyInArrow(of_groups(_answer), "__h long, __digest binary, n long, score double"))
+    return answered(rows, scores, ["__h", "__digest"], F.monotonically_increasing_id()).select(*columns, "score")
+
+
+def _scored(df: DataFrame, model: Model | DataFrame | None, schema: str, columns: list[str]) -> DataFrame:
+    if isinstance(model, DataFrame):
+        return _scored_by_join(df, model, columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch["text"]
             scores = model.scores(text) if model else np.zeros(len(text))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(scores, pa.float64())], names=[*columns, "score"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(of_batches(run), schema)
 
 
-def fit(labelled: DataFrame) -> tuple[Model | None, float]:
-    """The models and the threshold from (text, accepted)."""
+def fit(labelled: DataFrame) -> tuple[Model | DataFrame | None, float]:
+    """The models (a table where they are large) and the threshold from (text, accepted)."""
     part = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT))
-    rows = labelled.where(part != 0).mapInArrow(lambda batches: _count(batches, KEYS), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    places, n = (rows[c].to_numpy() for c in ("cell", "n"))
-    order = np.argsort(places)
-    counts = Sparse(places[order], n[order])
-    accepted = counts.places // (KEYS * 2 * (ORDER + 1)) > 0
-    if accepted.all() or not accepted.any():
+    counts = labelled.where(part != 0).mapInArrow(of_batches(lambda batches: _count(batches, KEYS)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = written(counts)
+    label = KEYS * 2 * (ORDER + 1)
+    known = counts.agg(F.min("cell").alias("least"), F.max("cell").alias("most"), F.count("*").alias("n")).first()
+    if not known.n or known.least >= label or known.most < label:
         return None, 0.0
-    model = Model(counts)
+    if known.n <= MODEL_ROWS:
+        rows = counts.toArrow()
+        places, n = (rows[c].to_numpy() for c in ("cell", "n"))
+        order = np.argsort(places)
+        model = Model(Sparse(places[order], n[order]))
+    else:
+        of = lambda accepted: F.sum(F.when((F.col("cell") >= label) == accepted, F.col("n")).otherwise(0))
+        model = counts.groupBy(F.pmod("cell", F.lit(label)).alias("place")).agg(of(False).alias("rejected"), of(True).alias("accepted"))
+        model = written(model)
     held = _scored(labelled.where(part == 0).select("text", "accepted"), model, "accepted boolean, score double", ["accepted"])
     bins = held.select("accepted", F.floor(F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), "score")) / BIN).alias("bin"))
     seen = {(r.accepted, r.bin): r.n for r in bins.groupBy("accepted", "bin").agg(F.count("*").alias("n")).collect()}
